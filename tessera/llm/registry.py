@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, simhash
+from tessera.llm import mixing, packing, simhash, suffixes
 
 QUERIES = {
     "op3_mixing": mixing.query,
+    "op8_packing": packing.query,
     "op9_simhash": simhash.query,
+    "op10_suffixes": suffixes.query,
 }
 ORACLES: dict[str, str] = {}

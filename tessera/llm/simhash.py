@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, partitions, table
 from tessera.llm.components import components
 from tessera.llm.words import LOWER, blocks
 
@@ -78,7 +78,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED)
     if not 0 <= distance <= 3:
         raise ValueError("two segments find pairs of up to 3 differing bits")
     low, high = segment(F.col("fp"), 0, 32), segment(F.col("fp"), 32, 32)
-    signed = distinct.select("fp", F.explode(F.concat(wildcards(low, 32, 0), wildcards(high, 32, 32))).alias("key"))
+    spread = distinct.repartition(partitions(distinct.sparkSession), "fp")  # each row becomes 64
+    signed = spread.select("fp", F.explode(F.concat(wildcards(low, 32, 0), wildcards(high, 32, 32))).alias("key"))
     shared = signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(signed.join(shared, "key"))
     few = met.where(F.col("n") <= crowded).select("key", "fp")
