@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, packing, simhash, suffixes
+from tessera.llm import mixing, packing, simhash, sketches, suffixes, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.query,
     "op3_mixing": mixing.query,
+    "op4_sketches": sketches.query,
     "op8_packing": packing.query,
     "op9_simhash": simhash.query,
     "op10_suffixes": suffixes.query,
