@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, mixing, packing, simhash, sketches, suffixes, toxicity
+from tessera.llm import chat, langid, mixing, neighbours, packing, simhash, sketches, suffixes, toxicity
 
 QUERIES = {
     "op2_toxicity": toxicity.query,
     "op3_mixing": mixing.query,
     "op4_sketches": sketches.query,
     "op5_langid": langid.query,
+    "op6_neighbours": neighbours.query,
     "op7_chat": chat.query,
     "op8_packing": packing.query,
     "op9_simhash": simhash.query,
