@@ -41,3 +41,12 @@ def partitions(spark: SparkSession) -> int:
 def fold(column: str, k: int) -> Column:
     """crc32 of an id as text, modulo k; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
+
+
+def sampled(rows: DataFrame, most: int, key: str = "id") -> DataFrame:
+    """About `most` rows at most, chosen by a hash of the key, or all if there are no more; twice as many are never taken."""
+    total = rows.count()
+    if total <= most:
+        return rows
+    part = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(-(-(most << 30) // total))
+    return rows.where(part).limit(2 * most)

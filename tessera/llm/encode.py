@@ -32,6 +32,8 @@ def tokenizer_path(name: str = WORD_TOKENIZER) -> str:
 class WordEncoder:
     """Ids of texts by a lower-casing word tokenizer, equal to encoding each text as a whole."""
 
+    split_tails = True
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
@@ -53,8 +55,13 @@ class WordEncoder:
         parts = [x.ids for x in self.tokenizer.encode_batch_fast([words[i] for i in others.tolist()], add_special_tokens=False)]
         counts = [np.bincount(np.array(joined.word_ids, np.int64), minlength=len(some)), np.fromiter(map(len, parts), np.int64, len(parts))]
         flat = np.concatenate([np.array(joined.ids, np.uint16), np.fromiter((i for p in parts for i in p), np.uint16)])
+        return self.store(hashes, np.concatenate([some, others]), np.concatenate(counts), flat)
+
+    def store(self, hashes: list[int], order: np.ndarray, counts: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """Append ids of words that come in `order`; each one's number."""
         n, at = len(self.known), int(self.ends[len(self.known) - 1]) if self.known else 0
-        ends = at + np.cumsum(np.concatenate(counts))
+        words = hashes
+        ends = at + np.cumsum(counts)
         if at + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros(at + 2 * len(flat), np.uint16)])
         if n + len(words) > len(self.ends):
@@ -62,7 +69,7 @@ class WordEncoder:
         self.ids[at : at + len(flat)] = flat
         self.ends[n : n + len(words)] = ends
         numbers = np.zeros(len(words), np.int64)
-        numbers[np.concatenate([some, others])] = np.arange(n, n + len(words))
+        numbers[order] = np.arange(n, n + len(words))
         self.known.update(zip(hashes, numbers.tolist(), strict=True))
         return numbers
 
@@ -76,7 +83,7 @@ class WordEncoder:
             self.known.clear()
         low = LOWER[b.data]
         final = low[ends - 1]
-        tail = ((final == 44) | (final == 46)) & (ends - starts > 1)
+        tail = np.full(len(starts), self.split_tails) & ((final == 44) | (final == 46)) & (ends - starts > 1)
         tail &= LETTER[low[np.maximum(ends - 2, 0)]]
         spot = np.flatnonzero(tail)
         if len(spot):
@@ -102,6 +109,33 @@ class WordEncoder:
         return ids, np.bincount(row, weights=n, minlength=texts).astype(np.int64)
 
 
+class ByteEncoder(WordEncoder):
+    """Ids of texts by a byte-level vocabulary: A-Z lower-cased, each word with one space before it."""
+
+    split_tails = False
+
+    def __init__(self, path: str):
+        import base64
+
+        import public_tokenizers
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+        self.tokenizer = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.known = {}
+        self.ids, self.ends = np.zeros(1 << 16, np.uint16), np.zeros(1 << 15, np.int64)
+
+    def remember(self, hashes: list[int], words: list[str]) -> np.ndarray:
+        parts = [self.tokenizer.encode_ordinary(" " + w) for w in words]
+        flat = np.fromiter((i for p in parts for i in p), np.uint16)
+        return self.store(hashes, np.arange(len(words)), np.fromiter(map(len, parts), np.int64, len(parts)), flat)
+
+
+@cache
+def byte_encoder(path: str) -> ByteEncoder:
+    return ByteEncoder(path)
+
+
 @cache
 def word_encoder(path: str) -> WordEncoder:
     """One encoder a worker process, so that what it remembers serves all its tasks."""

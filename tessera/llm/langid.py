@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, table
+from tessera.llm.common import fold, sampled, table
 from tessera.llm.words import LOWER, Block, blocks
 
 DIM, CENTROIDS, ROUNDS = 1 << 12, 4, 8
@@ -103,7 +103,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     sample = None
     for lang in languages:
-        part = known.where(F.col("lang") == lang).orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+        part = sampled(known.where(F.col("lang") == lang), SAMPLE)
         sample = part if sample is None else sample.union(part)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, table
+from tessera.llm.common import cut, sampled, table
 
 CENTROIDS = 64  # of each half; one bit each in a query's mask
 SAMPLE, TRIALS, RECALL = 20_000, 400, 0.97  # vectors and queries that the index is fitted and tried on
@@ -101,7 +101,7 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
     value = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & value.isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"].to_pylist()
+    picked = sampled(rows.select("id", "v"), SAMPLE).select("v").toArrow()["v"].to_pylist()
     result = "query_id long, rank int, id long, score double"
     if not picked:
         return spark.createDataFrame([], result)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, mixing, neighbours, packing, simhash, sketches, suffixes, toxicity
+from tessera.llm import chat, langid, mixing, neighbours, packing, scoring, simhash, sketches, suffixes, toxicity
 
 QUERIES = {
+    "op1_scoring": scoring.query,
     "op2_toxicity": toxicity.query,
     "op3_mixing": mixing.query,
     "op4_sketches": sketches.query,
