@@ -7,9 +7,8 @@ are 64-bit hashes, equal for equal bytes, since only equality is asked for.
 The first ranking needs few positions: each string of LENGTH bytes is represented by its anchor, the position in it
 whose half-length rank is smallest (leftmost of equals). Anchors depend on bytes alone, so equal strings have anchors at
 equal places, and a string whose anchor has a unique rank is unique. Anchors with repeated ranks are compared with all
-the bytes that their strings cover; where these repeat as a whole, every string of that anchor does. The rest is taken
-in cells of 16 starts in the same way, and what then still stands alone is ranked start by start. One representative of
-each distinct surrounding stands for all its copies.
+the bytes that their strings cover; where these repeat as a whole, every string of that anchor does. Only the rest is
+ranked start by start, one representative of each distinct surrounding standing for all its copies.
 """
 
 from __future__ import annotations
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import keep, table
 from tessera.llm.words import Block, blocks, mix, packed_texts, prefix_sums, span_hashes, unpacked
 
-LENGTH, CELL = 400, 16
+LENGTH = 400
 PLACE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.uint64(2**64 - 1)
 
@@ -69,97 +68,45 @@ def anchors(b: Block, length: int) -> tuple[np.ndarray, ...]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, sum, first, last, anchor, rank, around): one row an anchor; a text is known by its id and 32-bit checksum."""
+    """(id, sum, first, last, rank, around): one row an anchor; a text is known by its id and 32-bit checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in blocks(batch.column(2)):
-                row, *places, rank, around = anchors(b, length)
+                row, first, last, _, rank, around = anchors(b, length)
                 at = pa.array(row + b.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in places)]
+                    [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (first, last))]
                     + [pa.array(x.view(np.int64)) for x in (rank, around)],
-                    ["id", "sum", "first", "last", "anchor", "rank", "around"],
+                    ["id", "sum", "first", "last", "rank", "around"],
                 )
 
-    return docs.mapInArrow(run, "id long, sum int, first int, last int, anchor int, rank long, around long")
+    return docs.mapInArrow(run, "id long, sum int, first int, last int, rank long, around long")
 
 
-def fragments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The wanted rows (id, sum, first, last, ...) with the bytes that their strings cover."""
-    rest = [c for c in wanted.columns if c not in ("id", "sum")]
-    listed = wanted.groupBy("id", "sum").agg(F.collect_list(F.struct(*rest)).alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, text in enumerate(unpacked(batch.column(2))):
-                rows = pa.Table.from_struct_array(batch.column(3)[i].values)
-                spans = zip(rows["first"].to_pylist(), rows["last"].to_pylist(), strict=True)
-                cover = pa.array([text[a : z + length] for a, z in spans], pa.binary())
-                keys = [pa.repeat(batch.column(k)[i], len(rows)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*keys, *(rows[c].combine_chunks() for c in rest), cover], ["id", "sum", *rest, "cover"])
-
-    kinds = {f.name: f.dataType.simpleString() for f in wanted.schema}
-    schema = "id long, sum int, " + ", ".join(f"{c} {kinds[c]}" for c in rest) + ", cover binary"
-    return texts.join(listed, ["id", "sum"]).select("id", "sum", "packed", "rows").mapInArrow(run, schema)
-
-
-def cells(pieces: DataFrame, length: int, size: int) -> DataFrame:
-    """Each fragment's starts in cells of `size`, counted from its anchor: (id, sum, first, last, rank, cell, alone,
-    around, cover), around being a hash of all bytes of the cell's strings and of its place before the anchor."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, checks, firsts, lasts, spots, ranks, alone = (batch.column(k) for k in range(7))
-            first, last, spot = (x.to_numpy() for x in (firsts, lasts, spots))
-            for b in blocks(batch.column(7)):
-                at = np.arange(b.first, b.last)
-                near, far = (spot[at] - last[at]) // size, (spot[at] - first[at]) // size
-                n = far - near + 1
-                row = np.repeat(at, n)
-                cell = np.repeat(near - np.cumsum(n) + n, n) + np.arange(n.sum())
-                low = np.maximum(spot[row] - cell * size - size + 1, first[row])
-                high = np.minimum(spot[row] - cell * size, last[row])
-                start = b.offsets[row - b.first] + low - first[row]
-                end = start + (high - low) + length
-                around = mix(span_hashes(prefix_sums(b.data), start, end) + (spot[row] - low).astype(np.uint64) * PLACE)
-                raw = b.data.tobytes()
-                cover = pa.array([raw[a:z] for a, z in zip(start.tolist(), end.tolist(), strict=True)], pa.binary())
-                take = pa.array(row)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(take), checks.take(take), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), ranks.take(take)]
-                    + [pa.array(cell.astype(np.int32)), alone.take(take), pa.array(around.view(np.int64)), cover],
-                    ["id", "sum", "first", "last", "rank", "cell", "alone", "around", "cover"],
-                )
-
-    rows = pieces.select("id", "sum", "first", "last", "anchor", "rank", "alone", "cover")
-    kinds = "id long, sum int, first int, last int, rank long, cell int, alone boolean, around long, cover binary"
-    return rows.mapInArrow(run, kinds)
-
-
-def starts(pieces: DataFrame, length: int) -> DataFrame:
-    """(id, sum, at, alone, rank): each start of the pieces (id, sum, first, alone, cover), ranked over `length` bytes by
-    the pair of ranks of its two halves."""
+def starts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
+    """(id, sum, at, alone, rank): each start of the wanted runs (id, sum, first, last, alone), ranked over `length` bytes
+    by the pair of ranks of its two halves."""
+    listed = wanted.groupBy("id", "sum").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = length // 2
         for batch in batches:
-            first = batch.column(2).to_numpy()
-            for b in blocks(batch.column(4)):
-                n = np.diff(b.offsets) - length + 1
-                row = np.repeat(np.arange(b.first, b.last), n)
-                inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                start = np.repeat(b.offsets[:-1], n) + inner
-                sums = prefix_sums(b.data)
-                rank = mix(span_hashes(sums, start, start + half) * PLACE + span_hashes(sums, start + half, start + length))
-                take = pa.array(row)
+            for i, text in enumerate(unpacked(batch.column(2))):
+                runs = pa.Table.from_struct_array(batch.column(3)[i].values)
+                first, last = runs["first"].to_numpy().astype(np.int64), runs["last"].to_numpy()
+                n = last - first + 1
+                run_of = np.repeat(np.arange(len(n)), n)
+                at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                sums = prefix_sums(np.frombuffer(text, np.uint8))
+                rank = mix(span_hashes(sums, at, at + half) * PLACE + span_hashes(sums, at + half, at + length))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array((first[row] + inner).astype(np.int32))]
-                    + [batch.column(3).take(take), pa.array(rank.view(np.int64))],
+                    [pa.repeat(batch.column(0)[i], len(at)), pa.repeat(batch.column(1)[i], len(at)), pa.array(at.astype(np.int32))]
+                    + [runs["alone"].combine_chunks().take(pa.array(run_of)), pa.array(rank.view(np.int64))],
                     ["id", "sum", "at", "alone", "rank"],
                 )
 
-    rows = pieces.select("id", "sum", "first", "alone", "cover")
+    rows = texts.join(listed, ["id", "sum"]).select("id", "sum", "packed", "runs")
     return rows.mapInArrow(run, "id long, sum int, at int, alone boolean, rank long")
 
 
@@ -171,52 +118,42 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame
     met = keep(found.join(shared, "rank"))
 
     kinds = met.groupBy("around").agg(
-        F.count("*").alias("n"), F.first("rank").alias("rank"), F.min(F.struct(*place, "anchor")).alias("one")
+        F.count("*").alias("n"), F.first("rank").alias("rank"), F.min(F.struct(*place)).alias("one")
     )
     kinds = keep(kinds.withColumn("alone", F.col("n") == 1).select("around", "rank", "alone", "one.*"))
     whole = met.join(kinds.where("not alone").select("around"), "around").select(*place)
     open_ranks = kinds.groupBy("rank").agg(F.max("alone").alias("any")).where("any").select("rank")
-    wanted = kinds.join(open_ranks, "rank").select(*place, "anchor", "rank", "alone")
-
-    parts = keep(cells(fragments(texts, wanted, length), length, CELL))
-    sorts = parts.groupBy("around").agg(
-        F.count("*").alias("n"),
-        F.min("alone").alias("alone"),
-        F.first("rank").alias("rank"),
-        F.first("cell").alias("cell"),
-        F.min(F.struct(*place, "cover")).alias("one"),
-    )
-    sorts = keep(sorts.withColumn("alone", F.col("alone") & (F.col("n") == 1)).select("around", "rank", "cell", "alone", "one.*"))
-    in_cells = parts.where("alone").select(*place, "around").join(sorts.where("not alone").select("around"), "around").select(*place)
-    open_cells = sorts.groupBy("rank", "cell").agg(F.max("alone").alias("any")).where("any").select("rank", "cell")
+    wanted = kinds.join(open_ranks, "rank").select(*place, "alone")
 
-    each = keep(starts(sorts.join(open_cells, ["rank", "cell"]), length))
+    each = keep(starts(texts, wanted, length))
     twice = each.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
     single = each.where("alone").join(twice, "rank").select("id", "sum", F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.union(in_cells).union(single)
+    return whole.union(single)
 
 
-def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """(id_col, n_bytes, spans, kept) of every row.
+def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, carry: list[str] | None = None) -> DataFrame:
+    """(id_col, n_bytes, spans, kept) of every row, and the columns to carry along.
 
     A text is its UTF-8 bytes (null: none). spans are the maximal removed byte runs [start, end), in order; kept is what
     is left, as bytes, since a run may begin or end inside a character. Strings are judged on the input; matches may
     overlap and lie in one text, never across texts. Repeated rows repeat each other, so texts of `length` bytes and more
-    in them vanish. Null ids are kept. Texts shorter than `length` stay whole. Other columns are not looked at.
+    in them vanish. Null ids are kept. Texts shorter than `length` stay whole. Other columns are not looked at, and an empty
+    table gives an empty result.
     """
     if not 2 <= length:
         raise ValueError("length is at least 2")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("sum"), text.alias("text"))
-    known = rows.select(F.coalesce("id", F.lit(-(2**63))).alias("id"), "sum", "text")
-    texts = packed_texts(known)
-    runs = repeated_starts(known, texts, length)
+    known = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id")
+    rest = F.struct(*[F.col(f"`{c}`") for c in carry or []]) if carry else F.struct(F.lit(0).alias("_"))
+    known_rows = docs.select(known, F.hash(text).alias("sum"), text.alias("text"))
+    texts = packed_texts(docs.select(known, F.hash(text).alias("sum"), rest.alias("rest"), text.alias("text")))
+    runs = repeated_starts(known_rows, texts.drop("rest"), length)
     listed = runs.groupBy("id", "sum").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, spans, kept = [], [], []
-            for text, found in zip(unpacked(batch.column(1)), batch.column(2), strict=True):
+            for text, found in zip(unpacked(batch.column(2)), batch.column(3), strict=True):
                 sizes.append(len(text))
                 if not found.is_valid:
                     spans.append([])
@@ -232,12 +169,15 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["id", "n_bytes", "spans", "kept"]
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())],
+                ["id", "rest", "n_bytes", "spans", "kept"],
             )
 
-    done = texts.join(listed, ["id", "sum"], "left").select("id", "packed", "runs")
-    out = done.mapInArrow(run, "id long, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
-    return out.select(F.nullif("id", F.lit(-(2**63))).alias(id_col), "n_bytes", "spans", "kept")
+    done = texts.join(listed, ["id", "sum"], "left").select("id", "rest", "packed", "runs")
+    kind = texts.schema["rest"].dataType.simpleString()
+    out = done.mapInArrow(run, f"id long, rest {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
+    carried = [F.col("rest").getField(c).alias(c) for c in carry or []]
+    return out.select(F.nullif("id", F.lit(-(2**63))).alias(id_col), "n_bytes", "spans", "kept", *carried)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,7 +81,7 @@ class Block(NamedTuple):
         return starts, ends, np.searchsorted(self.offsets[1:], starts, "right")
 
 
-def blocks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 20) -> Iterator[Block]:
+def blocks(column: pa.Array | pa.ChunkedArray, most: int = 1 << 18) -> Iterator[Block]:
     """Cut a string column into blocks of at most `most` bytes, or of one longer text; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
