@@ -1,10 +1,6 @@
 """The registered queries and their SQL."""
 
-from __future__ import annotations
+from tessera.plans import analytics, graphs, ontology  # noqa: F401
+from tessera.plans.registered import ORACLES, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
