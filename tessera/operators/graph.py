@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import settle
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge from either end: (a, b)."""
@@ -16,13 +18,14 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, hop): the fewest steps, up to `most`, from any of the seeds (id), ignoring direction."""
-    steps = both_ways(edges)
-    seen = seeds.select("id").distinct().withColumn("hop", F.lit(0))
-    frontier = seen
+    steps = settle(both_ways(edges))
+    seen = frontier = settle(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, most + 1):
         reached = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
-        frontier = reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop))
+        frontier = settle(reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.union(frontier)
+        if frontier.isEmpty():
+            break
     return seen
 
 
@@ -35,15 +38,17 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, most_hops: int = 1, most_n
 def shortest_paths(edges: DataFrame, source: str, most: int = 4) -> DataFrame:
     """(id, length, path): from one node to every node within `most` steps, ignoring direction; of equally short paths
     the one that sorts first."""
-    steps = both_ways(edges)
+    steps = settle(both_ways(edges))
     spark = edges.sparkSession
     seen = spark.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("length"), F.lit(source).alias("path"))
     frontier = seen
     for n in range(1, most + 1):
         on = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id"), F.concat_ws(">", "path", "b").alias("path"))
         best = on.groupBy("id").agg(F.min("path").alias("path"))
-        frontier = best.join(seen.select("id"), "id", "left_anti").select("id", F.lit(n).alias("length"), "path")
+        frontier = settle(best.join(seen.select("id"), "id", "left_anti").select("id", F.lit(n).alias("length"), "path"))
         seen = seen.union(frontier)
+        if frontier.isEmpty():
+            break
     return seen
 
 
@@ -52,32 +57,31 @@ def hop_decay(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, top: in
     return hops(edges, seeds, most).select("id", "hop", F.pow(F.lit(damping), "hop").alias("score")).orderBy(F.col("score").desc(), "id").limit(top)
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20, cut=None) -> DataFrame:
-    """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds.
-
-    `cut` materialises the ranks between rounds so that the plan stays short.
-    """
-    steps = both_ways(edges).withColumn("share", 1.0 / F.count("*").over(Window.partitionBy("a")))
+def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+    """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds."""
+    steps = settle(both_ways(edges).withColumn("share", 1.0 / F.count("*").over(Window.partitionBy("a"))))
     start = seeds.select("id").distinct()
     start = start.select("id", (1.0 / F.count("*").over(Window.partitionBy())).alias("base"))
     ranks = start.select("id", F.col("base").alias("rank"))
     for n in range(1, rounds + 1):
         flow = ranks.join(steps, ranks["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
         ranks = flow.join(start, "id", "full").select("id", (F.coalesce("base", F.lit(0.0)) * (1 - damping) + F.coalesce("flow", F.lit(0.0)) * damping).alias("rank"))
-        if cut and n % 4 == 0:
-            ranks = cut(ranks)
+        if n % 4 == 0:
+            ranks = settle(ranks)
     return ranks
 
 
 def closure(tree: DataFrame, most: int = 8) -> DataFrame:
     """(node, ancestor, depth): all ancestors of a child-parent table (child, parent) within `most` steps, by the fewest
     steps. Cycles end at the limit."""
-    up = tree.select("child", "parent").distinct()
+    up = settle(tree.select("child", "parent").distinct())
     level = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
     found = level
     for n in range(2, most + 1):
         above = level.join(up, level["ancestor"] == up["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        level = above.withColumn("depth", F.lit(n))
+        level = settle(above.withColumn("depth", F.lit(n)))
+        if level.isEmpty():
+            break
         found = found.union(level)
     return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
@@ -85,12 +89,14 @@ def closure(tree: DataFrame, most: int = 8) -> DataFrame:
 def descendants(tree: DataFrame, root: str, most: int = 8) -> DataFrame:
     """All that lie below a node, the node itself included at depth 0."""
     spark = tree.sparkSession
-    seen = spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"))
-    frontier = seen
+    tree = settle(tree.select("child", "parent"))
+    seen = frontier = spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"))
     for n in range(1, most + 1):
         under = frontier.join(tree, frontier["node"] == tree["parent"]).select(F.col("child").alias("node")).distinct()
-        frontier = under.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(n))
+        frontier = settle(under.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
         seen = seen.union(frontier)
+        if frontier.isEmpty():
+            break
     return seen
 
 
@@ -125,12 +131,13 @@ def structure(tree: DataFrame) -> DataFrame:
 
 def simple_paths(edges: DataFrame, source: str, target: str, most: int) -> DataFrame:
     """All paths between two nodes of up to `most` steps without a repeated node, ignoring direction."""
-    steps = both_ways(edges)
+    steps = settle(both_ways(edges))
     paths = edges.sparkSession.range(1).select(F.array(F.lit(source)).alias("path"))
     done = None
     for _ in range(most):
         last = F.element_at("path", -1)
         paths = paths.join(steps, last == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
+        paths = settle(paths)
         hit = paths.where(F.element_at("path", -1) == target)
         done = hit if done is None else done.union(hit)
         paths = paths.where(F.element_at("path", -1) != target)

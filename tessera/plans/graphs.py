@@ -43,7 +43,7 @@ def ppr_decay(spark, sf_dir):
     SELECT m.id, length, min(path) AS path FROM m JOIN w ON w.id = m.id AND w.n = m.length GROUP BY m.id, length""")
 def shortest_path(spark, sf_dir):
     """Shortest paths from a nation."""
-    return graph.shortest_paths(view(spark, sf_dir, "place_edges").where("rel = 'IN_REGION' or src like 's:%'"), "n:3", 4)
+    return graph.shortest_paths(view(spark, sf_dir, "place_edges"), "n:3", 4)
 
 
 @query(None)

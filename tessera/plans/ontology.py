@@ -279,9 +279,8 @@ def promote_staging(spark, sf_dir):
     return layers.promoted(view(spark, sf_dir, "triples"), "urn:graph:ext-v1", "urn:graph:main").groupBy("graph").agg(F.count("*").alias("n"))
 
 
-@query("""WITH t AS (SELECT * FROM {triples}), x AS (SELECT DISTINCT regexp_extract(s, '[^#/]*$') AS s, regexp_extract(p, '[^:]*$') AS p, regexp_extract(o, '[^#/]*$') AS o
-    FROM (SELECT split_part(s, '#', 2) AS s, p, CASE WHEN contains(o, '#') THEN split_part(o, '#', -1) ELSE o END AS o FROM t WHERE p NOT IN ('rdfs:label', 'rdfs:comment')) AS y)
-    SELECT * FROM x""")
+@query("""SELECT DISTINCT regexp_extract(s, '[^#/]*$') AS s, regexp_extract(p, '[^:]*$') AS p, regexp_extract(o, '[^#/]*$') AS o FROM {triples}
+    WHERE p NOT IN ('rdfs:label', 'rdfs:comment')""")
 def spo_extract(spark, sf_dir):
     """Statements by local names."""
     return metrics.spo(view(spark, sf_dir, "triples").where("p <> 'rdfs:comment'"))
