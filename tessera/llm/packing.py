@@ -24,6 +24,7 @@ from tessera.llm.words import blocks
 LENGTH, END = 4096, 1
 BUCKETS = 64
 SLOTS = 64
+PART = 20_000  # rows in a partition of the rounds' tables, which get smaller than the cluster's usual number is made for
 
 
 def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end: int = END, path: str | None = None) -> DataFrame:
@@ -60,14 +61,14 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
-def matched(gaps: DataFrame, items: DataFrame) -> DataFrame:
+def matched(gaps: DataFrame, items: DataFrame, parts: int) -> DataFrame:
     """gaps (bin, slot, size) and items (item, size) to rows (item, size, bin, slot), bin null where no gap is left: best
     fit, largest item first, one item a slot."""
     both = gaps.select(F.lit(0).alias("kind"), F.col("bin").alias("key"), "slot", "size").union(
         items.select(F.lit(1).alias("kind"), F.col("item").alias("key"), F.lit(0).alias("slot"), "size")
     )
     both = both.withColumn("bucket", F.pmod(F.xxhash64("key", "slot"), F.lit(BUCKETS)))
-    dealt = both.groupBy("size", "kind", "bucket").agg(F.count("*").alias("n"))
+    dealt = both.groupBy("size", "kind", "bucket").agg(F.count("*").alias("n")).coalesce(BUCKETS // 8)  # sizes are bounded
     within = Window.partitionBy("size", "kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     dealt = dealt.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
     sized = dealt.groupBy("size").agg(
@@ -80,7 +81,7 @@ def matched(gaps: DataFrame, items: DataFrame) -> DataFrame:
     placed = dealt.join(sized.select("size", "g", "open"), "size").select("size", "kind", "bucket", "before", "g", "open")
     nth = F.col("before") + F.row_number().over(Window.partitionBy("size", "kind", "bucket").orderBy("key", "slot"))
     level = F.when(F.col("kind") == 0, F.col("open") + nth).otherwise(F.col("open") + F.col("g") - nth + 1)
-    leveled = both.join(placed, ["size", "kind", "bucket"]).select("kind", "key", "slot", "size", level.alias("level"))
+    leveled = both.join(placed, ["size", "kind", "bucket"]).select("kind", "key", "slot", "size", level.alias("level")).coalesce(parts)
     nested = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
     last = F.lag(F.struct("kind", "key", "slot")).over(nested)
     found = leveled.where("level > 0").withColumn("last", last).where("kind = 1")
@@ -92,6 +93,7 @@ def best_fit(items: DataFrame, length: int = LENGTH) -> DataFrame:
     """Items (item, size), item unique and sizes 1..length, to (item, size, bin, round, slot): in a bin, sizes add up to
     at most `length`. Bins are named by the item that opened them."""
     opened = F.col("size") * 2 > length
+    parts = -(-items.count() // PART) + 1
     done = [cut(items.where(opened).select("item", "size", F.col("item").alias("bin"), F.lit(0).alias("round"), F.lit(0).alias("slot")))]
     gaps = cut(done[0].where(F.col("size") < length).select("bin", (F.lit(length) - F.col("size")).alias("gap")))
     todo = cut(items.where(~opened))
@@ -104,21 +106,21 @@ def best_fit(items: DataFrame, length: int = LENGTH) -> DataFrame:
         slots = F.least(F.greatest(F.floor(F.col("gap") / F.lit(left[0])), F.lit(1)), F.lit(SLOTS)).cast("int")
         offered = gaps.where(F.col("gap") >= left[1]).withColumn("slots", slots)
         offered = offered.select("bin", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.floor(F.col("gap") / F.col("slots")).alias("size"))
-        met = cut(matched(offered, todo))
+        met = cut(matched(offered, todo, parts).coalesce(parts))
         done.append(met.where("bin is not null").select("item", "size", "bin", F.lit(turn).alias("round"), "slot"))
         taken = done[-1].groupBy("bin").agg(F.sum("size").alias("taken"))
         gaps = cut(
-            gaps.join(taken, "bin", "left").select("bin", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0")
+            gaps.join(taken, "bin", "left").select("bin", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0").coalesce(parts)
         )
         todo = met.where("bin is null").select("item", "size")
         widest = gaps.agg(F.max("gap")).first()[0] or 0
         stuck = todo.where(F.col("size") > widest)
         tokens = stuck.agg(F.sum("size")).first()[0]
         if tokens:
-            new = cut(opening(stuck, -(-tokens // length), turn))
+            new = cut(opening(stuck, -(-tokens // length), turn).coalesce(parts))
             done.append(new)
             gaps = cut(gaps.union(new.select("bin", (F.lit(length) - F.col("size")).alias("gap"))))
-            todo = cut(todo.join(new.select("item"), "item", "left_anti"))
+            todo = cut(todo.join(new.select("item"), "item", "left_anti").coalesce(parts))
     whole = done[0]
     for part in done[1:]:
         whole = whole.union(part)
@@ -128,7 +130,7 @@ def best_fit(items: DataFrame, length: int = LENGTH) -> DataFrame:
 def opening(rest: DataFrame, bins: int, turn: int) -> DataFrame:
     """The `bins` largest items, each opening a bin."""
     rows = rest.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)))
-    counts = rows.groupBy("size", "bucket").agg(F.count("*").alias("n"))
+    counts = rows.groupBy("size", "bucket").agg(F.count("*").alias("n")).coalesce(BUCKETS // 8)
     by_size = counts.groupBy("size").agg(F.sum("n").alias("n"))
     larger = Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     by_size = by_size.select("size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("larger"))
