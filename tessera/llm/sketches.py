@@ -78,8 +78,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x.as_buffer() if x.is_valid else b"" for x in batch.column(1).cast(pa.binary())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(rendered, sketches(texts)))], ["id", "fingerprint"])
+            texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(rendered, sketches(texts)), pa.string())], ["id", "fingerprint"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fingerprint string").withColumnRenamed("id", id_col)
