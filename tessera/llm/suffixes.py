@@ -68,32 +68,32 @@ def anchors(b: Block, length: int) -> tuple[np.ndarray, ...]:
 
 
 def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """(id, sum, first, last, rank, around): one row an anchor; a text is known by its id and 32-bit checksum."""
+    """Rows (row, text) to (row, first, last, rank, around): one row an anchor; a text is known by its row key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(2)):
+            for b in blocks(batch.column(1)):
                 row, first, last, _, rank, around = anchors(b, length)
                 at = pa.array(row + b.first)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(at), batch.column(1).take(at), *(pa.array(x.astype(np.int32)) for x in (first, last))]
+                    [batch.column(0).take(at), *(pa.array(x.astype(np.int32)) for x in (first, last))]
                     + [pa.array(x.view(np.int64)) for x in (rank, around)],
-                    ["id", "sum", "first", "last", "rank", "around"],
+                    ["row", "first", "last", "rank", "around"],
                 )
 
-    return docs.mapInArrow(run, "id long, sum int, first int, last int, rank long, around long")
+    return docs.mapInArrow(run, "row long, first int, last int, rank long, around long")
 
 
 def starts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """(id, sum, at, alone, rank): each start of the wanted runs (id, sum, first, last, alone), ranked over `length` bytes
+    """(row, at, alone, rank): each start of the wanted runs (row, first, last, alone), ranked over `length` bytes
     by the pair of ranks of its two halves."""
-    listed = wanted.groupBy("id", "sum").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs"))
+    listed = wanted.groupBy("row").agg(F.collect_list(F.struct("first", "last", "alone")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = length // 2
         for batch in batches:
-            for i, text in enumerate(unpacked(batch.column(2))):
-                runs = pa.Table.from_struct_array(batch.column(3)[i].values)
+            for i, text in enumerate(unpacked(batch.column(1))):
+                runs = pa.Table.from_struct_array(batch.column(2)[i].values)
                 first, last = runs["first"].to_numpy().astype(np.int64), runs["last"].to_numpy()
                 n = last - first + 1
                 run_of = np.repeat(np.arange(len(n)), n)
@@ -101,18 +101,18 @@ def starts(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 sums = prefix_sums(np.frombuffer(text, np.uint8))
                 rank = mix(span_hashes(sums, at, at + half) * PLACE + span_hashes(sums, at + half, at + length))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.repeat(batch.column(0)[i], len(at)), pa.repeat(batch.column(1)[i], len(at)), pa.array(at.astype(np.int32))]
+                    [pa.repeat(batch.column(0)[i], len(at)), pa.array(at.astype(np.int32))]
                     + [runs["alone"].combine_chunks().take(pa.array(run_of)), pa.array(rank.view(np.int64))],
-                    ["id", "sum", "at", "alone", "rank"],
+                    ["row", "at", "alone", "rank"],
                 )
 
-    rows = texts.join(listed, ["id", "sum"]).select("id", "sum", "packed", "runs")
-    return rows.mapInArrow(run, "id long, sum int, at int, alone boolean, rank long")
+    rows = texts.join(listed, "row").select("row", "packed", "runs")
+    return rows.mapInArrow(run, "row long, at int, alone boolean, rank long")
 
 
 def repeated_starts(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(id, sum, first, last): runs of starts whose `length` bytes start anywhere else too."""
-    place = ["id", "sum", "first", "last"]
+    """(row, first, last): runs of starts whose `length` bytes start anywhere else too."""
+    place = ["row", "first", "last"]
     found = anchor_rows(docs, length)
     shared = found.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
     met = keep(found.join(shared, "rank"))
@@ -127,7 +127,7 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, length: int) -> DataFrame
 
     each = keep(starts(texts, wanted, length))
     twice = each.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    single = each.where("alone").join(twice, "rank").select("id", "sum", F.col("at").alias("first"), F.col("at").alias("last"))
+    single = each.where("alone").join(twice, "rank").select("row", F.col("at").alias("first"), F.col("at").alias("last"))
     return whole.union(single)
 
 
@@ -143,12 +143,12 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not 2 <= length:
         raise ValueError("length is at least 2")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    known = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("id")
     rest = F.struct(*[F.col(f"`{c}`") for c in carry or []]) if carry else F.struct(F.lit(0).alias("_"))
-    known_rows = docs.select(known, F.hash(text).alias("sum"), text.alias("text"))
-    texts = packed_texts(docs.select(known, F.hash(text).alias("sum"), rest.alias("rest"), text.alias("text")))
-    runs = repeated_starts(known_rows, texts.drop("rest"), length)
-    listed = runs.groupBy("id", "sum").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    # Keys of rows are written out with them, so that a task that runs again gives the same ones.
+    rows = keep(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), rest.alias("rest"), text.alias("text")))
+    texts = packed_texts(rows.select("row", "id", "rest", "text"))
+    runs = repeated_starts(rows.select("row", "text"), packed_texts(rows.select("row", "text")), length)
+    listed = runs.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,11 +173,11 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 ["id", "rest", "n_bytes", "spans", "kept"],
             )
 
-    done = texts.join(listed, ["id", "sum"], "left").select("id", "rest", "packed", "runs")
+    done = texts.join(listed, "row", "left").select("id", "rest", "packed", "runs")
     kind = texts.schema["rest"].dataType.simpleString()
     out = done.mapInArrow(run, f"id long, rest {kind}, n_bytes long, spans array<struct<start:int,end:int>>, kept binary")
     carried = [F.col("rest").getField(c).alias(c) for c in carry or []]
-    return out.select(F.nullif("id", F.lit(-(2**63))).alias(id_col), "n_bytes", "spans", "kept", *carried)
+    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *carried)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
