@@ -1,11 +1,12 @@
 """Best-fit packing of documents into token sequences, in bulk-synchronous rounds.
 
-A round sorts the gaps of open sequences and the waiting documents by size, largest first, gaps before documents of the
-same size. Swept in that order, each document takes the gap seen last, which is the smallest that holds it; gaps and
-documents thus match like brackets. The depth of the nesting comes from counts by size and ranks within a size, a gap and
-its document being neighbours at one depth, so no task sweeps alone. Gaps are then updated and the round repeats. Documents larger
-than every gap open new sequences, as few as their tokens need, largest first. Gaps much larger than any waiting
-document are offered in several slots at once.
+A round range-sorts the gaps of open sequences and the waiting documents together by size, largest first, gaps before
+documents of the same size. Swept in that order, each document takes the gap seen last, which is the smallest that holds
+it; gaps and documents thus match like brackets. Every partition sweeps its own range: its sums are first chained on the
+driver (a few numbers a partition), so it knows how deep the nesting is where it begins. A document and its gap are
+neighbours at one depth. Gaps are then updated and the round repeats. Documents that find no gap come numbered in order
+of size; those larger than every gap open new sequences, as few as their tokens need, largest first. Gaps much larger
+than any waiting document are offered in several slots at once.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ from tessera.llm.encode import tokenizer_path, word_encoder
 from tessera.llm.words import blocks
 
 LENGTH, END = 4096, 1
-BUCKETS = 64
 SLOTS = 64
 PART = 20_000  # rows in a partition of the rounds' tables, which get smaller than the cluster's usual number is made for
 
@@ -61,86 +61,88 @@ def token_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids binary").withColumnRenamed("id", id_col)
 
 
-def matched(gaps: DataFrame, items: DataFrame, parts: int) -> DataFrame:
-    """gaps (bin, slot, size) and items (item, size) to rows (item, size, bin, slot), bin null where no gap is left: best
-    fit, largest item first, one item a slot."""
-    both = gaps.select(F.lit(0).alias("kind"), F.col("bin").alias("key"), "slot", "size").union(
-        items.select(F.lit(1).alias("kind"), F.col("item").alias("key"), F.lit(0).alias("slot"), "size")
-    )
-    both = both.withColumn("bucket", F.pmod(F.xxhash64("key", "slot"), F.lit(BUCKETS)))
-    dealt = both.groupBy("size", "kind", "bucket").agg(F.count("*").alias("n")).coalesce(BUCKETS // 8)  # sizes are bounded
-    within = Window.partitionBy("size", "kind").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    dealt = dealt.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
-    sized = dealt.groupBy("size").agg(
-        F.sum(F.when(F.col("kind") == 0, F.col("n")).otherwise(0)).alias("g"), F.sum(F.when(F.col("kind") == 1, F.col("n")).otherwise(0)).alias("d")
-    )
-    sweep = Window.orderBy(F.col("size").desc())  # a row for each size that occurs, so at most as many as a sequence has tokens
-    net = F.sum(F.col("g") - F.col("d")).over(sweep)
-    depth = F.col("net") - F.least(F.min("net").over(sweep), F.lit(0))
-    sized = sized.withColumn("net", net).withColumn("after", depth).withColumn("open", F.coalesce(F.lag("after").over(sweep), F.lit(0)))
-    placed = dealt.join(sized.select("size", "g", "open"), "size").select("size", "kind", "bucket", "before", "g", "open")
-    nth = F.col("before") + F.row_number().over(Window.partitionBy("size", "kind", "bucket").orderBy("key", "slot"))
-    level = F.when(F.col("kind") == 0, F.col("open") + nth).otherwise(F.col("open") + F.col("g") - nth + 1)
-    leveled = both.join(placed, ["size", "kind", "bucket"]).select("kind", "key", "slot", "size", level.alias("level")).coalesce(parts)
-    nested = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
-    last = F.lag(F.struct("kind", "key", "slot")).over(nested)
-    found = leveled.where("level > 0").withColumn("last", last).where("kind = 1")
-    out = found.select(F.col("key").alias("item"), "size", F.col("last.key").alias("bin"), F.col("last.slot").alias("slot"))
-    return out.union(leveled.where("level <= 0 and kind = 1").select("key", "size", F.lit(None).cast("long"), F.lit(None).cast("int")))
+def swept(offered: DataFrame, parts: int) -> DataFrame:
+    """Rows (kind, key, slot, size, gap), kind 0 for slots of gaps and 1 for items, with `level`, the depth at which a row
+    is matched, and `nth`, which numbers the items that find no gap from 1 on, largest first (level is then -nth)."""
+    names = ["kind", "key", "slot", "size", "gap", "level"]
+    order = [F.col("size").desc(), F.col("kind"), F.col("key"), F.col("slot")]
+    ranged = cut(offered.repartitionByRange(parts, *order).sortWithinPartitions(*order)).select(F.spark_partition_id().alias("part"), "*")
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, low, part = 0, 0, None
+        for batch in batches:
+            if batch.num_rows:
+                nets = net + np.cumsum(1 - 2 * batch.column(1).to_numpy().astype(np.int64))
+                part, net, low = batch.column(0)[0].as_py(), int(nets[-1]), min(low, int(nets.min()))
+        if part is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([net]), pa.array([low])], ["part", "net", "low"])
+
+    before, net, low = {}, 0, 0
+    for r in sorted(ranged.select("part", "kind").mapInArrow(sums, "part int, net long, low long").collect()):
+        before[r["part"]] = net, low
+        net, low = net + r["net"], min(low, net + r["low"])
+
+    def levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if net is None:
+                net, low = before[batch.column(0)[0].as_py()]
+            item = batch.column(1).to_numpy() == 1
+            nets = net + np.cumsum(np.where(item, -1, 1))
+            lows = np.minimum(np.minimum.accumulate(nets), low)
+            alone = lows < np.concatenate([[low], lows[:-1]])
+            level = np.where(alone, lows, nets - lows + item)
+            net, low = int(nets[-1]), int(lows[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(level)], names)
+
+    return ranged.mapInArrow(levels, "kind int, key long, slot int, size long, gap long, level long")
 
 
 def best_fit(items: DataFrame, length: int = LENGTH) -> DataFrame:
     """Items (item, size), item unique and sizes 1..length, to (item, size, bin, round, slot): in a bin, sizes add up to
     at most `length`. Bins are named by the item that opened them."""
-    opened = F.col("size") * 2 > length
+    opens = F.col("size") * 2 > length
     parts = -(-items.count() // PART) + 1
-    done = [cut(items.where(opened).select("item", "size", F.col("item").alias("bin"), F.lit(0).alias("round"), F.lit(0).alias("slot")))]
-    gaps = cut(done[0].where(F.col("size") < length).select("bin", (F.lit(length) - F.col("size")).alias("gap")))
-    todo = cut(items.where(~opened))
+    first = cut(items.select("item", "size", opens.alias("opens")))
+    done = [first.where("opens").select("item", "size", F.col("item").alias("bin"), F.lit(0).alias("round"), F.lit(0).alias("slot"))]
+    gaps = first.where(F.col("opens") & (F.col("size") < length)).select(F.col("item").alias("bin"), (F.lit(length) - F.col("size")).alias("gap"))
+    todo = first.where(~F.col("opens")).select("item", "size")
     turn = 0
     while True:
-        left = todo.agg(F.max("size"), F.min("size")).first()
-        if left[0] is None:
+        # At most as many rows as a sequence has tokens, twice.
+        seen = todo.select(F.lit(1).alias("kind"), "size").union(gaps.select(F.lit(0), "gap")).groupBy("kind", "size").count().collect()
+        waiting = sorted(((r["size"], r["count"]) for r in seen if r["kind"] == 1), reverse=True)
+        if not waiting:
             break
+        widest = max((r["size"] for r in seen if r["kind"] == 0), default=0)
         turn += 1
-        slots = F.least(F.greatest(F.floor(F.col("gap") / F.lit(left[0])), F.lit(1)), F.lit(SLOTS)).cast("int")
-        offered = gaps.where(F.col("gap") >= left[1]).withColumn("slots", slots)
-        offered = offered.select("bin", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.floor(F.col("gap") / F.col("slots")).alias("size"))
-        met = cut(matched(offered, todo, parts).coalesce(parts))
-        done.append(met.where("bin is not null").select("item", "size", "bin", F.lit(turn).alias("round"), "slot"))
-        taken = done[-1].groupBy("bin").agg(F.sum("size").alias("taken"))
-        gaps = cut(
-            gaps.join(taken, "bin", "left").select("bin", (F.col("gap") - F.coalesce("taken", F.lit(0))).alias("gap")).where("gap > 0").coalesce(parts)
+        largest, least = waiting[0][0], waiting[-1][0]
+        tokens = sum(size * n for size, n in waiting if size > widest)
+        slots = F.least(F.greatest(F.floor(F.col("gap") / F.lit(largest)), F.lit(1)), F.lit(SLOTS)).cast("int")
+        offered = (
+            gaps.where(F.col("gap") >= least)  # no waiting item will ever fit a smaller one
+            .withColumn("slots", slots)
+            .select(F.lit(0).alias("kind"), F.col("bin").alias("key"), F.explode(F.sequence(F.lit(0), F.col("slots") - 1)).alias("slot"), F.floor(F.col("gap") / F.col("slots")).alias("size"), "gap")
+            .union(todo.select(F.lit(1), "item", F.lit(0), "size", F.lit(None).cast("long")))
         )
-        todo = met.where("bin is null").select("item", "size")
-        widest = gaps.agg(F.max("gap")).first()[0] or 0
-        stuck = todo.where(F.col("size") > widest)
-        tokens = stuck.agg(F.sum("size")).first()[0]
+        nested = Window.partitionBy("level").orderBy(F.col("size").desc(), "kind")
+        met = swept(offered, parts).withColumns({"held": F.lag(F.struct("key", "slot")).over(nested), "taken": F.lead("size").over(nested)})
+        met = cut(met.coalesce(parts))
+        new = (F.col("kind") == 1) & F.col("level").between(-(-(-tokens // length)), -1)
+        done.append(met.where("kind = 1 and level > 0").select(F.col("key").alias("item"), "size", "held.key", F.lit(turn), "held.slot"))
         if tokens:
-            new = cut(opening(stuck, -(-tokens // length), turn).coalesce(parts))
-            done.append(new)
-            gaps = cut(gaps.union(new.select("bin", (F.lit(length) - F.col("size")).alias("gap"))))
-            todo = cut(todo.join(new.select("item"), "item", "left_anti").coalesce(parts))
+            done.append(met.where(new).select(F.col("key").alias("item"), "size", "key", F.lit(turn), F.lit(0)))
+        gaps = met.where("kind = 0").groupBy(F.col("key").alias("bin")).agg((F.first("gap") - F.sum(F.coalesce("taken", F.lit(0)))).alias("gap")).where("gap > 0")
+        gaps = gaps.union(met.where(new & (F.col("size") < length)).select("key", F.lit(length) - F.col("size")))
+        todo = met.where((F.col("kind") == 1) & (F.col("level") < 0) & ~new).select(F.col("key").alias("item"), "size")
     whole = done[0]
     for part in done[1:]:
         whole = whole.union(part)
     return whole
 
 
-def opening(rest: DataFrame, bins: int, turn: int) -> DataFrame:
-    """The `bins` largest items, each opening a bin."""
-    rows = rest.withColumn("bucket", F.pmod(F.xxhash64("item"), F.lit(BUCKETS)))
-    counts = rows.groupBy("size", "bucket").agg(F.count("*").alias("n")).coalesce(BUCKETS // 8)
-    by_size = counts.groupBy("size").agg(F.sum("n").alias("n"))
-    larger = Window.orderBy(F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    by_size = by_size.select("size", F.coalesce(F.sum("n").over(larger), F.lit(0)).alias("larger"))
-    within = Window.partitionBy("size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(by_size, "size")
-    nth = F.col("larger") + F.col("before") + F.row_number().over(Window.partitionBy("size", "bucket").orderBy("item"))
-    chosen = rows.join(counts.where(F.col("larger") < bins), ["size", "bucket"]).withColumn("nth", nth).where(F.col("nth") <= bins)
-    return chosen.select("item", "size", F.col("item").alias("bin"), F.lit(turn).alias("round"), F.lit(0).alias("slot"))
-
-
 def pack(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """Rows with a `length` column (1..length) get sequence_id and a gapless offset in it; other columns stay.
 

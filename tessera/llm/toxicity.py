@@ -8,6 +8,7 @@ that a score of one half is the threshold. Scoring is one pass over the document
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -23,6 +24,7 @@ WORDS, STEMS, STEM_BYTES = 1 << 15, 1 << 13, 4
 DIM, FILTERS, WIDTHS = 16, 8, (1, 2, 3)
 PAD = max(WIDTHS)
 MOST_TOXIC, MOST_CLEAN = 2_000, 4_000  # labelled rows of either kind that are learned from, chosen by a hash of the id
+MOST_WORDS = 20_000_000  # words of these rows: rows beyond, in the order of the hash, aren't learned from
 STEPS, BATCH, RATE = 900, 32, 0.05
 
 
@@ -192,8 +194,9 @@ def features(docs: DataFrame, text_col: str) -> DataFrame:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Train on the labelled texts of `labels` (id_col, toxic), at most MOST_TOXIC and MOST_CLEAN rows of them.
 
-    A row without a label or text isn't learned from; several labels of one id count as toxic if any is; a null language
-    only serves for the common threshold.
+    A row without a label or text isn't learned from; several labels of one id count as toxic if any is; of equal hashes the
+    smaller id comes first; a null language only serves for the common threshold. One task trains, and only the model, of
+    a fixed size, reaches the driver.
     """
     known = labels.where("toxic is not null").groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     pick = F.xxhash64("id")
@@ -202,19 +205,44 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     for kind, most in ((1, MOST_TOXIC), (0, MOST_CLEAN)):
         part = known.where(F.col("toxic") == kind).orderBy(pick, "id").limit(most)
         sample = part if sample is None else sample.union(part)
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     bounded = features(rows.join(F.broadcast(sample), "id"), "text").orderBy(F.xxhash64("id"), "id", "words").limit(MOST_TOXIC + MOST_CLEAN)
-    got = bounded.toArrow()
-    toxic = got["toxic"].to_numpy().astype(np.float32)
-    names = sorted({x for x in got["lang"].to_pylist() if x is not None})
-    lang = np.array([names.index(x) if x is not None else -1 for x in got["lang"].to_pylist()], np.int64)
-    texts = [
-        (np.frombuffer(w.as_buffer(), "<u2").astype(np.int64), np.frombuffer(s.as_buffer(), "<u2").astype(np.int64))
-        for w, s in zip(got["words"], got["stems"], strict=True)
-    ]
-    have = {k: max(1.0, float((toxic == k).sum())) for k in (0, 1)}
-    weight = np.array([totals.get(int(y), 1) / have[int(y)] for y in toxic])
-    return train(texts, toxic, lang, weight)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([stored(trained(batches, totals))], pa.binary())], ["model"])
+
+    made = bounded.select("toxic", "lang", "words", "stems").mapInArrow(learn, "model binary").collect()
+    return restored(made[0]["model"]) if made else trained(iter(()), totals)
+
+
+def trained(batches: Iterator[pa.RecordBatch], totals: dict[int, int]) -> Model:
+    """A model from batches (toxic, lang, words, stems), with `totals` labelled rows of either kind in all."""
+    toxic, lang, texts, words = [], [], [], 0
+    for batch in batches:
+        for y, name, word, stem in zip(*(batch.column(i) for i in range(4)), strict=True):
+            if texts and words >= MOST_WORDS:
+                break
+            toxic.append(y.as_py())
+            lang.append(name.as_py())
+            texts.append((np.frombuffer(word.as_py(), "<u2"), np.frombuffer(stem.as_py(), "<u2")))
+            words += len(texts[-1][0])
+    names = sorted({x for x in lang if x is not None})
+    numbers = np.array([names.index(x) if x is not None else -1 for x in lang], np.int64)
+    kinds = np.array(toxic, np.float32)
+    have = {k: max(1.0, float((kinds == k).sum())) for k in (0, 1)}
+    weight = np.array([totals.get(int(y), 1) / have[int(y)] for y in kinds])
+    return train(texts, kinds, numbers, weight)
+
+
+def stored(model: Model) -> bytes:
+    out = io.BytesIO()
+    np.savez(out, **model._asdict())
+    return out.getvalue()
+
+
+def restored(data: bytes) -> Model:
+    with np.load(io.BytesIO(data)) as held:
+        return Model(**{k: float(held[k]) if k == "shift" else held[k] for k in Model._fields})
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
