@@ -111,6 +111,25 @@ def test_cut_repeats_equals_brute_force(spark, varied, length):
     assert suffixes.cut_repeats(empty(spark)).count() == 0
 
 
+def test_passages_equal_brute_force(spark):
+    """Passages of just over 50 words, shorter and longer than 400 bytes, across texts and within one."""
+    short, long = " ".join(["ab", "cde", "f"] * 17), prose(77, 52)
+    rows = [(1, "start " + short + " x y"), (2, "other \t words " + short.replace(" ", "  ") + " z"), (3, long), (4, prose(5, 90) + " " + long + " end"), (5, prose(6, 300)), (6, None), (7, "one two"), (8, ""), (8, " ".join(short.split()[:49]))]
+    rows += [(20 + i, prose(30 + i, 70) + " " + prose(99, 85)) for i in range(30)]
+    assert len(short) < 400 < len(prose(99, 85))
+    docs = documents(spark, rows)
+    split = [(r[1] or "").split() for r in rows]
+    gone = list(cut_by_force([tuple(w) for w in split], 51))
+    want = sorted((r[0], int(g.sum())) for r, g in zip(rows, gone, strict=True))
+    marked = suffixes.cut_repeats(docs, passage=51).collect()
+    assert sorted((r["doc_id"], r["passage_words"]) for r in marked) == want
+    plain = {str((r["doc_id"], r["spans"])) for r in suffixes.cut_repeats(docs).collect()}
+    assert {str((r["doc_id"], r["spans"])) for r in marked} == plain
+    kept = sorted((r["doc_id"], bytes(r["kept"]).decode().split()) for r in suffixes.cut_repeats(docs, length=51, unit="words").collect())
+    assert kept == sorted((r[0], [w for w, x in zip(ws, g, strict=True) if not x]) for r, ws, g in zip(rows, split, gone, strict=True))
+    assert dict(want)[1] >= 51 and dict(want)[2] >= 51 and dict(want)[3] == 52 and dict(want)[5] == 0
+
+
 def test_mixing_meets_targets(spark):
     rng = np.random.default_rng(0)
     rows = [(i, prose(i, int(rng.integers(1, 120))), None, ["big", "mid", "low", None][min(3, int(rng.exponential(0.9)))]) for i in range(400)]
