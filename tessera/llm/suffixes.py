@@ -148,8 +148,10 @@ def steps(texts: DataFrame, wanted: DataFrame, lengths: dict[int, int]) -> DataF
 
 
 def repeated(rows: DataFrame, key: str) -> DataFrame:
-    """The keys that occur more than once, written out so that a join on a hot key can be split."""
-    return cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    """The keys that occur more than once, where there is a mark `alone` in a row that has it; written out so that a join on
+    a hot key can be split."""
+    counts = rows.groupBy(key).agg(F.count("*").alias("n"), F.max("alone" if "alone" in rows.columns else F.lit(True)).alias("any"))
+    return cut(counts.where("n > 1 and any").select(key))
 
 
 def repeated_starts(docs: DataFrame, texts: DataFrame, lengths: dict[int, int]) -> DataFrame:
