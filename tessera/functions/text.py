@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Datatypes by the suffix of their name, in the order they are tried.
+# JSON types by datatype, in the order they are tried.
 JSON_TYPES = (
-    ("string", "string"), ("integer", "integer"), ("int", "integer"), ("float", "number"), ("double", "number"), ("decimal", "number"),
-    ("boolean", "boolean"), ("dateTime", "datetime"), ("date", "date"), ("anyURI", "uri"),
+    ("xsd:string", "string"), ("xsd:integer", "integer"), ("xsd:int", "integer"), ("xsd:float", "float"), ("xsd:double", "float"),
+    ("xsd:boolean", "boolean"), ("xsd:date", "date"), ("xsd:dateTime", "datetime"),
 )
 
 
@@ -23,12 +23,19 @@ def spaced_label(uri: Column) -> Column:
 
 
 def json_type(datatype: Column) -> Column:
+    """The type whose name an IRI holds, or ends with after its prefix; string otherwise."""
     out = F.lit("string")
-    for suffix, kind in reversed(JSON_TYPES):
-        out = F.when(F.endswith(datatype, F.lit(suffix)), kind).otherwise(out)
+    for name, kind in reversed(JSON_TYPES):
+        hit = F.contains(datatype, F.lit(name)) | F.endswith(datatype, F.lit(name.removeprefix("xsd:")))
+        out = F.when(hit, kind).otherwise(out)
     return out
 
 
+def compact_id(uri: Column) -> Column:
+    """cls: before local names that begin with a capital, rel: before others."""
+    return F.concat(F.when(local_name(uri).rlike("^[A-Z]"), "cls:").otherwise("rel:"), local_name(uri))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words between white space."""
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")

@@ -66,6 +66,24 @@ VIEWS = {
         UNION ALL SELECT 'urn:graph:seed', concat('urn:class#', child), 'rdfs:subClassOf', concat('urn:class#', parent) FROM {class_tree}
         UNION ALL SELECT DISTINCT 'urn:graph:seed', concat('urn:class#', child), 'rdf:type', 'owl:Class' FROM {class_tree}
         UNION ALL SELECT DISTINCT 'urn:graph:seed', concat('urn:class#', child), 'rdfs:label', child FROM {class_tree}""",
+    "onto": """
+        SELECT s, p, o FROM {triples} WHERE graph = 'urn:graph:seed' AND s LIKE 'urn:class#%'
+        UNION SELECT concat('urn:class#', n_name), 'skos:altLabel', concat('Land of ', n_name) FROM {nation}
+        UNION SELECT concat('urn:class#', n_name), 'rdfs:comment', concat('Nation ', n_nationkey, ' of region ', n_regionkey) FROM {nation}
+        UNION SELECT concat('urn:class#', r_name), 'rdfs:subClassOf', concat('_:b', r_regionkey) FROM {region}
+        UNION SELECT 'urn:class#LARGE', 'owl:disjointWith', 'urn:class#SMALL' FROM {part}
+        UNION SELECT concat('urn:prop#', p_brand), 'rdf:type', 'owl:ObjectProperty' FROM {part}
+        UNION SELECT concat('urn:prop#', p_brand), 'rdfs:label', lower(p_brand) FROM {part} WHERE p_brand <> 'Brand#7'
+        UNION SELECT concat('urn:prop#', p_brand), 'rdfs:domain', concat('urn:class#', p_type) FROM {part} WHERE p_size > 35
+        UNION SELECT concat('urn:prop#', p_brand), 'rdfs:range', concat('urn:class#', n_name) FROM {part} JOIN {nation} ON n_nationkey = p_partkey % 25 WHERE p_size > 40
+        UNION SELECT concat('urn:prop#', p_brand), 'owl:inverseOf', concat('urn:prop#inverse', p_brand) FROM {part} WHERE p_brand LIKE 'Brand#1%'
+        UNION SELECT concat('urn:attr#', split_part(p_name, ' ', 1)), 'rdf:type', 'owl:DatatypeProperty' FROM {part}
+        UNION SELECT concat('urn:attr#', split_part(p_name, ' ', 1)), 'rdfs:label', split_part(p_name, ' ', 1) FROM {part}
+        UNION SELECT concat('urn:attr#', split_part(p_name, ' ', 1)), 'rdfs:domain', concat('urn:class#', p_type) FROM {part} WHERE p_size > 30
+        UNION SELECT concat('urn:attr#', split_part(p_name, ' ', 1)), 'rdfs:range',
+              CASE length(split_part(p_name, ' ', 1)) WHEN 3 THEN 'xsd:date' WHEN 4 THEN 'xsd:float' WHEN 5 THEN 'xsd:integer' ELSE 'xsd:string' END FROM {part}
+        UNION SELECT concat('urn:attr#', split_part(p_name, ' ', 1)), 'owl:cardinality', CASE WHEN length(p_name) % 2 = 0 THEN '1' ELSE '0' END FROM {part}
+              WHERE p_name IN ('cold widget', 'large bolt', 'small widget', 'hot gear', 'red gear')""",
 }
 
 
