@@ -15,8 +15,12 @@ def coverage_tiers(types: DataFrame, classes: DataFrame) -> DataFrame:
     c = classes.select("label").distinct()
     exact = t.join(c, F.lower("entity_type") == F.lower("label"), "left_semi").withColumns({"match": F.col("entity_type"), "similarity": F.lit(1.0), "tier": F.lit("exact")})
     rest = t.join(exact.select("entity_type"), "entity_type", "left_anti")
-    inside = F.contains(F.lower("entity_type"), F.lower("label")) | F.contains(F.lower("label"), F.lower("entity_type"))
-    part = rest.join(c, inside).groupBy("entity_type").agg(F.min("label").alias("match")).withColumns({"similarity": F.lit(0.9), "tier": F.lit("substring")})
+    low = c.select("label", F.lower("label").alias("text"))
+    inside = holding(rest.select("entity_type", F.lower("entity_type").alias("text")), low.select(F.col("text").alias("label")).distinct())
+    inside = inside.select("entity_type", F.col("label").alias("text")).join(low, "text").select("entity_type", "label")
+    around = holding(low.withColumnRenamed("label", "class"), rest.select(F.lower("entity_type").alias("label")).distinct())
+    around = around.join(rest, F.lower("entity_type") == F.col("label")).select("entity_type", F.col("class").alias("label"))
+    part = inside.union(around).groupBy("entity_type").agg(F.min("label").alias("match")).withColumns({"similarity": F.lit(0.9), "tier": F.lit("substring")})
     none = rest.join(part.select("entity_type"), "entity_type", "left_anti")
     none = none.withColumns({"match": F.lit(None).cast("string"), "similarity": F.lit(0.0), "tier": F.lit("none")})
     return exact.unionByName(part).unionByName(none)
@@ -66,12 +70,36 @@ def siblings(proposed: DataFrame, seeds: DataFrame, threshold: float = 0.6, most
     return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(F.col("right_id").alias("seed"), F.col("left_id").alias("sibling"), "nth")
 
 
+FEW_TERMS = 1_000  # up to so many terms are sent to every task; more are met by their lengths
+
+
+def holding(texts: DataFrame, terms: DataFrame, text_col: str = "text", few: int = FEW_TERMS) -> DataFrame:
+    """texts with each term (label) that they hold as a plain substring; empty terms are held by none.
+
+    A few terms, which is counted, are broadcast. More are met by equality: a text gives its pieces of every length that a
+    term has, so the work grows with the text and the number of lengths and not with the number of terms.
+    """
+    words = terms.select("label").where("label <> ''").distinct()
+    lengths = [r[0] for r in words.select(F.length("label")).distinct().collect()]  # at most as many as the longest term has characters
+    if words.limit(few + 1).count() <= few:
+        return texts.join(F.broadcast(words), F.contains(F.col(text_col), F.col("label")))
+    size = F.length(text_col)
+    pieces = [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col(text_col), i, F.lit(n)))) for n in lengths]
+    empty = F.array().cast("array<string>")
+    held = texts.withColumn("label", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, empty) for p in pieces])))))
+    return held.join(words, "label", "left_semi")
+
+
 def cooccurrence_votes(chunks: DataFrame, proposed: DataFrame, seeds: DataFrame) -> DataFrame:
     """For each proposed label the seed label that most chunks hold together with it (plain substrings, ignoring case),
-    with its share of all such votes; ties by label. Term lists are small, chunks are scanned once for each list."""
+    with its share of all such votes; ties by label. Labels that differ in case alone are one, the first in order."""
     text = chunks.select("chunk_id", F.lower("text").alias("text"))
-    holds = lambda terms, name: text.join(F.broadcast(terms.limit(10_000)), F.contains("text", F.lower("label"))).select("chunk_id", F.col("label").alias(name))
-    votes = holds(proposed, "label").join(holds(seeds, "seed"), "chunk_id").where(F.col("label") != F.col("seed")).groupBy("label", "seed").agg(F.count("*").alias("votes"))
+
+    def held(terms: DataFrame, name: str) -> DataFrame:
+        low = terms.groupBy(F.lower("label").alias("low")).agg(F.min("label").alias(name))
+        return holding(text, low.select(F.col("low").alias("label"))).select("chunk_id", F.col("label").alias("low")).join(low, "low").drop("low")
+
+    votes = held(proposed, "label").join(held(seeds, "seed"), "chunk_id").where(F.col("label") != F.col("seed")).groupBy("label", "seed").agg(F.count("*").alias("votes"))
     order = Window.partitionBy("label").orderBy(F.col("votes").desc(), "seed")
     total = F.sum("votes").over(Window.partitionBy("label"))
     ranked = votes.withColumns({"nth": F.row_number().over(order), "share": F.col("votes") / total})
@@ -86,7 +114,7 @@ def weighted_votes(votes: DataFrame, weights: dict[str, float]) -> DataFrame:
         weight = F.when(F.col("strategy") == name, w).otherwise(weight)
     totals = votes.groupBy("label").agg(F.count("*").alias("all_votes"))
     by_parent = votes.where("parent is not null").groupBy("label", "parent").agg(F.sum(weight * F.col("confidence")).alias("score"), F.count("*").alias("n"))
-    order = Window.partitionBy("label").orderBy(F.col("score").desc(), "parent")
+    order = Window.partitionBy("label").orderBy(F.round("score", 8).desc(), "parent")  # sums in another order are the same score
     best = by_parent.withColumn("nth", F.row_number().over(order)).where("nth = 1")
     return best.join(totals, "label").select("label", "parent", (F.col("score") / sum(weights.values())).alias("confidence"), (F.col("n") / F.col("all_votes")).alias("agreement"))
 

@@ -5,20 +5,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.lineage import settle
+
+
+def numbered(rows: DataFrame, order: list[str | Column], name: str) -> DataFrame:
+    """rows with their place from 1 in an order, which should have no ties: ranges are sorted apart, and each adds the
+    number of rows in the ranges before it, so no task sees all rows."""
+    split = settle(rows.repartitionByRange(*order).sortWithinPartitions(*order)).withColumn("_part", F.spark_partition_id())
+    counts = split.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row a partition
+    starts = counts.select("_part", before.alias("_before"))
+    inner = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return split.withColumn("_nth", inner).join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
+
 
 def ranked(rows: DataFrame, source: str, order: list[Column]) -> DataFrame:
     """A result list with its source and rank from 1."""
-    return rows.withColumns({"source": F.lit(source), "rank": F.row_number().over(Window.partitionBy().orderBy(*order))})
+    return numbered(rows, order, "rank").withColumn("source", F.lit(source))
 
 
-def reciprocal_rank_fusion(lists: DataFrame, weights: dict[str, float], k: int = 60, prefix: int = 200) -> DataFrame:
-    """lists (source, rank, id, text) fused by the sum of weight / (k + rank) over rows that share a text prefix; the row of
-    the best rank stands for its key."""
-    weight = F.lit(0.0)
-    for name, w in weights.items():
+def reciprocal_rank_fusion(lists: DataFrame, weights: dict[str, float], k: int = 60) -> DataFrame:
+    """lists (source, rank, key, id) fused by the sum of weight / (k + rank) over rows that share a key; a source without a
+    weight counts 1. The row of the first list, in the order of the weights, stands for its key."""
+    weight, place = F.lit(1.0), F.lit(len(weights))
+    for n, (name, w) in enumerate(weights.items()):
         weight = F.when(F.col("source") == name, w).otherwise(weight)
-    keyed = lists.withColumn("key", F.substring("text", 1, prefix))
-    return keyed.groupBy("key").agg(F.sum(weight / (k + F.col("rank"))).alias("score"), F.min(F.struct("rank", "id"))["id"].alias("id"), F.count("*").alias("lists")).drop("key")
+        place = F.when(F.col("source") == name, n).otherwise(place)
+    rows = lists.withColumns({"_weight": weight, "_place": place})
+    score = F.sum(F.col("_weight") / (k + F.col("rank")))
+    return rows.groupBy("key").agg(score.alias("score"), F.min(F.struct("_place", "rank", "id"))["id"].alias("id"), F.count("*").alias("lists")).drop("key")
 
 
 def adaptive_weights(queries: DataFrame, graph: float = 0.4, vector: float = 0.4) -> DataFrame:
@@ -57,5 +72,5 @@ def evidence(rows: DataFrame, prefix: int = 150, most: int = 25) -> DataFrame:
 
 
 def positional_scores(rows: DataFrame, order: str, start: float, step: float) -> DataFrame:
-    """Scores that fall by a step with each row."""
-    return rows.withColumn("score", start - step * (F.row_number().over(Window.partitionBy().orderBy(order)) - 1))
+    """Scores that fall by a step with each row, never below 0."""
+    return numbered(rows, [order], "_nth").withColumn("score", F.greatest(start - step * (F.col("_nth") - 1), F.lit(0.0))).drop("_nth")

@@ -171,16 +171,16 @@ def debate_transcripts(spark, sf_dir):
     return debate.transcripts(view(spark, sf_dir, "messages"))
 
 
-@query("""WITH d AS (SELECT doc_id AS id, text, n_chars, lang FROM documents), a AS (SELECT 'vector' AS source, row_number() OVER (ORDER BY n_chars DESC, id) AS rank, id, text FROM d WHERE lang = 'en'),
-    b AS (SELECT 'graph' AS source, row_number() OVER (ORDER BY n_chars, id) AS rank, id, text FROM d WHERE id % 2 = 0),
-    u AS (SELECT *, substr(text, 1, 200) AS k, CASE source WHEN 'vector' THEN 0.4e0 ELSE 0.6e0 END AS w FROM (SELECT * FROM a UNION ALL SELECT * FROM b) AS x)
-    SELECT round(sum(w / (60 + rank)), 8) AS score, arg_min(id, rank * 1000000 + id) AS id, count(*) AS lists FROM u GROUP BY k""")
+@query("""WITH d AS (SELECT doc_id AS id, substr(text, 1, 200) AS k, n_chars, lang FROM documents), a AS (SELECT 'vector' AS source, row_number() OVER (ORDER BY n_chars DESC, id) AS rank, id, k FROM d WHERE lang = 'en'),
+    b AS (SELECT 'graph' AS source, row_number() OVER (ORDER BY n_chars, id) AS rank, id, k FROM d),
+    u AS (SELECT *, CASE source WHEN 'vector' THEN 0.4e0 ELSE 1.0e0 END AS w FROM (SELECT * FROM a UNION ALL SELECT * FROM b) AS x)
+    SELECT round(sum(w / (60 + rank)), 8) AS score, arg_min(id, CASE source WHEN 'vector' THEN 0 ELSE 1000000000000 END + rank) AS id, count(*) AS lists FROM u GROUP BY k""")
 def rrf_fusion(spark, sf_dir):
-    """Two rankings of documents fused."""
-    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "n_chars", "lang")
+    """Two rankings of all documents fused by the first 200 characters, one list without a weight of its own."""
+    docs = view(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 200).alias("key"), "n_chars", "lang")
     a = retrieval.ranked(docs.where("lang = 'en'"), "vector", [F.col("n_chars").desc(), F.col("id")])
-    b = retrieval.ranked(docs.where("id % 2 = 0"), "graph", [F.col("n_chars"), F.col("id")])
-    return retrieval.reciprocal_rank_fusion(a.unionByName(b), {"vector": 0.4, "graph": 0.6}).select(rounded("score", 8), "id", "lists")
+    b = retrieval.ranked(docs, "graph", [F.col("n_chars"), F.col("id")])
+    return retrieval.reciprocal_rank_fusion(a.unionByName(b), {"vector": 0.4}).select(rounded("score", 8), "id", "lists")
 
 
 @query("""WITH q AS (SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'causal' WHEN 1 THEN 'comparative' ELSE 'factoid' END AS t, o_orderkey % 2 AS n, o_orderkey % 9 AS m FROM orders),

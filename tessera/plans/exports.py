@@ -62,9 +62,9 @@ def turtle_nodes(spark, sf_dir):
     return exports.turtle(view(spark, sf_dir, "kg_nodes"))
 
 
-@query("""WITH r AS (SELECT concat('urn:evidence#', event_id) AS at, concat('urn:element#', user_id) AS element, concat('doc', event_id % 50) AS document, props AS passage, value / 1000 AS confidence, user_id % 7 + 1 AS phase FROM events)
-    SELECT DISTINCT s, p, o FROM (SELECT at AS s, 'rdf:type' AS p, 'prov:Entity' AS o FROM r UNION ALL SELECT at, 'prov:wasQuotedFrom', document FROM r UNION ALL SELECT at, 'prov:value', passage FROM r
-    UNION ALL SELECT at, 'ex:confidence', printf('%.4f', confidence) FROM r UNION ALL SELECT at, 'ex:phase', CAST(phase AS VARCHAR) FROM r UNION ALL SELECT element, 'prov:wasDerivedFrom', at FROM r) AS x WHERE o IS NOT NULL""")
+@query("""WITH r AS (SELECT concat('urn:evidence#', event_id) AS ev, concat('urn:element#', user_id) AS element, concat('doc', event_id % 50) AS document, props AS passage, floor(value) / 1000.0 AS confidence, user_id % 7 + 1 AS phase FROM events)
+    SELECT DISTINCT s, p, o FROM (SELECT ev AS s, 'rdf:type' AS p, 'prov:Entity' AS o FROM r UNION ALL SELECT ev, 'prov:wasQuotedFrom', document FROM r UNION ALL SELECT ev, 'prov:value', passage FROM r
+    UNION ALL SELECT ev, 'ex:confidence', printf('%.4f', confidence) FROM r UNION ALL SELECT ev, 'ex:phase', CAST(phase AS VARCHAR) FROM r UNION ALL SELECT element, 'prov:wasDerivedFrom', ev FROM r) AS x WHERE o IS NOT NULL""")
 def provenance_triples(spark, sf_dir):
     """Evidence records as triples."""
     return exports.provenance(evidence(spark, sf_dir))
@@ -73,7 +73,7 @@ def provenance_triples(spark, sf_dir):
 def evidence(spark, sf_dir):
     e = view(spark, sf_dir, "events")
     return e.select(F.col("event_id").alias("seq"), F.concat(F.lit("urn:element#"), F.col("user_id").cast("string")).alias("element"), F.concat(F.lit("doc"), (F.col("event_id") % 50).cast("string")).alias("document"),
-                    F.col("props").alias("passage"), (F.col("value") / 1000).alias("confidence"), (F.col("user_id") % 7 + 1).alias("phase"))
+                    F.col("props").alias("passage"), (F.floor("value") / 1000.0).alias("confidence"), (F.col("user_id") % 7 + 1).alias("phase"))
 
 
 NEW = """, w AS (SELECT concat('urn:new#', c_custkey) AS uri, c_name AS label, concat('urn:class#', c_mktsegment) AS parent, CASE WHEN c_custkey % 2 = 0 THEN concat('Customer ', c_custkey) END AS comment FROM customer),
@@ -100,12 +100,12 @@ def reparent_classes(spark, sf_dir):
     return exports.reparented(view(spark, sf_dir, "triples"), moves, layers.SEED).select("graph", "s", "p", "o")
 
 
-@query("""WITH c AS (SELECT l_orderkey AS batch, l_linenumber * 1000000000 + l_partkey * 10000 + l_suppkey AS seq, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY ALL),
+@query("""WITH c AS (SELECT l_orderkey AS batch, CAST(l_linenumber AS BIGINT) * 1000000000 + l_partkey * 10000 + l_suppkey AS seq, bool_and(l_returnflag <> 'R') AS ok FROM lineitem GROUP BY ALL),
     b AS (SELECT *, coalesce(sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY batch ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM c)
     SELECT batch, seq, CASE WHEN n > 0 THEN 'skipped' WHEN ok THEN 'applied' ELSE 'failed' END AS status FROM b""")
 def bulk_changes(spark, sf_dir):
     """A batch stops at its first error."""
-    seq = F.col("l_linenumber") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
+    seq = F.col("l_linenumber").cast("long") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")
     rows = view(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch"), seq.alias("seq")).agg(F.bool_and(F.col("l_returnflag") != "R").alias("ok"))
     return exports.bulk(rows)
 
