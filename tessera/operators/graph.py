@@ -5,7 +5,7 @@ Loops run over hops, never over rows; every step is a join and a distinct or an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.lineage import settle
@@ -59,9 +59,11 @@ def hop_decay(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, top: in
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds."""
-    steps = settle(both_ways(edges).withColumn("share", 1.0 / F.count("*").over(Window.partitionBy("a"))))
+    both = both_ways(edges)
+    degree = both.groupBy("a").agg((1.0 / F.count("*")).alias("share"))
+    steps = settle(both.join(degree, "a"))
     start = seeds.select("id").distinct()
-    start = start.select("id", (1.0 / F.count("*").over(Window.partitionBy())).alias("base"))
+    start = start.withColumn("base", F.lit(1.0 / max(1, start.count())))
     ranks = start.select("id", F.col("base").alias("rank"))
     for n in range(1, rounds + 1):
         flow = ranks.join(steps, ranks["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
@@ -71,38 +73,59 @@ def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds:
     return ranks
 
 
-def closure(tree: DataFrame, most: int = 8) -> DataFrame:
-    """(node, ancestor, depth): all ancestors of a child-parent table (child, parent) within `most` steps, by the fewest
-    steps. Cycles end at the limit."""
-    up = settle(tree.select("child", "parent").distinct())
-    level = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    found = level
-    for n in range(2, most + 1):
+def closure(tree: DataFrame) -> DataFrame:
+    """(node, ancestor, depth): all ancestors of a child-parent table (child, parent) by the fewest steps. Every step looks
+    only from the pairs that are new, so cycles end where they close: a class in a cycle is its own ancestor."""
+    up = settle(tree.select("child", "parent").where("child is not null and parent is not null").distinct())
+    level = found = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
+    depth = 1
+    while True:
+        depth += 1
         above = level.join(up, level["ancestor"] == up["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        level = settle(above.withColumn("depth", F.lit(n)))
+        level = settle(above.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
         if level.isEmpty():
-            break
+            return found
         found = found.union(level)
-    return found.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
 
 
-def descendants(tree: DataFrame, root: str, most: int = 8) -> DataFrame:
-    """All that lie below a node, the node itself included at depth 0."""
+def longest(tree: DataFrame) -> DataFrame:
+    """(node, depth): steps of the longest chain up from each node; on a cycle the walk ends before a node comes again, so
+    what lies on or below one counts by its fewest steps to each ancestor."""
+    up = settle(tree.select("child", "parent").where("child is not null and parent is not null and child <> parent").distinct())
+    level = up.select(F.col("parent").alias("node")).union(up.select("child")).distinct().withColumn("depth", F.lit(0))
+    above = closure(up)
+    looped = above.where("node = ancestor").select("node")
+    bad = above.join(looped.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node").distinct()
+    acyclic = settle(up.join(bad, up["child"] == bad["node"], "left_anti"))
+    best = settle(level)
+    while True:
+        best_of = acyclic.join(best, acyclic["parent"] == best["node"]).groupBy(F.col("child").alias("node")).agg((F.max("depth") + 1).alias("deeper"))
+        after = settle(best.join(best_of, "node", "left").select("node", F.greatest("depth", F.coalesce("deeper", F.lit(0))).alias("depth"), (F.coalesce("deeper", F.lit(0)) > F.col("depth")).alias("moved")))
+        best = after.select("node", "depth")
+        if after.where("moved").isEmpty():
+            break
+    short = above.join(bad, "node", "left_semi").groupBy("node").agg(F.max("depth").alias("near"))
+    return best.join(short, "node", "left").select("node", F.greatest("depth", F.coalesce("near", F.lit(0))).alias("depth"))
+
+
+def descendants(tree: DataFrame, root: str) -> DataFrame:
+    """All that lie below a node by the fewest steps, the node itself included at depth 0."""
     spark = tree.sparkSession
     tree = settle(tree.select("child", "parent"))
     seen = frontier = spark.range(1).select(F.lit(root).alias("node"), F.lit(0).alias("depth"))
-    for n in range(1, most + 1):
+    depth = 0
+    while True:
+        depth += 1
         under = frontier.join(tree, frontier["node"] == tree["parent"]).select(F.col("child").alias("node")).distinct()
-        frontier = settle(under.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(n)))
-        seen = seen.union(frontier)
+        frontier = settle(under.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
-            break
-    return seen
+            return seen
+        seen = seen.union(frontier)
 
 
-def chain_depth(tree: DataFrame, most: int = 8) -> DataFrame:
+def chain_depth(tree: DataFrame) -> DataFrame:
     """Nodes on the longest chain from any class up."""
-    return closure(tree, most).agg((F.max("depth") + 1).alias("max_depth"))
+    return longest(tree).agg((F.max("depth") + 1).alias("max_depth"))
 
 
 def branching(tree: DataFrame) -> DataFrame:
@@ -113,8 +136,7 @@ def branching(tree: DataFrame) -> DataFrame:
 def structure(tree: DataFrame) -> DataFrame:
     """Roots, leaves, their share of all classes, and depth statistics from the roots."""
     nodes = tree.select(F.col("child").alias("node")).union(tree.select("parent")).distinct()
-    depths = closure(tree).groupBy("node").agg(F.max("depth").alias("depth"))
-    rows = nodes.join(depths, "node", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    rows = nodes.join(longest(tree), "node", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     parents = tree.select(F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(1))
     rows = rows.join(parents, "node", "left")
     return rows.agg(
@@ -129,14 +151,20 @@ def structure(tree: DataFrame) -> DataFrame:
     )
 
 
-def simple_paths(edges: DataFrame, source: str, target: str, most: int) -> DataFrame:
-    """All paths between two nodes of up to `most` steps without a repeated node, ignoring direction."""
+def simple_paths(edges: DataFrame, source: str, target: str, most: int, relations: list[str] | None = None) -> DataFrame:
+    """All paths between two nodes of up to `most` steps without a repeated node, ignoring direction; with `relations`, only
+    over edges of these kinds. A path goes on only to nodes from which the target is near enough for what is left."""
+    if relations is not None:
+        edges = edges.where(F.col("rel").isin(relations))
     steps = settle(both_ways(edges))
+    goal = edges.sparkSession.range(1).select(F.lit(target).alias("id"))
+    near = settle(hops(edges, goal, most).select(F.col("id").alias("b"), F.col("hop").alias("left")))
     paths = edges.sparkSession.range(1).select(F.array(F.lit(source)).alias("path"))
     done = None
-    for _ in range(most):
+    for n in range(1, most + 1):
+        useful = steps.join(near.where(F.col("left") <= most - n), "b").select("a", "b")
         last = F.element_at("path", -1)
-        paths = paths.join(steps, last == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
+        paths = paths.join(useful, last == F.col("a")).where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"))
         paths = settle(paths)
         hit = paths.where(F.element_at("path", -1) == target)
         done = hit if done is None else done.union(hit)
@@ -147,3 +175,32 @@ def simple_paths(edges: DataFrame, source: str, target: str, most: int) -> DataF
 def degrees(edges: DataFrame, cap: int = 20) -> DataFrame:
     """Distinct neighbours of each node, counted up to a cap."""
     return both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.least(F.count("*"), F.lit(cap)).alias("degree"))
+
+
+def entity_search(nodes: DataFrame, terms: list[str], most: int = 20) -> DataFrame:
+    """nodes (id, label, properties, ...) whose id equals a term or whose label or properties hold one, ignoring case; the first by
+    id. The terms are a question's, so few."""
+    low = [t.lower() for t in terms]
+    hit = F.lower("id").isin(low)
+    for t in low:
+        hit = hit | F.contains(F.lower("label"), F.lit(t)) | F.contains(F.lower("properties"), F.lit(t))
+    return nodes.where(hit).distinct().orderBy("id").limit(most)
+
+
+def neighbours(edges: DataFrame, nodes: DataFrame, wanted: DataFrame, most: int = 10) -> DataFrame:
+    """(id, other, rel, way, label): up to so many neighbours of each wanted node (id), by id, with the edge's direction."""
+    from pyspark.sql import Window
+
+    out = edges.select(F.col("src").alias("id"), F.col("dst").alias("other"), "rel", F.lit("out").alias("way"))
+    both = out.union(edges.select("dst", "src", "rel", F.lit("in"))).join(wanted, "id", "left_semi").distinct()
+    few = both.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy("other", "rel", "way"))).where(F.col("nth") <= most)
+    return few.join(nodes.select(F.col("id").alias("other"), "label"), "other", "left").select("id", "other", "rel", "way", "label")
+
+
+def modularity(tree: DataFrame) -> DataFrame:
+    """Mean depth of all classes over first parents, mean number of hierarchy edges at a class, and 1 / (1 + difference)."""
+    first = tree.groupBy("child").agg(F.min("parent").alias("parent"))
+    ends = tree.select(F.col("child").alias("node")).unionAll(tree.select("parent")).groupBy("node").agg(F.count("*").alias("n"))
+    rows = ends.join(longest(first), "node", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
+    means = rows.agg(F.avg("depth").alias("mean_depth"), F.avg("n").alias("connectivity"))
+    return means.withColumn("modularity", 1 / (1 + F.abs(F.col("mean_depth") - F.col("connectivity"))))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.retrieval import numbered
+
 SEED = "urn:graph:seed"
 
 
@@ -47,14 +49,24 @@ def removed(triples: DataFrame, gone: DataFrame) -> DataFrame:
     return triples
 
 
+def by_dependents(classes: DataFrame, dependents: DataFrame) -> DataFrame:
+    """classes (uri) with how many dependents (uri, one row each) they have and their place in that order, ties by uri."""
+    counted = classes.join(dependents.groupBy("uri").agg(F.count("*").alias("dependents")), "uri", "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
+    return numbered(counted, ["dependents", "uri"], "nth")
+
+
 def periphery(classes: DataFrame, dependents: DataFrame, share: float) -> DataFrame:
-    """The share of classes (uri) with the fewest dependents (uri, one row each), at least one class; ties by uri."""
-    from pyspark.sql import Window
+    """The share of classes (uri) with the fewest dependents, at least one class; ties by uri."""
+    most = max(1, int(classes.count() * share))
+    return by_dependents(classes, dependents).where(F.col("nth") <= most).select("uri", "dependents")
 
-    counted = classes.join(dependents.groupBy("uri").agg(F.count("*").alias("dependents")), "uri", "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
-    order = Window.partitionBy().orderBy("dependents", "uri")
-    ranked = counted.withColumns({"nth": F.row_number().over(order), "n": F.count("*").over(Window.partitionBy())})
-    return ranked.where(F.col("nth") <= F.greatest(F.lit(1), F.floor(F.col("n") * share))).select("uri", "dependents")
+
+def graded(classes: DataFrame, dependents: DataFrame, levels: list[float]) -> DataFrame:
+    """(level, removed, dependents): what the periphery of each level holds."""
+    n = classes.count()
+    cuts = F.array(*[F.struct(F.lit(x).alias("level"), F.lit(max(1, int(n * x))).alias("most")) for x in levels])
+    rows = by_dependents(classes, dependents).withColumn("l", F.explode(cuts)).where("nth <= l.most")
+    return rows.groupBy(F.col("l.level").alias("level")).agg(F.count("*").alias("removed"), F.sum("dependents").alias("dependents"))
 
 
 def relabelled(triples: DataFrame, labels: DataFrame) -> DataFrame:

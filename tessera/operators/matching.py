@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import cosine
+from tessera.functions.fuzzy import fuzzy_ratio
+from tessera.operators import vectors
 
 
 def coverage_tiers(types: DataFrame, classes: DataFrame) -> DataFrame:
@@ -26,30 +27,14 @@ def coverage_tiers(types: DataFrame, classes: DataFrame) -> DataFrame:
     return exact.unionByName(part).unionByName(none)
 
 
-def similarities(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Every pair of (id, embedding) rows of two term lists with its cosine.
-
-    The term lists of an ontology are small beside the texts; for corpora use the vector index instead.
-    """
-    a = left.select(F.col("id").alias("left_id"), F.col("embedding").alias("left_vector"))
-    b = right.select(F.col("id").alias("right_id"), F.col("embedding").alias("right_vector"))
-    return a.join(b, F.lit(True)).select("left_id", "right_id", cosine(F.col("left_vector"), F.col("right_vector")).alias("similarity"))
-
-
-def entity_links(similar: DataFrame, threshold: float = 0.75, same: float = 0.92) -> DataFrame:
+def entity_links(left: DataFrame, right: DataFrame, threshold: float = 0.75, same: float = 0.92) -> DataFrame:
     """Pairs at or above the threshold, called sameAs above `same` and seeAlso otherwise."""
-    return similar.where(F.col("similarity") >= threshold).withColumn("link", F.when(F.col("similarity") > same, "sameAs").otherwise("seeAlso"))
+    return vectors.above(left, right, threshold).withColumn("link", F.when(F.col("similarity") > same, "sameAs").otherwise("seeAlso"))
 
 
-def top_parents(similar: DataFrame, k: int = 3) -> DataFrame:
-    """The k most similar right rows of each left row with their rank; ties by right id."""
-    order = Window.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id")
-    return similar.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def structural_confidence(similar: DataFrame) -> DataFrame:
+def structural_confidence(left: DataFrame, right: DataFrame) -> DataFrame:
     """Best match of each left row and how far it is ahead of the second; the whole similarity where it is alone."""
-    best = top_parents(similar, 2).groupBy("left_id").agg(
+    best = vectors.nearest(left, right, 2).groupBy("left_id").agg(
         F.max(F.when(F.col("rank") == 1, F.col("right_id"))).alias("parent"),
         F.max(F.when(F.col("rank") == 1, F.col("similarity"))).alias("similarity"),
         F.max(F.when(F.col("rank") == 2, F.col("similarity"))).alias("second"),
@@ -57,17 +42,56 @@ def structural_confidence(similar: DataFrame) -> DataFrame:
     return best.select("left_id", "parent", "similarity", (F.col("similarity") - F.coalesce("second", F.lit(0.0))).alias("confidence"))
 
 
-def coherence(items: DataFrame) -> DataFrame:
-    """Mean cosine over unordered pairs of (id, embedding); 1 with fewer than two."""
-    pairs = similarities(items, items).where(F.col("left_id") < F.col("right_id"))
-    return pairs.agg(F.coalesce(F.avg("similarity"), F.lit(1.0)).alias("coherence"), F.count("*").alias("pairs"))
-
-
 def siblings(proposed: DataFrame, seeds: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
     """For each seed, the first proposals whose cosine to it is above the threshold, in order of id."""
-    near = similarities(proposed, seeds).where(F.col("similarity") > threshold)
-    order = Window.partitionBy("right_id").orderBy("left_id")
-    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(F.col("right_id").alias("seed"), F.col("left_id").alias("sibling"), "nth")
+    near = vectors.above(seeds, proposed, threshold).where(F.col("similarity") > threshold)
+    order = Window.partitionBy("left_id").orderBy("right_id")
+    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(F.col("left_id").alias("seed"), F.col("right_id").alias("sibling"), "nth")
+
+
+def best_matches(entities: DataFrame, classes: DataFrame, threshold: float = 0.65) -> DataFrame:
+    """entities (label, embedding) by classes (label, embedding): an equal label, ignoring case, with similarity 1, else the
+    class of the largest cosine, covered at the threshold; similarity is null where neither has a vector."""
+    e = entities.groupBy("label").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
+    c = classes.groupBy("label").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
+    known = c.groupBy(F.lower("label").alias("low")).agg(F.min("label").alias("match"))
+    exact = e.join(known, F.lower("label") == F.col("low")).select("label", "match", F.lit(1.0).alias("similarity"))
+    rest = e.join(exact.select("label"), "label", "left_anti").select(F.col("label").alias("id"), "embedding")
+    near = vectors.nearest(rest, c.select(F.col("label").alias("id"), "embedding"), 1).select(F.col("left_id").alias("label"), F.col("right_id").alias("match"), "similarity")
+    found = rest.select(F.col("id").alias("label")).join(near, "label", "left").unionByName(exact)
+    return found.withColumn("covered", F.coalesce(F.col("similarity") >= threshold, F.lit(False)))
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
+    """(left, right, ratio) of labels at least so alike by indel ratio, ignoring case. Labels alike by 0.75 or more share a pair of
+    neighbouring characters (ends marked), so only labels that share one are compared."""
+    if least < 0.75:
+        raise ValueError("labels less alike may share no pair of characters")
+
+    def paired(df: DataFrame, name: str) -> DataFrame:
+        low = df.select(F.lower("label").alias(name)).where("label is not null").distinct()
+        marked = F.concat(F.lit("\u0002"), name, F.lit("\u0003"))
+        return low.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substring(marked, i, F.lit(2))))).alias("two"))
+
+    size = F.length("left") + F.length("right")
+    fits = 2 * F.least(F.length("left"), F.length("right")) >= least * size
+    pairs = paired(left, "left").join(paired(right, "right"), "two").where(fits).select("left", "right").distinct()
+    return pairs.withColumn("ratio", fuzzy_ratio("left", "right")).where(F.col("ratio") >= least)
+
+
+def three_tiers(entities: DataFrame, classes: DataFrame, fuzzy: float = 0.85, threshold: float = 0.65) -> DataFrame:
+    """entities (id, label, entity_type, embedding) with the tier at which classes (label, embedding) cover them: exact by type or
+    label, fuzzy by type, vector by cosine, or none."""
+    known = classes.select(F.lower("label").alias("k")).distinct()
+    rows = entities.withColumns({"t": F.lower("entity_type"), "l": F.lower("label")})
+    for c in ("t", "l"):
+        rows = rows.join(known.select(F.col("k").alias(f"k_{c}")), F.col(c) == F.col(f"k_{c}"), "left")
+    types = rows.select(F.col("t").alias("label")).distinct()
+    alike = fuzzy_matches(types, classes, fuzzy).select(F.col("left").alias("t")).distinct().withColumn("fuzzy", F.lit(True))
+    rest = rows.where("k_t is null and k_l is null").join(alike, "t", "left_anti").select("id", "embedding")
+    near = vectors.nearest(rest, classes.select(F.col("label").alias("id"), "embedding"), 1).where(F.col("similarity") >= threshold).select(F.col("left_id").alias("id"), F.lit(True).alias("vector"))
+    out = rows.join(alike, "t", "left").join(near, "id", "left")
+    return out.select("id", F.when(F.col("k_t").isNotNull() | F.col("k_l").isNotNull(), "exact").when("fuzzy", "fuzzy").when("vector", "vector").otherwise("none").alias("tier"))
 
 
 FEW_TERMS = 1_000  # up to so many terms are sent to every task; more are met by their lengths

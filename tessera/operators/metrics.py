@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, tokens
+from tessera.functions.text import tokens
 
 
 def scores(hits: DataFrame) -> DataFrame:
@@ -36,9 +36,20 @@ def triple_f1(rows: DataFrame) -> DataFrame:
     return scores(hits.withColumnsRenamed({"p": "predicted", "e": "expected"}))
 
 
-def simulated_review(pairs: DataFrame) -> DataFrame:
-    """pairs (id, label, reference) to 1, 0.5 or 0 by the best word overlap of each id."""
-    best = pairs.groupBy("id").agg(F.max(jaccard(tokens(F.col("label")), tokens(F.col("reference")))).alias("overlap"))
+def best_overlaps(labels: DataFrame, references: DataFrame) -> DataFrame:
+    """labels (id, label) with the best word overlap (Jaccard) with any reference (reference), 0 without a shared word. Words
+    are joined, so only labels that share one meet; equal labels and references are one."""
+    words = lambda df, c: df.select(F.lower(c).alias(c)).distinct().withColumn("n", F.size(F.array_distinct(tokens(F.col(c)))))
+    one = lambda df, c, n: df.select(c, F.col("n").alias(n), F.explode(F.array_distinct(tokens(F.col(c)))).alias("word"))
+    a, b = words(labels, "label"), words(references, "reference")
+    shared = one(a, "label", "x").join(one(b, "reference", "y"), "word").groupBy("label", "reference", "x", "y").agg(F.count("*").alias("n"))
+    best = shared.groupBy(F.col("label").alias("low")).agg(F.max(F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias("overlap"))
+    return labels.join(best, F.lower("label") == F.col("low"), "left").select("id", "label", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+
+
+def simulated_review(labels: DataFrame, references: DataFrame) -> DataFrame:
+    """labels (id, label) to 1, 0.5 or 0 by the best word overlap with a reference (reference)."""
+    best = best_overlaps(labels, references).groupBy("id").agg(F.max("overlap").alias("overlap"))
     return best.withColumn("review", F.when(F.col("overlap") >= 0.8, 1.0).when(F.col("overlap") >= 0.4, 0.5).otherwise(0.0))
 
 

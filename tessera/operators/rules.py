@@ -43,22 +43,20 @@ def uneven_depth(classes: DataFrame, most: int = 2) -> DataFrame:
 
 
 def cycles(classes: DataFrame) -> DataFrame:
-    """The first class of each cycle."""
+    """The first class of each cycle, of any length: classes that reach each other both ways."""
     tree = classes.where("parent is not null").select(F.col("uri").alias("child"), "parent")
-    up = closure(tree)
-    round_trip = up.where("node = ancestor").select("node")
-    mates = up.join(round_trip, "node").join(round_trip.select(F.col("node").alias("ancestor")), "ancestor")
-    back = mates.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node")).distinct()
-    cycle = mates.join(back, ["node", "ancestor"]).groupBy("node").agg(F.min("ancestor").alias("first"))
-    return found(cycle.select("first").distinct(), "cycle", "ERROR", "first")
+    up = closure(tree).select("node", "ancestor")
+    back = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
+    cycle = up.join(back, ["node", "ancestor"]).groupBy("node").agg(F.min("ancestor").alias("mate"))
+    return found(cycle.select(F.least("node", "mate").alias("first")).distinct(), "cycle", "ERROR", "first")
 
 
 def naming(classes: DataFrame) -> DataFrame:
     """Labels of new classes that begin in lower case, look plural, or are all capitals."""
     new = classes.where("is_new")
     low = found(new.where(F.col("label").rlike("^[a-z]")), "lower_case_label", "WARNING", "uri")
-    plural = found(new.where(F.col("label").rlike("[^s]s$")), "plural_label", "INFO", "uri")
-    capitals = found(new.where((F.upper("label") == F.col("label")) & F.col("label").rlike("[A-Z]{2}")), "all_capitals_label", "INFO", "uri")
+    plural = found(new.where(F.col("label").rlike("s$") & ~F.col("label").rlike("(ss|us|is)$") & (F.length("label") > 3)), "plural_label", "INFO", "uri")
+    capitals = found(new.where((F.upper("label") == F.col("label")) & (F.lower("label") != F.col("label")) & (F.length("label") > 1)), "all_capitals_label", "INFO", "uri")
     return low.union(plural).union(capitals)
 
 

@@ -133,14 +133,14 @@ def debate_outcomes(spark, sf_dir):
     return debate.outcomes(view(spark, sf_dir, "messages"))
 
 
-ISSUES = """WITH i AS (SELECT DISTINCT conv_id AS debate, lower(w) AS issue FROM (SELECT conv_id, unnest(string_split(substr(text, 1, 30), ' ')) AS w FROM conversations WHERE role = 'user') AS x WHERE length(w) > 3),
+ISSUES = """WITH i AS (SELECT DISTINCT conv_id AS debate, lower(w) AS issue FROM (SELECT conv_id, unnest(string_split(text, ' ')) AS w FROM conversations WHERE role = 'user') AS x WHERE length(w) > 3),
     s AS (SELECT conv_id AS debate, lower(text) AS said FROM conversations WHERE role = 'assistant'),
     u AS (SELECT debate, issue FROM i WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.debate = i.debate AND contains(said, issue)))"""
 
 
 def issues(spark, sf_dir):
     rows = view(spark, sf_dir, "conversations")
-    words = rows.where("role = 'user'").select(F.col("conv_id").alias("debate"), F.explode(F.split(F.substring("text", 1, 30), " ")).alias("w"))
+    words = rows.where("role = 'user'").select(F.col("conv_id").alias("debate"), F.explode(F.split("text", " ")).alias("w"))
     raised = words.where("length(w) > 3").select("debate", F.lower("w").alias("issue")).distinct()
     return raised, rows.where("role = 'assistant'").select(F.col("conv_id").alias("debate"), F.col("text").alias("reasoning"))
 
@@ -255,10 +255,14 @@ def paired_statistics(spark, sf_dir):
     return found.select("metric", "n", rounded("mean_difference"), rounded("t"), rounded("cohens_d"))
 
 
-@query(None)
+@query(PAIRS.replace("a.value AS a, b.value AS b", "test_case * 10 + CAST(substr(level, 2, 1) AS BIGINT) AS pair, a.value AS a, b.value AS b") + """, x AS (SELECT metric, resample, a - b AS d, (pair * 48271 + resample * 69621 + 42) % 2147483647 AS x FROM q, (SELECT unnest(range(1, 10001)) AS resample) AS r),
+    y AS (SELECT metric, resample, d, (x * x + 12345) % 2147483647 AS y FROM x), z AS (SELECT metric, resample, d, ((y * y + resample) % 2147483647) / 2147483647.0e0 AS u FROM y),
+    w AS (SELECT metric, resample, d, CAST(u >= 0.3678794412e0 AS INT) + CAST(u >= 0.7357588823e0 AS INT) + CAST(u >= 0.9196986029e0 AS INT) + CAST(u >= 0.9810118431e0 AS INT) + CAST(u >= 0.9963401532e0 AS INT) + CAST(u >= 0.9994058152e0 AS INT) AS w FROM z),
+    m AS (SELECT metric, sum(w * d) / sum(w) AS mean FROM w GROUP BY metric, resample) SELECT metric, round(quantile_cont(mean, 0.025), 4) AS low, round(quantile_cont(mean, 0.975), 4) AS high FROM m GROUP BY metric""")
 def bootstrap_interval(spark, sf_dir):
-    """Poisson bootstrap of the mean difference."""
-    return stats.bootstrap(stats.paired(view(spark, sf_dir, "results"), "RF", "NO"), 200).select("metric", rounded("low"), rounded("high"))
+    """Poisson bootstrap of the mean difference, 10,000 resamples."""
+    pair = F.col("test_case") * 10 + F.substring("level", 2, 1).cast("long")
+    return stats.bootstrap(stats.paired(view(spark, sf_dir, "results"), "RF", "NO").withColumn("pair", pair)).select("metric", rounded("low"), rounded("high"))
 
 
 @query("""SELECT system, round(avg(CASE WHEN level = 'L0' THEN semantic END), 4) AS "L0", round(avg(CASE WHEN level = 'L1' THEN semantic END), 4) AS "L1",

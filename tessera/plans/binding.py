@@ -24,7 +24,6 @@ VIEWS = {
         UNION ALL SELECT concat('s:', s_suppkey), concat('n:', s_nationkey), 'IN_NATION', 1.0e0 FROM {supplier}
         UNION ALL SELECT concat('p:', l_partkey), concat('s:', l_suppkey), 'SUPPLIED_BY', 1 - avg(l_discount)
                   FROM {lineitem} GROUP BY l_partkey, l_suppkey""",
-    "place_edges": """SELECT src, dst, rel, confidence FROM {kg_edges} WHERE rel <> 'SUPPLIED_BY'""",
     "class_tree": """
         SELECT DISTINCT concat(p_brand, '/', p_type) AS child, p_type AS parent FROM {part}
         UNION SELECT DISTINCT p_type, 'Part' FROM {part}
@@ -39,7 +38,7 @@ VIEWS = {
     "ontology_classes": """
         SELECT DISTINCT concat('urn:class#', p_type) AS uri, p_type AS label, 'urn:class#Part' AS parent_uri FROM {part}
         WHERE p_type NOT IN ('PROMO', 'STANDARD')""",
-    "vectors": "SELECT vec_id AS id, label, embedding FROM {embeddings} WHERE vec_id < 500",
+    "vectors": "SELECT vec_id AS id, label, embedding FROM {embeddings}",
     "decisions": """
         SELECT o_custkey AS proposal, o_orderpriority AS reviewer, o_orderkey AS seq,
                CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'reject' ELSE 'revise' END AS decision,
@@ -53,7 +52,7 @@ VIEWS = {
     "messages": """
         SELECT conv_id AS debate, turn AS seq, role, CASE role WHEN 'user' THEN 'proposal' ELSE 'review' END AS message_type,
                CASE WHEN role = 'user' OR length(text) % 5 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS approves,
-               substring(text, 1, 40) AS reasoning FROM {conversations}""",
+               text AS reasoning FROM {conversations}""",
     "results": """
         SELECT concat(l_returnflag, l_linestatus) AS system, l_orderkey % 500 AS test_case, concat('L', l_orderkey % 4) AS level,
                avg(l_quantity) / 50 AS semantic, avg(l_discount) * 10 AS hallucination, avg(l_tax) * 10 AS coverage

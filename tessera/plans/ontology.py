@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators import gaps, layers, matching, metrics, rules
+from tessera.operators import gaps, layers, matching, metrics, retrieval, rules, vectors
 from tessera.plans.binding import view
 from tessera.plans.registered import query, rounded
 
@@ -69,26 +69,31 @@ def coverage_tiers(spark, sf_dir):
     return matching.coverage_tiers(view(spark, sf_dir, "kg_nodes"), part.union(extra))
 
 
-SIMILAR = """WITH a AS (SELECT * FROM {vectors} WHERE id >= 50), b AS (SELECT id AS seed, embedding AS e FROM {vectors} WHERE id < 50),
-    s AS (SELECT a.id AS left_id, seed AS right_id, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])) AS similarity FROM a, b)"""
-
-
-def similar(spark, sf_dir):
-    rows = view(spark, sf_dir, "vectors")
-    return matching.similarities(rows.where("id >= 50"), rows.where("id < 50"))
+SIMILAR = """WITH a AS (SELECT id AS left_id, embedding AS x FROM {vectors}), b AS (SELECT id AS right_id, embedding AS e FROM {vectors}),
+    s AS (SELECT left_id, right_id, list_cosine_similarity(CAST(x AS DOUBLE[]), CAST(e AS DOUBLE[])) AS similarity FROM a, b WHERE left_id <> right_id)"""
 
 
 @query(SIMILAR + "SELECT left_id, right_id, round(similarity, 4) AS similarity, CASE WHEN similarity > 0.4 THEN 'sameAs' ELSE 'seeAlso' END AS link FROM s WHERE similarity >= 0.3")
 def similarity_links(spark, sf_dir):
     """Pairs above a cosine threshold."""
-    return matching.entity_links(similar(spark, sf_dir), 0.3, 0.4).select("left_id", "right_id", rounded("similarity"), "link")
+    rows = view(spark, sf_dir, "vectors")
+    return matching.entity_links(rows, rows, 0.3, 0.4).select("left_id", "right_id", rounded("similarity"), "link")
+
+
+@query(SIMILAR + "SELECT (SELECT count(*) FROM a) AS terms, count(DISTINCT left_id) AS linked, round(count(DISTINCT left_id) / (SELECT count(*) FROM a), 4) AS coverage FROM s WHERE similarity >= 0.45")
+def link_coverage(spark, sf_dir):
+    """Share of terms with a link."""
+    rows = view(spark, sf_dir, "vectors")
+    linked = matching.entity_links(rows, rows, 0.45).select("left_id").distinct().withColumn("hit", F.lit(1))
+    return rows.join(linked, rows["id"] == linked["left_id"], "left").agg(F.count("*").alias("terms"), F.count("hit").alias("linked"), F.round(F.count("hit") / F.count("*"), 4).alias("coverage"))
 
 
 @query(SIMILAR + """, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS rank FROM s)
     SELECT left_id, right_id, round(similarity, 4) AS similarity, rank FROM r WHERE rank <= 3""")
 def nearest_parents(spark, sf_dir):
-    """top three parents of each class."""
-    return matching.top_parents(similar(spark, sf_dir)).select("left_id", "right_id", rounded("similarity"), "rank")
+    """the three most similar terms of each."""
+    rows = view(spark, sf_dir, "vectors")
+    return vectors.nearest(rows, rows, 3).select("left_id", "right_id", rounded("similarity"), "rank")
 
 
 @query(SIMILAR + """, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS rank FROM s)
@@ -96,22 +101,35 @@ def nearest_parents(spark, sf_dir):
            round(max(CASE WHEN rank = 1 THEN similarity END) - max(CASE WHEN rank = 2 THEN similarity END), 4) AS confidence FROM r GROUP BY left_id""")
 def structural_confidence(spark, sf_dir):
     """Lead of the best parent over the second."""
-    return matching.structural_confidence(similar(spark, sf_dir)).select("left_id", "parent", rounded("similarity"), rounded("confidence"))
+    rows = view(spark, sf_dir, "vectors")
+    return matching.structural_confidence(rows, rows).select("left_id", "parent", rounded("similarity"), rounded("confidence"))
 
 
-@query("""WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM {vectors} WHERE id < 200)
+@query("""WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM {vectors})
     SELECT round(avg(list_cosine_similarity(a.e, b.e)), 4) AS coherence, count(*) AS pairs FROM v AS a JOIN v AS b ON a.id < b.id""")
 def pairwise_coherence(spark, sf_dir):
-    """Mean cosine of all pairs."""
-    return matching.coherence(view(spark, sf_dir, "vectors").where("id < 200")).select(rounded("coherence"), "pairs")
+    """Mean cosine of all pairs."""
+    return vectors.coherence(view(spark, sf_dir, "vectors")).select(rounded("coherence"), "pairs")
 
 
-@query(SIMILAR + """, r AS (SELECT *, row_number() OVER (PARTITION BY right_id ORDER BY left_id) AS nth FROM s WHERE similarity > 0.25)
-    SELECT right_id AS seed, left_id AS sibling, nth FROM r WHERE nth <= 5""")
+@query(SIMILAR + """, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY right_id) AS nth FROM s WHERE similarity > 0.25)
+    SELECT left_id AS seed, right_id AS sibling, nth FROM r WHERE nth <= 5""")
 def sibling_proposals(spark, sf_dir):
-    """Proposals near the same parent."""
+    """Proposals near the same parent (five are the feature)."""
+    rows = view(spark, sf_dir, "vectors")
+    return matching.siblings(rows, rows, 0.25)
+
+
+@query("""WITH e AS (SELECT CASE WHEN id % 7 = 0 THEN 'KNOWN' ELSE concat('e', id) END AS label, CAST(embedding AS DOUBLE[]) AS v FROM {vectors} QUALIFY row_number() OVER (PARTITION BY CASE WHEN id % 7 = 0 THEN 'KNOWN' ELSE concat('e', id) END ORDER BY id) = 1),
+    c AS (SELECT concat('c', id) AS label, CAST(embedding AS DOUBLE[]) AS w FROM {vectors} UNION ALL SELECT 'known', NULL), x AS (SELECT e.label, 'known' AS match, 1.0e0 AS similarity FROM e WHERE lower(e.label) = 'known'),
+    s AS (SELECT e.label, c.label AS match, list_cosine_similarity(v, w) AS similarity, row_number() OVER (PARTITION BY e.label ORDER BY round(list_cosine_similarity(v, w), 9) DESC, c.label) AS n FROM e, c WHERE e.label <> 'KNOWN' AND w IS NOT NULL AND concat('x', e.label) <> concat('x', c.label)),
+    z AS (SELECT * FROM x UNION ALL SELECT label, match, similarity FROM s WHERE n = 1) SELECT label, match, round(similarity, 4) AS similarity, similarity >= 0.65 AS covered FROM z""")
+def best_matches(spark, sf_dir):
+    """An equal label, else the most similar class."""
     rows = view(spark, sf_dir, "vectors")
-    return matching.siblings(rows.where("id >= 50"), rows.where("id < 50"), 0.25)
+    entities = rows.select(F.when(F.col("id") % 7 == 0, "KNOWN").otherwise(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("label"), "embedding")
+    classes = rows.select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("label"), "embedding").union(spark.createDataFrame([("known", None)], "label string, embedding array<float>"))
+    return matching.best_matches(entities, classes).select("label", "match", rounded("similarity"), "covered")
 
 
 @query("""
@@ -164,10 +182,17 @@ def rule_classes(spark, sf_dir):
 CHILDREN = "WITH k AS (SELECT parent, count(*) AS n, count_if(starts_with(child, 'Brand#1')) AS d FROM {class_tree} GROUP BY parent)"
 
 
-@query(CHILDREN + "SELECT 'single_child' AS rule, 'WARNING' AS severity, parent AS affected FROM k WHERE n = 1")
+def customer_classes(spark, sf_dir):
+    """Customers below their segment and nation, most of which hold few."""
+    c = view(spark, sf_dir, "customer")
+    return c.select(F.col("c_name").alias("uri"), F.col("c_name").alias("label"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("parent"), F.lit(False).alias("disjoint"))
+
+
+@query("""WITH k AS (SELECT concat(c_mktsegment, '/', c_nationkey) AS parent, count(*) AS n FROM customer GROUP BY 1)
+    SELECT 'single_child' AS rule, 'WARNING' AS severity, parent AS affected FROM k WHERE n = 1""")
 def rule_single_child(spark, sf_dir):
     """L01."""
-    return rules.single_child(rule_classes(spark, sf_dir))
+    return rules.single_child(customer_classes(spark, sf_dir))
 
 
 @query(CHILDREN + "SELECT 'too_many_children' AS rule, 'WARNING' AS severity, parent AS affected FROM k WHERE n > 12")
@@ -182,24 +207,30 @@ def rule_no_disjoint_siblings(spark, sf_dir):
     return rules.no_disjoint_siblings(rule_classes(spark, sf_dir))
 
 
-@query("""WITH t AS (SELECT DISTINCT child FROM {class_tree} WHERE contains(child, '/'))
+@query("""WITH t AS (SELECT DISTINCT p_name AS child FROM part UNION SELECT DISTINCT concat(p_type, 's') FROM part UNION SELECT DISTINCT p_type FROM part UNION SELECT 'Status')
     SELECT 'lower_case_label' AS rule, 'WARNING' AS severity, child AS affected FROM t WHERE regexp_matches(child, '^[a-z]')
-    UNION ALL SELECT 'plural_label', 'INFO', child FROM t WHERE regexp_matches(child, '[^s]s$')
-    UNION ALL SELECT 'all_capitals_label', 'INFO', child FROM t WHERE upper(child) = child AND regexp_matches(child, '[A-Z]{2}')""")
+    UNION ALL SELECT 'plural_label', 'INFO', child FROM t WHERE regexp_matches(child, 's$') AND NOT regexp_matches(child, '(ss|us|is)$') AND length(child) > 3
+    UNION ALL SELECT 'all_capitals_label', 'INFO', child FROM t WHERE upper(child) = child AND lower(child) <> child AND length(child) > 1""")
 def rule_naming(spark, sf_dir):
     """L05."""
-    return rules.naming(rule_classes(spark, sf_dir))
+    part = view(spark, sf_dir, "part")
+    names = part.select("p_name").union(part.select(F.concat("p_type", F.lit("s")))).union(part.select("p_type")).union(spark.createDataFrame([("Status",)], "p_name string")).distinct()
+    return rules.naming(names.select(F.col("p_name").alias("uri"), F.col("p_name").alias("label"), F.lit(True).alias("is_new")))
 
 
-CYCLIC = """WITH RECURSIVE e AS (SELECT o_custkey % 40 AS c, o_orderkey % 40 AS p FROM orders WHERE o_orderkey % 29 = 0 GROUP BY ALL),
-    u(node, ancestor, d) AS (SELECT c, p, 1 FROM e UNION SELECT u.node, e.p, u.d + 1 FROM u JOIN e ON u.ancestor = e.c WHERE u.d < 8)"""
+CYCLIC = """WITH RECURSIVE e AS (SELECT DISTINCT concat('x', o_custkey % 40) AS c, concat('x', (o_custkey + 1) % 40) AS p FROM orders WHERE o_custkey % 40 < 12 OR o_custkey % 40 = 20 UNION SELECT 'x12', 'x3' UNION SELECT 'x21', 'x20' UNION SELECT 'x33', 'x33'),
+    u(node, ancestor) AS (SELECT c, p FROM e UNION SELECT u.node, e.p FROM u JOIN e ON u.ancestor = e.c)"""
 
 
-@query("""WITH RECURSIVE u(node, ancestor) AS (SELECT child, parent FROM {class_tree} UNION SELECT u.node, t.parent FROM u JOIN {class_tree} ON u.ancestor = child), z AS (SELECT 1)
-    SELECT 'cycle' AS rule, 'ERROR' AS severity, node AS affected FROM u WHERE node = ancestor""".replace("t.parent", "parent"))
+@query(CYCLIC + """, z AS (SELECT node FROM u WHERE node = ancestor), m AS (SELECT a.node, min(b.node) AS first FROM u AS a JOIN u AS b ON a.node = b.ancestor AND a.ancestor = b.node WHERE a.node IN (SELECT node FROM z) GROUP BY a.node)
+    SELECT DISTINCT 'cycle' AS rule, 'ERROR' AS severity, least(node, first) AS affected FROM m""")
 def rule_cycles(spark, sf_dir):
-    """L04."""
-    return rules.cycles(rule_classes(spark, sf_dir))
+    """The first class of every cycle, however long."""
+    k = F.col("o_custkey") % 40
+    name = lambda c: F.concat(F.lit("x"), c.cast("string"))
+    edges = view(spark, sf_dir, "orders").where((k < 12) | (k == 20)).select(name(k).alias("uri"), name((F.col("o_custkey") + 1) % 40).alias("parent"))
+    edges = edges.union(spark.createDataFrame([("x12", "x3"), ("x21", "x20"), ("x33", "x33")], "uri string, parent string")).distinct()
+    return rules.cycles(edges)
 
 
 @query("""WITH RECURSIVE u(node, ancestor) AS (SELECT child, parent FROM {class_tree} UNION SELECT u.node, parent FROM u JOIN {class_tree} ON u.ancestor = child),
@@ -214,6 +245,32 @@ def rule_redundant_properties(spark, sf_dir):
     return rules.redundant_properties(properties, rule_classes(spark, sf_dir))
 
 
+UNEVEN = """WITH RECURSIVE e AS (SELECT 'r' AS parent, 'a' AS child UNION SELECT 'r', 'b' UNION SELECT 'r', 'c' UNION SELECT concat('b', i), concat('b', i + 1) FROM range(1, 13) AS x(i) UNION SELECT 'b', 'b1' UNION SELECT parent, child FROM {class_tree}),
+    u(node, ancestor, d) AS (SELECT child, parent, 1 FROM e UNION SELECT u.node, e.parent, d + 1 FROM u JOIN e ON u.ancestor = e.child), h AS (SELECT ancestor, max(d) AS height FROM u GROUP BY ancestor),
+    s AS (SELECT parent, count(*) AS n, max(coalesce(height, 0)) - min(coalesce(height, 0)) AS spread FROM e LEFT JOIN h ON ancestor = child GROUP BY parent)"""
+
+
+def deep_classes(spark, sf_dir):
+    """The class tree with a chain of fourteen."""
+    chain = [("r", "a"), ("r", "b"), ("r", "c"), ("b", "b1")] + [(f"b{i}", f"b{i + 1}") for i in range(1, 13)]
+    tree = view(spark, sf_dir, "class_tree").select("parent", "child").union(spark.createDataFrame(chain, "parent string, child string"))
+    return tree.select(F.col("child").alias("uri"), F.col("child").alias("label"), "parent", F.lit(False).alias("is_new"), F.lit(False).alias("disjoint"))
+
+
+@query(UNEVEN + "SELECT 'uneven_depth' AS rule, 'INFO' AS severity, parent AS affected FROM s WHERE n >= 2 AND spread > 2")
+def rule_uneven_depth(spark, sf_dir):
+    """Siblings of very different depth."""
+    return rules.uneven_depth(deep_classes(spark, sf_dir))
+
+
+@query(UNEVEN + """SELECT 'uneven_depth' AS rule, 'INFO' AS severity, parent AS affected FROM s WHERE n >= 2 AND spread > 2 UNION ALL SELECT 'single_child', 'WARNING', parent FROM s WHERE n = 1
+    UNION ALL SELECT 'too_many_children', 'WARNING', parent FROM s WHERE n > 12 UNION ALL SELECT 'no_disjoint_siblings', 'INFO', parent FROM s WHERE n BETWEEN 2 AND 8""")
+def rules_by_severity(spark, sf_dir):
+    """All rules' findings, errors first."""
+    none = spark.createDataFrame([], "name string, uri string")
+    return rules.all_rules(deep_classes(spark, sf_dir), none)
+
+
 @query("""WITH t AS (SELECT * FROM {triples}) SELECT DISTINCT s, p, o FROM t WHERE graph = 'urn:graph:seed' OR graph IN ('urn:graph:ext-v1', 'urn:graph:ext-v2')""")
 def merge_layers(spark, sf_dir):
     """The seed with its extensions up to version 2."""
@@ -294,9 +351,7 @@ EDGES = """WITH e AS (SELECT child, parent, row_number() OVER (ORDER BY child, p
 @query(EDGES + "SELECT m AS matched, p AS predicted, x AS expected, round(m / p, 4) AS precision, round(m / x, 4) AS recall, round(2.0 * m / (p + x), 4) AS f1 FROM h")
 def edge_f1(spark, sf_dir):
     """F1 of one edge set against another."""
-    from pyspark.sql import Window
-
-    rows = view(spark, sf_dir, "class_tree").withColumn("n", F.row_number().over(Window.partitionBy().orderBy("child", "parent")))
+    rows = retrieval.numbered(view(spark, sf_dir, "class_tree"), ["child", "parent"], "n")
     found = metrics.edge_f1(rows.where("n % 3 <> 0").select("child", "parent"), rows.where("n % 4 <> 0").select("child", "parent"))
     return found.select("matched", "predicted", "expected", rounded("precision"), rounded("recall"), rounded("f1"))
 
@@ -312,15 +367,15 @@ def tuple_f1(spark, sf_dir):
     return metrics.tuple_f1(rows).select("matched", "predicted", "expected", rounded("precision"), rounded("recall"), rounded("f1"))
 
 
-@query("""WITH p AS (SELECT DISTINCT p_name AS label, string_split(lower(p_name), ' ') AS a FROM part), g AS (SELECT DISTINCT p_name AS r, string_split(lower(p_name), ' ') AS b FROM part WHERE p_size < 10),
+@query("""WITH p AS (SELECT DISTINCT p_name AS label, string_split(lower(p_name), ' ') AS a FROM part), g AS (SELECT DISTINCT p_name AS r, string_split(lower(p_name), ' ') AS b FROM part WHERE p_size < 3),
     o AS (SELECT label, max(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))) AS overlap FROM p, g GROUP BY label)
     SELECT label AS id, round(overlap, 4) AS overlap, CASE WHEN overlap >= 0.8 THEN 1.0e0 WHEN overlap >= 0.4 THEN 0.5e0 ELSE 0.0e0 END AS review FROM o""")
 def jaccard_review(spark, sf_dir):
-    """Simulated review by word overlap."""
+    """Simulated review by word overlap."""
     part = view(spark, sf_dir, "part")
     names = part.select(F.col("p_name").alias("id"), F.col("p_name").alias("label")).distinct()
-    gold = part.where("p_size < 10").select(F.col("p_name").alias("reference")).distinct()
-    return metrics.simulated_review(names.join(gold, F.lit(True))).select("id", rounded("overlap"), "review")
+    gold = part.where("p_size < 3").select(F.col("p_name").alias("reference")).distinct()
+    return metrics.simulated_review(names, gold).select("id", rounded("overlap"), "review")
 
 
 @query("""WITH g AS (SELECT DISTINCT lower(p_name) AS l FROM part), s AS (SELECT DISTINCT lower(p_name) AS l FROM part WHERE p_size < 3), k AS (SELECT DISTINCT lower(p_name) AS l FROM part WHERE p_size > 49),
@@ -364,11 +419,11 @@ def consistency_score(spark, sf_dir):
     return metrics.consistency(view(spark, sf_dir, "triples")).select("classes", rounded("consistency"))
 
 
-@query("""WITH t AS (SELECT DISTINCT l_suppkey AS s, p_type AS o FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_orderkey % 50 = 0)
+@query("""WITH t AS (SELECT DISTINCT l_suppkey AS s, p_type AS o FROM lineitem JOIN part ON p_partkey = l_partkey)
     SELECT a.s, a.o AS a, b.o AS b FROM t AS a JOIN t AS b ON a.s = b.s WHERE a.o = 'LARGE' AND b.o = 'SMALL'""")
 def disjointness_violations(spark, sf_dir):
     """Individuals in two disjoint classes."""
-    types = view(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").join(view(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
+    types = view(spark, sf_dir, "lineitem").join(view(spark, sf_dir, "part"), F.col("p_partkey") == F.col("l_partkey"))
     pairs = spark.createDataFrame([("LARGE", "SMALL")], "a string, b string")
     return metrics.disjointness_violations(types.select(F.col("l_suppkey").alias("s"), F.col("p_type").alias("o")).distinct(), pairs)
 
@@ -397,7 +452,7 @@ def choice_letters(spark, sf_dir):
     return view(spark, sf_dir, "conversations").select("conv_id", "turn", text.choice_letter(F.col("text")).alias("choice"))
 
 
-@query("""SELECT doc_id, CAST(n AS INTEGER) AS chunk, substr(text, CAST(n * 750 + 1 AS INTEGER), 750) AS content FROM documents, range(0, 1000) AS r(n) WHERE n * 750 < length(text)""")
+@query("""SELECT doc_id, CAST(n AS INTEGER) AS chunk, substr(text, CAST(n * 750 + 1 AS INTEGER), 750) AS content FROM documents, (SELECT unnest(range(0, (SELECT max(length(text)) FROM documents) // 750 + 1)) AS n) AS r WHERE n * 750 < length(text)""")
 def fixed_chunks(spark, sf_dir):
     """750-character chunks."""
     from tessera.sources.chunks import chunked
