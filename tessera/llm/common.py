@@ -31,7 +31,17 @@ def keep(df: DataFrame) -> DataFrame:
     """Cut the lineage with a compressed table in the cluster's shared folder; for larger tables."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path
+    return out
+
+
+def drop(*kept: DataFrame) -> None:
+    """Delete tables that keep() wrote, once all that is read from them is itself kept or checkpointed."""
+    for df in kept:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.kept_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

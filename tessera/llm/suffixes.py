@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import cut, keep, table
+from tessera.llm.common import cut, drop, keep, table
 from tessera.llm.words import Block, blocks, mix, packed_texts, powers, prefix_sums, span_hashes, unpacked
 
 LENGTH = 400  # bytes
 PASSAGE = 51  # words: the shortest passage of over 50
 STEP = 16  # starts at most
+STEPS = 4_096  # that a task ranks at a time
 PLACE = np.uint64(0x9E3779B97F4A7C15)
 NEVER = np.uint64(2**64 - 1)
 UNITS = ("bytes", "words")
@@ -132,16 +133,18 @@ def steps(texts: DataFrame, wanted: DataFrame, lengths: dict[int, int]) -> DataF
                     final = anchor[of] - step * width  # the last start that the step can have
                     begin, end = np.maximum(final - width + 1, first[of]), np.minimum(final, last[of])
                     core = mix(span_hashes(sums, final, final - width + 1 + length) + step.astype(np.uint64) * PLACE + np.uint64(unit))
-                    count = end - begin + 1
-                    until = np.cumsum(count)
-                    at = np.arange(until[-1]) + np.repeat(begin - until + count, count)
-                    middle = at + length // 2
-                    rank = mix(span_hashes(sums, at, middle) * PLACE + span_hashes(sums, middle, at + length) + np.uint64(unit))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.repeat(batch.column(0)[i], len(of)), pa.array(np.full(len(of), unit, np.int8)), runs["alone"].combine_chunks().take(pa.array(some[of]))]
-                        + [pa.array(core.view(np.int64)), pa.array(begin.astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], until]).astype(np.int32)), pa.array(rank.view(np.int64)))],
-                        ["row", "unit", "alone", "core", "first", "ranks"],
-                    )
+                    alone = runs["alone"].combine_chunks().take(pa.array(some[of]))
+                    for k in range(0, len(of), STEPS):
+                        part = slice(k, k + STEPS)
+                        count = (end - begin + 1)[part]
+                        until = np.cumsum(count)
+                        at = np.arange(until[-1]) + np.repeat(begin[part] - until + count, count)
+                        rank = mix(span_hashes(sums, at, at + length // 2) * PLACE + span_hashes(sums, at + length // 2, at + length) + np.uint64(unit))
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.repeat(batch.column(0)[i], len(count)), pa.array(np.full(len(count), unit, np.int8)), alone.slice(k, STEPS), pa.array(core[part].view(np.int64))]
+                            + [pa.array(begin[part].astype(np.int32)), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], until]).astype(np.int32)), pa.array(rank.view(np.int64)))],
+                            ["row", "unit", "alone", "core", "first", "ranks"],
+                        )
 
     rows = texts.join(listed, "row").select("row", "packed", "runs")
     return rows.mapInArrow(run, "row long, unit byte, alone boolean, core long, first int, ranks array<long>")
@@ -172,7 +175,9 @@ def repeated_starts(docs: DataFrame, texts: DataFrame, lengths: dict[int, int])
     each = keep(steps(texts, wanted, lengths))
     near = keep(each.join(repeated(each, "core"), "core").select("row", "unit", "alone", F.posexplode("ranks").alias("nth", "rank"), "first"))
     single = near.where("alone").join(repeated(near, "rank"), "rank").select("row", "unit", (F.col("first") + F.col("nth")).alias("first"))
-    return whole.union(single.withColumn("last", F.col("first")))
+    runs = keep(whole.union(single.withColumn("last", F.col("first"))))
+    drop(met, kinds, each, near)
+    return runs
 
 
 def cut_repeats(

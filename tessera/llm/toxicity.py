@@ -107,41 +107,45 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, lang: n
     squares = [np.full_like(x, 1e-6) for x in (words, stems, taps, bias, out)]
     shift = 0.0
 
-    def batch(chosen: np.ndarray) -> tuple[np.ndarray, ...]:
-        counts = np.array([len(texts[i][0]) for i in chosen])
-        begin = np.cumsum(counts + PAD) - counts - PAD
-        word, stem = np.full(counts.sum() + PAD * len(chosen), WORDS), np.full(counts.sum() + PAD * len(chosen), STEMS)
-        for i, a, n in zip(chosen, begin, counts, strict=True):
-            word[a : a + n], stem[a : a + n] = texts[i]
-        return word, stem, begin, counts
+    def numbers(i: int) -> tuple[np.ndarray, np.ndarray]:
+        """One text's words and stems, padded."""
+        out = [np.full(len(x) + PAD, pad, np.int64) for x, pad in zip(texts[i], (WORDS, STEMS), strict=True)]
+        for held, x in zip(out, texts[i], strict=True):
+            held[: len(x)] = x
+        return out[0], out[1]
+
+    def outline(i: int) -> tuple[np.ndarray, np.ndarray]:
+        return np.zeros(1, np.int64), np.array([len(texts[i][0])])
 
     filter_of = np.concatenate([np.tile(np.arange(FILTERS) + k * FILTERS, w) for k, w in enumerate(WIDTHS)])
     offset_of = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])
     for step in range(STEPS):
         chosen = np.concatenate([rng.choice(k, BATCH // 2) for k in kinds])
-        word, stem, begin, counts = batch(chosen)
-        embedded = words[word] + stems[stem]
-        seen = responses(embedded @ taps, begin, counts)
-        pooled = np.maximum.reduceat(seen, begin, axis=0)
-        owner = np.repeat(np.arange(len(chosen)), counts + PAD)
-        best = np.minimum.reduceat(np.where(seen == pooled[owner], np.arange(len(word))[:, None], len(word)), begin, axis=0)
+        pooled, seen_words, seen_stems = np.zeros((len(chosen), parts), np.float32), [], []
+        for at, i in enumerate(chosen.tolist()):  # a text at a time, so that long ones cost no more than their own length
+            word, stem = numbers(i)
+            seen = responses((words[word] + stems[stem]) @ taps, *outline(i))
+            best = seen.argmax(0)
+            pooled[at] = seen[best, np.arange(parts)]
+            spots = best[filter_of] + offset_of  # the word that each tap saw
+            seen_words.append(word[spots])
+            seen_stems.append(stem[spots])
+        word, stem = np.array(seen_words), np.array(seen_stems)  # (texts, taps)
         active = np.maximum(pooled + bias, 0)
         wrong = (1 / (1 + np.exp(-np.clip(active @ out + shift, -30, 30))) - toxic[chosen]) / len(chosen)
         back = wrong[:, None] * out * (active > 0)
-        spots = best[:, filter_of] + offset_of  # (texts, taps): the word that each tap saw
         pull = back[:, filter_of]
-        rows = spots.reshape(-1)
         into = (pull[:, :, None] * taps.T[None]).reshape(-1, DIM)
         grads = [
             None,
             None,
-            np.einsum("bt,btd->dt", pull, embedded[spots]),
+            np.einsum("bt,btd->dt", pull, words[word] + stems[stem]),
             back.sum(0),
             active.T @ wrong + 1e-4 * out,
         ]
         pace = RATE * (1 - step / STEPS)
-        for x, s, numbers, pad in ((words, squares[0], word, WORDS), (stems, squares[1], stem, STEMS)):
-            touched, which = np.unique(numbers[rows], return_inverse=True)
+        for x, s, seen, pad in ((words, squares[0], word, WORDS), (stems, squares[1], stem, STEMS)):
+            touched, which = np.unique(seen.reshape(-1), return_inverse=True)
             g = np.zeros((len(touched), DIM), np.float32)
             np.add.at(g, which, into)
             s[touched] += g * g
@@ -153,7 +157,7 @@ def train(texts: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray, lang: n
         shift -= pace * float(wrong.sum())
     model = model._replace(shift=shift)
     held = np.flatnonzero(~learn)
-    scores = np.concatenate([logits(model, *batch(held[i : i + 64])) for i in range(0, len(held), 64)]) if len(held) else np.zeros(0)
+    scores = np.array([logits(model, *numbers(i), *outline(i))[0] for i in held.tolist()])
 
     def threshold(of: np.ndarray) -> float | None:
         """Half way between the best cut's neighbours: the cut with the least weight on the wrong side."""
