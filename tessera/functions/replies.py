@@ -40,9 +40,11 @@ def block(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def json_block(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else block(t))
+def json_block(text: Column) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else block(t))
+
+    return F.pandas_udf(run, "string")(text)
 
 
 def ask_query(text: Column) -> Column:
@@ -110,7 +112,11 @@ def text_scores(candidate: str, reference: str) -> tuple[float, float, float, fl
     return rouge[0], rouge[1], f1(lcs, len(a), len(b)), bleu
 
 
-@F.pandas_udf("rouge_1 double, rouge_2 double, rouge_l double, bleu double")
-def generation_scores(candidate: pd.Series, reference: pd.Series) -> pd.DataFrame:
-    rows = [text_scores(a or "", b or "") for a, b in zip(candidate, reference, strict=True)]
-    return pd.DataFrame(rows, columns=["rouge_1", "rouge_2", "rouge_l", "bleu"])
+def generation_scores(candidate: Column, reference: Column) -> Column:
+    """A struct (rouge_1, rouge_2, rouge_l, bleu)."""
+    names = ["rouge_1", "rouge_2", "rouge_l", "bleu"]
+
+    def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_scores(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=names)
+
+    return F.pandas_udf(run, ", ".join(f"{c} double" for c in names))(candidate, reference)

@@ -12,6 +12,11 @@ def uncovered(entities: DataFrame, classes: DataFrame) -> DataFrame:
     return entities.join(labels, F.lower("entity_type") == F.col("known"), "left_anti")
 
 
+def keyed(entities: DataFrame) -> DataFrame:
+    """entities with the label as type where they have none."""
+    return entities.withColumn("entity_type", F.coalesce(F.nullif("entity_type", F.lit("")), "label"))
+
+
 def gap_candidates(entities: DataFrame, classes: DataFrame, least: int = 3) -> DataFrame:
     """Uncovered types with at least so many entities: first label, first five labels by seq, count and mean confidence."""
     firsts = F.slice(F.array_sort(F.collect_list(F.struct("seq", "label"))), 1, 5)

@@ -91,7 +91,7 @@ def three_tiers(entities: DataFrame, classes: DataFrame, fuzzy: float = 0.85, th
     rest = rows.where("k_t is null and k_l is null").join(alike, "t", "left_anti").select("id", "embedding")
     near = vectors.nearest(rest, classes.select(F.col("label").alias("id"), "embedding"), 1).where(F.col("similarity") >= threshold).select(F.col("left_id").alias("id"), F.lit(True).alias("vector"))
     out = rows.join(alike, "t", "left").join(near, "id", "left")
-    return out.select("id", F.when(F.col("k_t").isNotNull() | F.col("k_l").isNotNull(), "exact").when("fuzzy", "fuzzy").when("vector", "vector").otherwise("none").alias("tier"))
+    return out.select("id", F.when(F.col("k_t").isNotNull() | F.col("k_l").isNotNull(), "exact").when(F.col("fuzzy"), "fuzzy").when(F.col("vector"), "vector").otherwise("none").alias("tier"))
 
 
 FEW_TERMS = 1_000  # up to so many terms are sent to every task; more are met by their lengths
