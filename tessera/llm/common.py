@@ -53,10 +53,12 @@ def fold(column: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
-def sampled(rows: DataFrame, most: int, key: str = "id") -> DataFrame:
-    """About `most` rows at most, chosen by a hash of the key, or all if there are no more; twice as many are never taken."""
+def sampled(rows: DataFrame, most: int) -> DataFrame:
+    """`most` rows, those whose hash over all columns is smallest, or all if there are no more: the same ones in every run, also
+    where ids are null or equal. The hash thins the table before rows are put in order."""
     total = rows.count()
     if total <= most:
         return rows
-    part = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(-(-(most << 30) // total))
-    return rows.where(part).limit(2 * most)
+    key = F.xxhash64(*rows.columns)
+    thin = rows.where(F.pmod(key, F.lit(1 << 30)) < F.lit(-(-(2 * most << 30) // total)))
+    return thin.orderBy(F.pmod(key, F.lit(1 << 30)), key).limit(most)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import cut, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2.0
-BUCKETS, STEPS, EXACT = 1024, 40, 1e-7
+BUCKETS, NEWTON, EXACT = 1024, 12, 1e-7  # after so many Newton steps the bracket is halved
 
 
 def word_count(text: Column) -> Column:
@@ -40,7 +40,8 @@ def source_targets(sizes: DataFrame, share: float = SHARE, most: float = MOST, w
 
 
 def tilts(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataFrame:
-    """(key, dual) for each source: min(most, exp(dual * size / mean)) summed over its documents' words is its target."""
+    """(key, dual) for each source: min(most, exp(dual * size / mean)) summed over its documents' words is its target, to EXACT,
+    or as near as doubles allow."""
     mean = F.col("source_size") / F.col("docs")
     live = targets.where("source_size > 0").select(
         "key",
@@ -53,7 +54,9 @@ def tilts(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataF
         F.lit(1.0).alias("miss"),
     )
     state = cut(live)
-    for _ in range(STEPS):
+    turn = 0
+    while True:
+        turn += 1
         x = F.col("size") / F.col("mean")
         rate = F.exp(F.least(F.col("dual") * x, F.log(F.lit(most))))
         words = F.col("n") * F.col("size") * rate
@@ -63,14 +66,15 @@ def tilts(histogram: DataFrame, targets: DataFrame, most: float = MOST) -> DataF
         over = F.col("words") > F.col("target")
         low, high = F.when(over, F.col("low")).otherwise(F.col("dual")), F.when(over, F.col("dual")).otherwise(F.col("high"))
         step = F.col("dual") - (F.col("words") - F.col("target")) / F.nullif(F.col("slope"), F.lit(0.0))
-        inside = step.isNotNull() & (step > F.col("low")) & (step < F.col("high"))
+        inside = step.isNotNull() & (step > F.col("low")) & (step < F.col("high")) & F.lit(turn <= NEWTON)
         state = cut(
             state.join(sums, "key")
             .withColumns({"miss": F.abs(F.col("words") / F.col("target") - 1), "low": low, "high": high})
             .withColumn("dual", F.when(F.col("miss") <= EXACT, F.col("dual")).when(inside, step).otherwise((F.col("low") + F.col("high")) / 2))
             .select(*live.columns)
         )
-        if not state.where(F.col("miss") > EXACT).limit(1).count():
+        wide = F.col("high") - F.col("low") > 1e-15 * (1 + F.abs("high") + F.abs("low"))
+        if state.where((F.col("miss") > EXACT) & wide).isEmpty():
             break
     return state.select("key", "dual", "mean")
 

@@ -78,7 +78,8 @@ def links(distinct: DataFrame, distance: int = DISTANCE, crowded: int = CROWDED)
     if not 0 <= distance <= 3:
         raise ValueError("two segments find pairs of up to 3 differing bits")
     low, high = segment(F.col("fp"), 0, 32), segment(F.col("fp"), 32, 32)
-    spread = distinct.repartition(partitions(distinct.sparkSession), "fp")  # each row becomes 64
+    # Each row becomes 64, so they are dealt anew: by another hash, as the grouping by fp stands in few partitions.
+    spread = cut(distinct.repartition(partitions(distinct.sparkSession), F.xxhash64("fp", F.lit(1))))
     signed = spread.select("fp", F.explode(F.concat(wildcards(low, 32, 0), wildcards(high, 32, 32))).alias("key"))
     shared = signed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     met = cut(signed.join(shared, "key"))
