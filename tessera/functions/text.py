@@ -88,10 +88,11 @@ def final_answer(text: Column) -> Column:
 
 
 def quick_terms(text: Column, most: int = 30, within: int = 2000) -> Column:
-    """Capitalised words of over two characters near the start: distinct, sorted, at most so many."""
-    words = F.transform(F.split(F.substring(text, 1, within), r"\s+"), lambda w: F.regexp_replace(w, r"^[.,;:()\[\]\"']+|[.,;:()\[\]\"']+$", ""))
-    good = F.filter(words, lambda w: (F.length(w) > 2) & w.rlike("^[A-Z]"))
-    return F.slice(F.array_sort(F.array_distinct(good)), 1, most)
+    """Words of over two characters near the start that begin with a capital, brackets and stops at their ends then taken off:
+    distinct, sorted, at most so many."""
+    good = F.filter(F.split(F.substring(text, 1, within), r"\s+"), lambda w: (F.length(w) > 2) & w.rlike(r"^\p{Lu}"))
+    bare = F.transform(good, lambda w: F.regexp_replace(w, r"^[.,;:()\[\]]+|[.,;:()\[\]]+$", ""))
+    return F.slice(F.array_sort(F.array_distinct(bare)), 1, most)
 
 
 def theme(text: Column, groups: dict[str, list[str]], other: str = "Other") -> Column:

@@ -52,10 +52,15 @@ def schema_coverage(entities: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def aggregated_entities(mentions: DataFrame) -> DataFrame:
-    """mentions (seq, label, entity_type, confidence, document) by type: an id from the first label and the type, how many
-    other mentions, mean confidence, documents."""
+    """mentions (seq, label, entity_type, confidence, document, passage) by type: an id from the first label and the type, mean
+    confidence, the first five passages, and how many other mentions and documents there are; these are counted and not listed,
+    since a type can hold any share of all mentions."""
     by = mentions.groupBy("entity_type").agg(
         F.min_by("label", "seq").alias("label"), F.count("*").alias("frequency"), F.avg("confidence").alias("confidence"), F.countDistinct("document").alias("documents")
     )
+    few = keep_first(mentions, "entity_type", "seq", 5).groupBy("entity_type").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "passage"))), lambda x: x["passage"]), "|").alias("snippets")
+    )
     digest = F.substring(F.sha2(F.concat_ws("::", "label", "entity_type"), 256), 1, 12)
-    return by.select("entity_type", F.concat(F.lit("ent_"), digest).alias("id"), "label", (F.col("frequency") - 1).alias("aliases"), "frequency", "confidence", "documents")
+    rows = by.join(few, "entity_type")
+    return rows.select("entity_type", F.concat(F.lit("ent_"), digest).alias("id"), "label", (F.col("frequency") - 1).alias("aliases"), "frequency", "confidence", "documents", "snippets")

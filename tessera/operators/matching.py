@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fuzzy import fuzzy_ratio
@@ -108,7 +108,12 @@ def holding(texts: DataFrame, terms: DataFrame, text_col: str = "text", few: int
     if words.limit(few + 1).count() <= few:
         return texts.join(F.broadcast(words), F.contains(F.col(text_col), F.col("label")))
     size = F.length(text_col)
-    pieces = [F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i, n=n: F.substring(F.col(text_col), i, F.lit(n)))) for n in lengths]
+
+    def cut(n: int) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
+        return F.when(size >= n, F.transform(places, lambda i: F.substring(F.col(text_col), i, F.lit(n))))
+
+    pieces = [cut(n) for n in lengths]
     empty = F.array().cast("array<string>")
     held = texts.withColumn("label", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, empty) for p in pieces])))))
     return held.join(words, "label", "left_semi")

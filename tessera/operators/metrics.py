@@ -84,10 +84,16 @@ def construct_counts(triples: DataFrame) -> DataFrame:
 
 
 def consistency(triples: DataFrame) -> DataFrame:
-    """1 - classes without a label / classes; 1 if there is no class."""
-    classes = triples.where("p = 'rdf:type' and o = 'owl:Class'").select("s").distinct()
-    labels = triples.where("p = 'rdfs:label'").select("s").distinct().withColumn("labelled", F.lit(1))
-    return classes.join(labels, "s", "left").agg(F.count("*").alias("classes"), F.coalesce(F.avg(F.col("labelled").isNotNull().cast("int")), F.lit(1.0)).alias("consistency"))
+    """1 - (classes without a label + properties without a domain or a range) / (classes + properties); 1 if there are none."""
+    kinds = F.col("o").isin("owl:Class", "owl:ObjectProperty", "owl:DatatypeProperty")
+    things = triples.where((F.col("p") == "rdf:type") & kinds).groupBy("s").agg(F.bool_or(F.col("o") == "owl:Class").alias("is_class"), F.bool_or(F.col("o") != "owl:Class").alias("is_property"))
+    has = lambda p: F.coalesce(F.bool_or(F.col("p") == p), F.lit(False))
+    facts = triples.where("p in ('rdfs:label', 'rdfs:domain', 'rdfs:range')").groupBy("s").agg(has("rdfs:label").alias("label"), (has("rdfs:domain") & has("rdfs:range")).alias("ends"))
+    rows = things.join(facts, "s", "left")
+    no = lambda c: ~F.coalesce(c, F.lit(False))
+    total = F.count_if("is_class") + F.count_if("is_property")
+    bad = F.count_if(F.col("is_class") & no(F.col("label"))) + F.count_if(F.col("is_property") & no(F.col("ends")))
+    return rows.agg(F.count_if("is_class").alias("classes"), F.count_if("is_property").alias("properties"), F.coalesce(1 - bad / F.nullif(total, F.lit(0)), F.lit(1.0)).alias("consistency"))
 
 
 def disjointness_violations(types: DataFrame, disjoint: DataFrame) -> DataFrame:

@@ -43,7 +43,8 @@ VIEWS = {
         SELECT o_custkey AS proposal, o_orderpriority AS reviewer, o_orderkey AS seq,
                CASE o_orderstatus WHEN 'F' THEN 'accept' WHEN 'O' THEN 'reject' ELSE 'revise' END AS decision,
                CAST(o_totalprice / 500000 AS DOUBLE) AS confidence FROM {orders}""",
-    "proposals": "SELECT c_custkey AS id, c_name AS label, c_mktsegment AS parent, c_acctbal AS weight FROM {customer}",
+    "proposals": """SELECT c_custkey AS id, c_name AS label, c_mktsegment AS parent, c_acctbal AS weight FROM {customer}
+        UNION ALL SELECT -1 - s_suppkey, s_name, 'SUPPLIER', s_acctbal FROM {supplier}""",
     "signals": """
         SELECT event_id AS seq, ts, concat('u', user_id) AS element, CASE WHEN user_id % 3 = 0 THEN 'property' ELSE 'class' END AS element_type,
                CASE event_type WHEN 'purchase' THEN 'accepted' WHEN 'error' THEN 'rejected' ELSE 'revised' END AS decision,

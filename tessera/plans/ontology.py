@@ -44,12 +44,13 @@ def schema_coverage(spark, sf_dir):
     WITH m AS (SELECT * FROM {entities}),
     a AS (SELECT entity_type, min_by(label, seq) AS label, count(*) AS frequency, avg(confidence) AS confidence, count(DISTINCT label) AS documents
           FROM m GROUP BY entity_type)
+    , f AS (SELECT entity_type, string_agg(label, '|' ORDER BY seq) AS snippets FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY seq) AS n FROM m) AS x WHERE n <= 5 GROUP BY entity_type)
     SELECT entity_type, concat('ent_', substr(sha256(concat(label, '::', entity_type)), 1, 12)) AS id, label, frequency - 1 AS aliases, frequency,
-           round(confidence, 4) AS confidence, documents FROM a""")
+           round(confidence, 4) AS confidence, documents, snippets FROM a JOIN f USING (entity_type)""")
 def entity_aggregation(spark, sf_dir):
-    """Mentions by type."""
-    found = gaps.aggregated_entities(view(spark, sf_dir, "entities").withColumn("document", F.col("label")))
-    return found.select("entity_type", "id", "label", "aliases", "frequency", rounded("confidence"), "documents")
+    """Mentions by type; the first five passages are the feature."""
+    found = gaps.aggregated_entities(view(spark, sf_dir, "entities").withColumns({"document": F.col("label"), "passage": F.col("label")}))
+    return found.select("entity_type", "id", "label", "aliases", "frequency", rounded("confidence"), "documents", "snippets")
 
 
 @query("""
@@ -412,11 +413,12 @@ def construct_counts(spark, sf_dir):
     return metrics.construct_counts(view(spark, sf_dir, "triples"))
 
 
-@query("""WITH t AS (SELECT * FROM {triples}), c AS (SELECT DISTINCT s FROM t WHERE p = 'rdf:type' AND o = 'owl:Class')
-    SELECT count(*) AS classes, round(avg(CASE WHEN s IN (SELECT s FROM t WHERE p = 'rdfs:label') THEN 1 ELSE 0 END), 4) AS consistency FROM c""")
+@query("""WITH t AS (SELECT DISTINCT * FROM {onto}), c AS (SELECT DISTINCT s FROM t WHERE p = 'rdf:type' AND o = 'owl:Class'), q AS (SELECT DISTINCT s FROM t WHERE p = 'rdf:type' AND o IN ('owl:ObjectProperty', 'owl:DatatypeProperty')),
+    x AS (SELECT (SELECT count(*) FROM c) AS classes, (SELECT count(*) FROM q) AS properties, (SELECT count(*) FROM c WHERE s NOT IN (SELECT s FROM t WHERE p = 'rdfs:label')) AS u,
+    (SELECT count(*) FROM q WHERE s NOT IN (SELECT s FROM t WHERE p = 'rdfs:domain') OR s NOT IN (SELECT s FROM t WHERE p = 'rdfs:range')) AS o) SELECT classes, properties, round(1 - (u + o) / (classes + properties), 4) AS consistency FROM x""")
 def consistency_score(spark, sf_dir):
-    """Labelled share of classes."""
-    return metrics.consistency(view(spark, sf_dir, "triples")).select("classes", rounded("consistency"))
+    """Labelled classes and connected properties."""
+    return metrics.consistency(view(spark, sf_dir, "onto")).select("classes", "properties", rounded("consistency"))
 
 
 @query("""WITH t AS (SELECT DISTINCT l_suppkey AS s, p_type AS o FROM lineitem JOIN part ON p_partkey = l_partkey)
@@ -437,8 +439,8 @@ def cq_theme(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT doc_id, unnest(regexp_split_to_array(substr(text, 1, 2000), '\\s+')) AS w FROM documents),
-    t AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(w, '^[.,;:()\\[\\]"'']+', ''), '[.,;:()\\[\\]"'']+$', '') AS w FROM w),
-    r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS n FROM t WHERE length(w) > 2 AND regexp_matches(w, '^[A-Z]'))
+    t AS (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(w, '^[.,;:()\\[\\]]+', ''), '[.,;:()\\[\\]]+$', '') AS w FROM w WHERE length(w) > 2 AND regexp_matches(w, concat('^', chr(92), 'p', chr(123), 'Lu', chr(125)))),
+    r AS (SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY w) AS n FROM t)
     SELECT doc_id, string_agg(w, '|' ORDER BY w) AS terms FROM r WHERE n <= 30 GROUP BY doc_id""")
 def term_extract(spark, sf_dir):
     """Capitalised terms near the start."""
