@@ -306,6 +306,24 @@ def test_model_probabilities_sum_to_one():
         assert np.allclose(sums, 1, atol=1e-3)
 
 
+def test_next_ids_add_up_to_one_in_each_class():
+    """After any id, the ids of a class share its whole mass, whether their pair is counted or not."""
+    rng = np.random.default_rng(3)
+    class_of = rng.integers(0, attention.CLASSES, attention.VOCABULARY)
+    row_of = attention.OWN + class_of
+    own = rng.permutation(attention.VOCABULARY)[: attention.OWN - 5]
+    row_of[own] = np.arange(len(own))
+    logs = attention.inner_logs(rng.integers(0, 3, (attention.CLASSES + 1, attention.VOCABULARY)), class_of)
+    pairs = rng.poisson(0.05, (attention.OWN + 1, attention.OWN)) * (np.arange(attention.OWN) < len(own))
+    others = rng.poisson(0.5, (attention.OWN + 1, attention.CLASSES))
+    found, rest = attention.pair_logs(pairs, others, logs, row_of, class_of)
+    frequent = row_of < attention.OWN
+    for r in (0, 17, attention.OWN):
+        behind = logs[attention.START if r == attention.OWN else class_of[own[r]]].astype(np.float64)
+        p = 10.0 ** np.where(frequent, found[r][np.where(frequent, row_of, 0)], behind + rest[r][class_of])
+        assert np.allclose(np.bincount(class_of, weights=p, minlength=attention.CLASSES), 1, atol=2e-3)
+
+
 def test_windows_score_each_id_once():
     counts = np.array([1, 31, 32, 33, 100])
     begin = np.cumsum(counts) - counts
