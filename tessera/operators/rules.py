@@ -33,19 +33,22 @@ def no_disjoint_siblings(classes: DataFrame) -> DataFrame:
     return found(children(classes).where("n between 2 and 8 and disjoint = 0"), "no_disjoint_siblings", "INFO", "parent")
 
 
-def uneven_depth(classes: DataFrame, most: int = 2) -> DataFrame:
+def ancestors(classes: DataFrame) -> DataFrame:
+    return closure(classes.where("parent is not null").select(F.col("uri").alias("child"), "parent"))
+
+
+def uneven_depth(classes: DataFrame, most: int = 2, up: DataFrame | None = None) -> DataFrame:
     """Parents of two or more children whose subtrees differ in height by more than `most`."""
     tree = classes.where("parent is not null").select(F.col("uri").alias("child"), "parent")
-    height = closure(tree).groupBy(F.col("ancestor").alias("uri")).agg(F.max("depth").alias("height"))
+    height = (ancestors(classes) if up is None else up).groupBy(F.col("ancestor").alias("uri")).agg(F.max("depth").alias("height"))
     tall = tree.join(height, tree["child"] == height["uri"], "left").select("parent", F.coalesce("height", F.lit(0)).alias("height"))
     spread = tall.groupBy("parent").agg(F.count("*").alias("n"), (F.max("height") - F.min("height")).alias("spread"))
     return found(spread.where((F.col("n") >= 2) & (F.col("spread") > most)), "uneven_depth", "INFO", "parent")
 
 
-def cycles(classes: DataFrame) -> DataFrame:
+def cycles(classes: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """The first class of each cycle, of any length: classes that reach each other both ways."""
-    tree = classes.where("parent is not null").select(F.col("uri").alias("child"), "parent")
-    up = closure(tree).select("node", "ancestor")
+    up = (ancestors(classes) if up is None else up).select("node", "ancestor")
     back = up.select(F.col("node").alias("ancestor"), F.col("ancestor").alias("node"))
     cycle = up.join(back, ["node", "ancestor"]).groupBy("node").agg(F.min("ancestor").alias("mate"))
     return found(cycle.select(F.least("node", "mate").alias("first")).distinct(), "cycle", "ERROR", "first")
@@ -60,16 +63,16 @@ def naming(classes: DataFrame) -> DataFrame:
     return low.union(plural).union(capitals)
 
 
-def redundant_properties(properties: DataFrame, classes: DataFrame) -> DataFrame:
+def redundant_properties(properties: DataFrame, classes: DataFrame, up: DataFrame | None = None) -> DataFrame:
     """Properties (name, uri) attached to a class and to one of its ancestors."""
-    tree = classes.where("parent is not null").select(F.col("uri").alias("child"), "parent")
-    own = properties.select("name", F.col("uri").alias("node")).join(closure(tree), "node")
+    own = properties.select("name", F.col("uri").alias("node")).join(ancestors(classes) if up is None else up, "node")
     above = properties.select("name", F.col("uri").alias("ancestor"))
     return found(own.join(above, ["name", "ancestor"]).select(F.concat_ws("@", "name", "node").alias("at")).distinct(), "redundant_property", "WARNING", "at")
 
 
 def all_rules(classes: DataFrame, properties: DataFrame) -> DataFrame:
-    """Every rule's findings, errors first."""
-    parts = [single_child(classes), too_many_children(classes), uneven_depth(classes), cycles(classes), naming(classes), no_disjoint_siblings(classes), redundant_properties(properties, classes)]
+    """Every rule's findings, errors first. Ancestors are looked for once."""
+    up = ancestors(classes)
+    parts = [single_child(classes), too_many_children(classes), uneven_depth(classes, up=up), cycles(classes, up), naming(classes), no_disjoint_siblings(classes), redundant_properties(properties, classes, up)]
     order = F.array_position(F.array(*map(F.lit, SEVERITIES)), F.col("severity"))
     return reduce(DataFrame.union, parts).orderBy(order, "rule", "affected")
