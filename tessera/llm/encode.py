@@ -18,7 +18,7 @@ import numpy as np
 from tessera.llm.words import LOWER, Block, prefix_sums, span_hashes
 
 WORD_TOKENIZER = "word_bpe_49k.json"
-REMEMBERED = 1_000_000  # words whose ids a worker keeps; others are encoded again where they occur
+REMEMBERED = 400_000  # words whose ids a worker keeps; others are encoded again where they occur
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 
@@ -33,6 +33,7 @@ class WordEncoder:
     """Ids of texts by a lower-casing word tokenizer, equal to encoding each text as a whole."""
 
     split_tails = True
+    most = REMEMBERED
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,7 +80,7 @@ class WordEncoder:
         starts, ends, row = b.words()
         if not len(starts):
             return np.zeros(0, np.uint16), np.zeros(texts, np.int64)
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known.clear()
         low = LOWER[b.data]
         final = low[ends - 1]
@@ -113,6 +114,7 @@ class ByteEncoder(WordEncoder):
     """Ids of texts by a byte-level vocabulary: A-Z lower-cased, each word with one space before it."""
 
     split_tails = False
+    most = 1_000_000
 
     def __init__(self, path: str):
         import base64
