@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, mixing, neighbours, packing, scoring, simhash, sketches, suffixes, toxicity
+from tessera.llm import chat, codes, langid, middles, mixing, neighbours, packing, scoring, shards, simhash, sketches, suffixes, toxicity
 
 QUERIES = {
     "op1_scoring": scoring.query,
@@ -15,5 +15,8 @@ QUERIES = {
     "op8_packing": packing.query,
     "op9_simhash": simhash.query,
     "op10_suffixes": suffixes.query,
+    "op11_codes": codes.query,
+    "op12_shards": shards.query,
+    "op13_middles": middles.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_codes": codes.SQL, "op13_middles": middles.SQL}
