@@ -5,10 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20  # of a batch that goes to a Python worker, so that many rows of long texts don't fill it or its executor
+SPREAD = 1 << 40
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,12 +62,27 @@ def fold(column: str, k: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % k
 
 
+def thinned(rows: DataFrame, most: int, within: list[str] | None = None) -> DataFrame:
+    """Distinct rows with a `key`, a hash over all columns, and for each value of `within` the `most` smallest keys among them, and
+    some more. Distinct rows are counted first, by their keys alone, so copies don't take others' place."""
+    keyed = rows.withColumn("key", F.xxhash64(*rows.columns))
+    own = within or []
+    each = keyed.select(*own, "key").distinct().groupBy(*own).agg(F.count("*").alias("distinct"))
+    bar = F.ceil((2.0 * most + 64) * SPREAD / F.greatest("distinct", F.lit(1))).alias("bar")
+    if own:
+        keyed = keyed.join(cut(each.select(*own, bar)), own)
+    else:
+        keyed = keyed.withColumn("bar", F.lit(each.select(bar).first()[0]))
+    return keyed.where(F.pmod("key", F.lit(SPREAD)) < F.col("bar")).drop("bar").dropDuplicates([*own, "key"])
+
+
 def sampled(rows: DataFrame, most: int) -> DataFrame:
-    """`most` rows, those whose hash over all columns is smallest, or all if there are no more: the same ones in every run, also
-    where ids are null or equal. The hash thins the table before rows are put in order."""
-    total = rows.count()
-    if total <= most:
-        return rows
-    key = F.xxhash64(*rows.columns)
-    thin = rows.where(F.pmod(key, F.lit(1 << 30)) < F.lit(-(-(2 * most << 30) // total)))
-    return thin.orderBy(F.pmod(key, F.lit(1 << 30)), key).limit(most)
+    """`most` distinct rows, those whose hash over all columns is smallest, or all if there are no more: the same ones in every
+    run, also where ids are null or equal or rows repeat. The hash thins the table before rows are put in order."""
+    return thinned(rows, most).orderBy(F.pmod("key", F.lit(SPREAD)), "key").limit(most).drop("key")
+
+
+def sampled_within(rows: DataFrame, most: int, column: str) -> DataFrame:
+    """As sampled(), for each value of a column that holds no nulls."""
+    order = Window.partitionBy(column).orderBy(F.pmod("key", F.lit(SPREAD)), "key")
+    return thinned(rows, most, [column]).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth", "key")

@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 
-from tessera.llm.words import LOWER, Block, prefix_sums, span_hashes
+from tessera.llm.words import LOWER, Block, word_hashes
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 400_000  # words whose ids a worker keeps; others are encoded again where they occur
@@ -93,7 +93,7 @@ class WordEncoder:
             starts = np.concatenate([starts, ends[spot] - 1])[order]
             row = np.concatenate([row, row[spot]])[order]
             ends = np.concatenate([ends - tail, ends[spot]])[order]
-        hashes, first, which = np.unique(span_hashes(prefix_sums(low), starts, ends), return_index=True, return_inverse=True)
+        hashes, first, which = np.unique(word_hashes(low, starts, ends), return_index=True, return_inverse=True)
         listed = hashes.tolist()
         numbers = np.array([self.known.get(h, -1) for h in listed], np.int64)
         new = np.flatnonzero(numbers < 0)

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import fold, sampled, table
+from tessera.llm.common import drop, fold, keep, sampled_within, table
 from tessera.llm.words import LOWER, Block, blocks
 
 DIM, CENTROIDS, ROUNDS = 1 << 12, 4, 8
-SAMPLE = 1_000  # texts a language from which centroids are clustered, chosen by a hash of the id
+SAMPLE = 1_000  # texts a language from which centroids are clustered, distinct ones, chosen by a hash of the text
 REJECTED = 0.002  # share of a centroid's own sample that lies beyond its reach
 UNDETERMINED = "und"
 LETTERS = np.where((np.arange(256) >= 128) | ((np.arange(256) >= 97) & (np.arange(256) <= 122)), np.arange(256), 32).astype(np.uint32)
@@ -94,47 +94,45 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Learn from rows with a text and a language: trigram statistics from all, centroids from SAMPLE a language."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
-    )
+    """Learn from rows with a text and a language: trigram statistics from all, centroids from SAMPLE distinct texts a language,
+    a task for each language. Centroids, and a number for each text of the sample, are what reaches the driver."""
+    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     df, total = document_frequencies(known, "text")
     idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 1
-    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
-    sample = None
-    for lang in languages:
-        part = sampled(known.where(F.col("lang") == lang), SAMPLE)
-        sample = part if sample is None else sample.union(part)
+    sample = keep(sampled_within(known, SAMPLE, "lang"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def centred(held: pa.Table) -> pa.Table:
+        unit = np.concatenate([vectors(counts(b), idf) for b in blocks(held["text"])])
+        c = clustered(unit, CENTROIDS).astype(np.float32)
+        return pa.table({"lang": pa.repeat(held["lang"][0], len(c)), "centroid": pa.array([x.tobytes() for x in c], pa.binary())})
+
+    got = sample.groupBy("lang").applyInArrow(centred, "lang string, centroid binary").toArrow()
+    rows = sorted(zip(got["lang"].to_pylist(), got["centroid"].to_pylist(), strict=True))
+    languages = sorted({x for x, _ in rows})
+    centroids = np.frombuffer(b"".join(c for _, c in rows), np.float32).reshape(-1, DIM)
+    of = np.array([languages.index(x) for x, _ in rows], np.int64)
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in blocks(batch.column(1)):
-                unit = vectors(counts(b), idf).astype(np.float16)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(b.first, b.last - b.first), pa.array([x.tobytes() for x in unit], pa.binary())], ["lang", "unit"]
-                )
-
-    if sample is None:
-        return Model([], idf, np.zeros((0, DIM), np.float32), np.zeros(0, np.int64), np.zeros(0))
-    got = sample.select("lang", "text").mapInArrow(run, "lang string, unit binary").toArrow()
-    lang = np.array(got["lang"].to_pylist())
-    unit = np.frombuffer(b"".join(got["unit"].to_pylist()), np.float16).reshape(-1, DIM)
-    centroids, of = [], []
-    for k, name in enumerate(languages):
-        c = clustered(unit[lang == name].astype(np.float32), CENTROIDS)
-        centroids.append(c)
-        of += [k] * len(c)
-    centroids = np.concatenate(centroids).astype(np.float32)
-    near = unit.astype(np.float32) @ centroids.T
-    best = near.argmax(1)
-    reach = np.array([np.quantile(near[best == j, j], REJECTED) if (best == j).any() else 0.0 for j in range(len(centroids))])
-    return Model(languages, idf, centroids, np.array(of), reach)
+            for b in blocks(batch.column(0)):
+                cosines = vectors(counts(b), idf) @ centroids.T
+                best = cosines.argmax(1)
+                yield pa.RecordBatch.from_arrays([pa.array(best), pa.array(cosines[np.arange(len(best)), best].astype(np.float64))], ["best", "cosine"])
+
+    reach = np.zeros(len(of))
+    if len(of):
+        least = sample.select("text").mapInArrow(near, "best long, cosine double").groupBy("best").agg(F.percentile("cosine", F.lit(REJECTED)).alias("reach"))
+        for r in least.collect():  # a row a centroid
+            reach[r["best"]] = r["reach"]
+    drop(sample)
+    return Model(languages, idf, centroids, of, reach)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", reject: bool = True) -> DataFrame:
     """(id_col, lang_pred, score, rejected) of every row.
 
-    score is the cosine to the nearest centroid, in 0..1. `und` where the text is null or has no letter, where nothing
+    score is the cosine to the nearest centroid, in 0..1; of equally near ones the first by language counts. However long a text, it
+    is a vector of DIM numbers. `und` where the text is null or has no letter, where nothing
     was learned, and with `reject` also where the text is rejected. Only the text is looked at. Repeated rows come back as
     often as they occur; an empty table gives an empty result.
     """

@@ -94,23 +94,24 @@ def search(vectors: DataFrame, is_query, top: int = 20, id_col: str = "vec_id",
     all rows with another id; nearest first, ties by smaller id.
 
     Vectors that are null, zero, or hold null or non-finite components take no part; nor do null ids, or vectors of
-    another length than most of the sample. Repeated rows count once. Scores are double precision on the given vectors.
+    no length. Shorter vectors are compared as if they went on with zeros. Repeated rows count once. Scores are double precision on the given vectors.
     An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     value = F.col(vector_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & value.isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(value, lambda x: x != 0)
     rows = vectors.where(F.coalesce(sound, F.lit(False))).select(F.col(id_col).cast("long").alias("id"), value.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
+    width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    rows = rows.withColumn("v", F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v"))))
     picked = sampled(rows.select("id", "v"), SAMPLE).select("v").toArrow()["v"].to_pylist()
     result = "query_id long, rank int, id long, score double"
     if not picked:
         return spark.createDataFrame([], result)
-    width = int(np.bincount([len(x) for x in picked]).argmax())
-    index = fit(np.array([x for x in picked if len(x) == width]), top)
+    index = fit(np.array(picked), top)
 
     copies = Window.partitionBy("v", "salt").orderBy("id")
     same = Window.partitionBy("v").orderBy("id")
-    distinct = rows.where(F.size("v") == width).groupBy("id", "v").agg(F.max("asks").alias("asks"))
+    distinct = rows.groupBy("id", "v").agg(F.max("asks").alias("asks"))
     few = (
         distinct.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
         .withColumn("nth", F.row_number().over(copies))

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import partitions, table
-from tessera.llm.words import LOWER, blocks, mix, packed_texts, prefix_sums, span_hashes, unpacked
+from tessera.llm.words import LOWER, blocks, mix, packed_texts, unpacked, word_hashes
 
 SHINGLE, FRACTION = 5, 1 / 4
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -28,7 +28,7 @@ def sketches(texts: list[bytes], shingle: int = SHINGLE, fraction: float = FRACT
     out: list[np.ndarray] = []
     for b in blocks(pa.array(texts, pa.binary())):
         starts, ends, row = b.words()
-        hashes = span_hashes(prefix_sums(LOWER[b.data]), starts, ends)
+        hashes = word_hashes(LOWER[b.data], starts, ends)
         counts = np.bincount(row, minlength=b.last - b.first)
         total = np.zeros(len(hashes), np.uint64)
         until = (np.cumsum(counts))[row]

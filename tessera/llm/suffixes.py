@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut, drop, keep, table
-from tessera.llm.words import Block, blocks, mix, packed_texts, powers, prefix_sums, span_hashes, unpacked
+from tessera.llm.words import Block, blocks, mix, packed_texts, powers, prefix_sums, span_hashes, unpacked, word_hashes
 
 LENGTH = 400  # bytes
 PASSAGE = 51  # words: the shortest passage of over 50
@@ -46,7 +46,7 @@ def symbols(b: Block, unit: int) -> tuple[np.ndarray, np.ndarray]:
     if unit == 0:
         return sums, b.offsets
     first, end, row = b.words()
-    hashes = span_hashes(sums, first, end) if len(first) else np.zeros(0, np.uint64)
+    hashes = word_hashes(b.data, first, end) if len(first) else np.zeros(0, np.uint64)
     out = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * powers(len(hashes))[0][: len(hashes)], out=out[1:])
     return out, np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.last - b.first))])

@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 
@@ -21,6 +22,7 @@ LOWER[65:91] += 32
 BYTE_VALUES = np.random.default_rng(20240613).integers(1, 2**63, 256, dtype=np.uint64)
 BASE = 0x9E3779B97F4A7C15 | 1
 BASE_INVERSE = pow(BASE, -1, 2**64)
+LONG_WORD = 256
 _powers: list[np.ndarray] = []
 
 
@@ -57,6 +59,15 @@ def span_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(sums))[1][starts])
 
 
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words. Polynomials modulo 2**64 give some pairs of strings of a thousand bytes one value, so words of more than
+    LONG_WORD bytes are hashed by themselves."""
+    h = span_hashes(prefix_sums(data), starts, ends)
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]].tobytes(), 7)
+    return h
+
+
 class Block(NamedTuple):
     """Whole texts in a row: rows [first, last) of a column, their bytes, and each one's offset (one more at the end)."""
 
