@@ -5,6 +5,8 @@ Loops run over hops, never over rows; every step is a join and a distinct or an
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,16 +18,56 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).union(edges.select("dst", "src")).where("a <> b").distinct()
 
 
+HUB = 4_096  # neighbours of a node that one task sees at a time
+FEW_HUBS = 10_000  # that are broadcast; beyond, joins shuffle them
+
+
+class Adjacency(NamedTuple):
+    """Neighbours (a, part, b, share) in both directions, share being 1 / neighbours of a, and the nodes (a, parts) that have more
+    than HUB and so several parts. Neighbours stay partitioned by node and part while they are kept."""
+
+    steps: DataFrame
+    hubs: DataFrame
+    many: int  # hubs
+
+    def parted(self, rows: DataFrame, node: str) -> DataFrame:
+        """Rows once for each part of their node, in the column `part`."""
+        if not self.many:
+            return rows.withColumn("part", F.lit(0).cast("long"))
+        hubs = F.broadcast(self.hubs) if self.many <= FEW_HUBS else self.hubs
+        met = rows.join(hubs, rows[node] == hubs["a"], "left").drop("a")
+        return met.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+
+    def release(self) -> None:
+        self.steps.unpersist()
+
+
+def adjacency(edges: DataFrame) -> Adjacency:
+    """Neighbours of all nodes, kept in memory or on disk until they are released."""
+    both = settle(both_ways(edges))
+    degree = both.groupBy("a").agg(F.count("*").alias("n"))
+    hubs = settle(degree.where(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).alias("parts")))
+    dealt = both.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB)).alias("part"), "b", (1.0 / F.col("n")).alias("share"))
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Adjacency(dealt.repartition(parts, "a", "part").persist(), hubs, hubs.count())
+
+
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, hop): the fewest steps, up to `most`, from any of the seeds (id), ignoring direction."""
-    steps = settle(both_ways(edges))
-    seen = frontier = settle(seeds.select("id").distinct().withColumn("hop", F.lit(0)))
+    return hops_from(edges, seeds.select(F.lit(0).alias("seed"), "id"), most).select("id", "hop")
+
+
+def hops_from(edges: DataFrame, starts: DataFrame, most: int) -> DataFrame:
+    """(seed, id, hop) for rows (seed, id) of starts: the fewest steps, up to `most`, from any start of a seed."""
+    near = adjacency(edges)
+    seen = frontier = settle(starts.select("seed", "id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, most + 1):
-        reached = frontier.join(steps, frontier["id"] == steps["a"]).select(F.col("b").alias("id")).distinct()
-        frontier = settle(reached.join(seen.select("id"), "id", "left_anti").withColumn("hop", F.lit(hop)))
+        reached = near.parted(frontier, "id").withColumnRenamed("id", "a").join(near.steps, ["a", "part"]).select("seed", F.col("b").alias("id")).distinct()
+        frontier = settle(reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.union(frontier)
         if frontier.isEmpty():
             break
+    near.release()
     return seen
 
 
@@ -58,34 +100,41 @@ def hop_decay(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, top: in
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds."""
-    both = both_ways(edges)
-    degree = both.groupBy("a").agg((1.0 / F.count("*")).alias("share"))
-    steps = settle(both.join(degree, "a"))
+    """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds. Each round sums what
+    neighbours send within tasks first; neighbours keep their partitioning, so only ranks are shuffled."""
+    near = adjacency(edges)
     start = seeds.select("id").distinct()
-    start = start.withColumn("base", F.lit(1.0 / max(1, start.count())))
+    start = settle(start.withColumn("base", F.lit(1.0 / max(1, start.count()))))
+    back = start.select("id", (F.col("base") * (1 - damping)).alias("rank"))
     ranks = start.select("id", F.col("base").alias("rank"))
     for n in range(1, rounds + 1):
-        flow = ranks.join(steps, ranks["id"] == steps["a"]).groupBy(F.col("b").alias("id")).agg(F.sum(F.col("rank") * F.col("share")).alias("flow"))
-        ranks = flow.join(start, "id", "full").select("id", (F.coalesce("base", F.lit(0.0)) * (1 - damping) + F.coalesce("flow", F.lit(0.0)) * damping).alias("rank"))
-        if n % 4 == 0:
+        sent = near.parted(ranks, "id").withColumnRenamed("id", "a").join(near.steps, ["a", "part"])
+        flow = sent.select(F.col("b").alias("id"), (F.col("rank") * F.col("share") * damping).alias("rank"))
+        ranks = flow.unionAll(back).groupBy("id").agg(F.sum("rank").alias("rank"))
+        if n % 5 == 0 or n == rounds:
             ranks = settle(ranks)
+    near.release()
     return ranks
 
 
 def closure(tree: DataFrame) -> DataFrame:
-    """(node, ancestor, depth): all ancestors of a child-parent table (child, parent) by the fewest steps. Every step looks
-    only from the pairs that are new, so cycles end where they close: a class in a cycle is its own ancestor."""
-    up = settle(tree.select("child", "parent").where("child is not null and parent is not null").distinct())
-    level = found = up.select(F.col("child").alias("node"), F.col("parent").alias("ancestor"), F.lit(1).alias("depth"))
-    depth = 1
+    """(node, ancestor, depth): all ancestors of a child-parent table (child, parent) by the fewest steps; a class in a cycle is its
+    own ancestor.
+
+    Paths double: whatever lies more than k and up to 2k steps up lies up to k steps above what lies exactly k steps up, so a
+    chain of d classes takes log2(d) rounds, and pairs that are new are made once for each way at that middle.
+    """
+    up = tree.select(F.col("child").alias("node"), F.col("parent").alias("ancestor")).where("node is not null and ancestor is not null")
+    found = settle(up.distinct().withColumn("depth", F.lit(1)))
+    reach = 1
     while True:
-        depth += 1
-        above = level.join(up, level["ancestor"] == up["child"]).select("node", F.col("parent").alias("ancestor")).distinct()
-        level = settle(above.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)))
-        if level.isEmpty():
+        middle = found.where(F.col("depth") == reach).select("node", F.col("ancestor").alias("via"))
+        above = found.select(F.col("node").alias("via"), "ancestor", "depth")
+        new = middle.join(above, "via").groupBy("node", "ancestor").agg((F.min("depth") + reach).alias("depth"))
+        new = settle(new.join(found.select("node", "ancestor"), ["node", "ancestor"], "left_anti"))
+        if new.isEmpty():
             return found
-        found = found.union(level)
+        found, reach = found.union(new), 2 * reach
 
 
 def longest(tree: DataFrame) -> DataFrame:
@@ -172,6 +221,54 @@ def simple_paths(edges: DataFrame, source: str, target: str, most: int, relation
     return done
 
 
+def half_paths(edges: DataFrame, near: DataFrame, starts: DataFrame, most: int, steps: int) -> list[DataFrame]:
+    """For n = 0..steps the paths (seed, path) of n steps without a repeated node from starts (id), as far as another start lies
+    near enough, by rows (id, seed, hop), for `most` steps in all."""
+    both = settle(both_ways(edges))
+    nearest = near.groupBy("id").agg(F.min(F.struct("hop", "seed")).alias("one"))
+    second = near.join(nearest, "id").where("seed <> one.seed").groupBy("id").agg(F.min("hop").alias("next"))
+    left = settle(nearest.join(second, "id", "left"))
+    out = [starts.select(F.col("id").alias("seed"), F.array("id").alias("path"))]
+    for n in range(1, steps + 1):
+        on = out[-1].withColumn("a", F.element_at("path", -1)).join(both, "a").where(~F.array_contains("path", F.col("b")))
+        hop = F.when(F.col("one.seed") != F.col("seed"), F.col("one.hop")).otherwise(F.col("next"))
+        kept = on.join(left, on["b"] == left["id"]).where(hop <= most - n)
+        out.append(settle(kept.select("seed", F.concat("path", F.array("b")).alias("path"))))
+    return out
+
+
+def connecting_paths(edges: DataFrame, entities: DataFrame, most: int = 3) -> DataFrame:
+    """(source, target, path) of all paths of up to `most` steps without a repeated node, ignoring direction, between any two
+    of the entities (id), source < target.
+
+    Paths grow from every entity at once, up to the half, and only where another entity is near enough for the steps that are
+    left; two halves that end in one node and share no other make a path.
+    """
+    starts = settle(entities.select("id").where("id is not null").distinct())
+    near = settle(hops_from(edges, starts.select(F.col("id").alias("seed"), "id"), most))
+    halves = half_paths(edges, near, starts, most, (most + 1) // 2)
+    done = None
+    for length in range(1, most + 1):
+        a = halves[(length + 1) // 2].select(F.col("seed").alias("source"), F.col("path").alias("head"), F.element_at("path", -1).alias("mid"))
+        b = halves[length // 2].select(F.col("seed").alias("target"), F.col("path").alias("tail"), F.element_at("path", -1).alias("mid"))
+        met = a.join(b, "mid").where((F.col("source") < F.col("target")) & (F.size(F.array_intersect("head", "tail")) == 1))
+        whole = met.select("source", "target", F.concat("head", F.slice(F.reverse("tail"), 2, F.greatest(F.size("tail") - 1, F.lit(1)))).alias("path"))
+        done = whole if done is None else done.union(whole)
+    return done
+
+
+def path_nodes(paths: DataFrame) -> DataFrame:
+    """The distinct nodes (id) of paths."""
+    return paths.select(F.explode("path").alias("id")).distinct()
+
+
+def path_relations(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """The distinct edges (src, rel, dst) that paths go along, in either direction and of any relation."""
+    steps = paths.select(F.explode(F.arrays_zip(F.slice("path", 1, F.size("path") - 1).alias("a"), F.slice("path", 2, F.size("path") - 1).alias("b"))).alias("s")).select("s.a", "s.b").distinct()
+    ways = steps.union(steps.select("b", "a")).distinct()
+    return edges.join(ways, (edges["src"] == ways["a"]) & (edges["dst"] == ways["b"]), "left_semi").select("src", "rel", "dst").distinct()
+
+
 def degrees(edges: DataFrame, cap: int = 20) -> DataFrame:
     """Distinct neighbours of each node, counted up to a cap."""
     return both_ways(edges).groupBy(F.col("a").alias("id")).agg(F.least(F.count("*"), F.lit(cap)).alias("degree"))

@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tessera.functions.fuzzy import fuzzy_ratio
+from tessera.lineage import settle
 from tessera.operators import vectors
 
+GRAM_ROWS = 5_000  # labels of a gram that meet the other side's at a time
+
 
 def coverage_tiers(types: DataFrame, classes: DataFrame) -> DataFrame:
     """types (entity_type) by classes (label): exact (1.0), then substring either way (0.9), both case-insensitive; of
@@ -51,9 +59,11 @@ def siblings(proposed: DataFrame, seeds: DataFrame, threshold: float = 0.6, most
 
 def best_matches(entities: DataFrame, classes: DataFrame, threshold: float = 0.65) -> DataFrame:
     """entities (label, embedding) by classes (label, embedding): an equal label, ignoring case, with similarity 1, else the
-    class of the largest cosine, covered at the threshold; similarity is null where neither has a vector."""
-    e = entities.groupBy("label").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
-    c = classes.groupBy("label").agg(F.first("embedding", ignorenulls=True).alias("embedding"))
+    class of the largest cosine, covered at the threshold; similarity is null where neither has a vector. Of rows with one label
+    the smallest vector counts, or that of the smallest id where there is one."""
+    vector = (F.min_by("embedding", F.when(F.col("embedding").isNotNull(), F.col("id"))) if "id" in entities.columns and "id" in classes.columns else F.min("embedding")).alias("embedding")
+    e = entities.groupBy("label").agg(vector)
+    c = classes.groupBy("label").agg(vector)
     known = c.groupBy(F.lower("label").alias("low")).agg(F.min("label").alias("match"))
     exact = e.join(known, F.lower("label") == F.col("low")).select("label", "match", F.lit(1.0).alias("similarity"))
     rest = e.join(exact.select("label"), "label", "left_anti").select(F.col("label").alias("id"), "embedding")
@@ -62,21 +72,45 @@ def best_matches(entities: DataFrame, classes: DataFrame, threshold: float = 0.6
     return found.withColumn("covered", F.coalesce(F.col("similarity") >= threshold, F.lit(False)))
 
 
+def label_grams(labels: DataFrame) -> DataFrame:
+    """(label, at, gram): pairs of neighbouring characters, ends marked, each repetition in a label being a gram of its own."""
+    marked = F.concat(F.lit("\u0002"), "label", F.lit("\u0003"))
+    pairs = F.transform(F.sequence(F.lit(1), F.length("label") + 1), lambda i: F.substring(marked, i, F.lit(2)))
+    each = labels.select("label", F.posexplode(pairs).alias("at", "two"))
+    nth = F.row_number().over(Window.partitionBy("label", "two").orderBy("at"))
+    return each.select("label", "at", F.concat("two", nth.cast("string")).alias("gram"))
+
+
+def fuzzy_candidates(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left, right): labels, in lower case, that can have an indel ratio of `least`.
+
+    Grams are ordered by how rare they are in both sides. Of n + 1 grams of a label of n characters an alike label lacks at
+    most n (2 - 1.5 r) + n r / (2 - r) (1 - 1.5 r), deleting a character costing two grams and inserting one costing one, so
+    two alike labels share a gram among so many and one of their rarest, in places no further apart than edits allow. Rows of
+    a gram that is frequent all the same are dealt into parts, each of which meets the other side.
+    """
+    sides = [df.select(F.lower("label").alias("label")).where("label is not null").distinct() for df in (left, right)]
+    grams = [settle(label_grams(df)) for df in sides]
+    counts = grams[0].select("gram").unionAll(grams[1].select("gram")).groupBy("gram").agg(F.count("*").alias("n"))
+    parts = F.greatest(F.ceil(F.col("n") / GRAM_ROWS), F.lit(1))
+    n = F.length("label")
+    lost = F.floor(n * (2 - 1.5 * least) + n * (least / (2 - least) * (1 - 1.5 * least)) + 1e-9)
+    rare = Window.partitionBy("label").orderBy("n", "gram")
+    prefix = lambda df: df.join(counts, "gram").withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= lost + 1).withColumn("parts", parts)
+    a = prefix(grams[0]).select("gram", F.pmod(F.xxhash64("label"), "parts").alias("part"), F.col("label").alias("left"), F.col("at").alias("i"))
+    b = prefix(grams[1]).select("gram", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("label").alias("right"), F.col("at").alias("j"))
+    both = F.length("left") + F.length("right")
+    gap = F.abs(F.length("left") - F.length("right"))
+    sized = 2 * F.least(F.length("left"), F.length("right")) >= least * both - 1e-9
+    placed = 2 * F.abs(F.col("i") - F.col("j")) <= (1 - least) * both + gap + 1e-9
+    return a.join(b, ["gram", "part"]).where(sized & placed).select("left", "right").distinct()
+
+
 def fuzzy_matches(left: DataFrame, right: DataFrame, least: float = 0.85) -> DataFrame:
-    """(left, right, ratio) of labels at least so alike by indel ratio, ignoring case. Labels alike by 0.75 or more share a pair of
-    neighbouring characters (ends marked), so only labels that share one are compared."""
+    """(left, right, ratio) of labels at least so alike by indel ratio, ignoring case."""
     if least < 0.75:
         raise ValueError("labels less alike may share no pair of characters")
-
-    def paired(df: DataFrame, name: str) -> DataFrame:
-        low = df.select(F.lower("label").alias(name)).where("label is not null").distinct()
-        marked = F.concat(F.lit("\u0002"), name, F.lit("\u0003"))
-        return low.select(name, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) + 1), lambda i: F.substring(marked, i, F.lit(2))))).alias("two"))
-
-    size = F.length("left") + F.length("right")
-    fits = 2 * F.least(F.length("left"), F.length("right")) >= least * size
-    pairs = paired(left, "left").join(paired(right, "right"), "two").where(fits).select("left", "right").distinct()
-    return pairs.withColumn("ratio", fuzzy_ratio("left", "right")).where(F.col("ratio") >= least)
+    return fuzzy_candidates(left, right, least).withColumn("ratio", fuzzy_ratio("left", "right")).where(F.col("ratio") >= least)
 
 
 def three_tiers(entities: DataFrame, classes: DataFrame, fuzzy: float = 0.85, threshold: float = 0.65) -> DataFrame:
@@ -94,29 +128,64 @@ def three_tiers(entities: DataFrame, classes: DataFrame, fuzzy: float = 0.85, th
     return out.select("id", F.when(F.col("k_t").isNotNull() | F.col("k_l").isNotNull(), "exact").when(F.col("fuzzy"), "fuzzy").when(F.col("vector"), "vector").otherwise("none").alias("tier"))
 
 
-FEW_TERMS = 1_000  # up to so many terms are sent to every task; more are met by their lengths
+FEW_TERMS = 64  # up to so many terms are looked for one by one
+TERM_BYTES, TEXT_BYTES = 4 << 20, 4 << 20  # of terms in one automaton, and of texts that meet it at a time
 
 
-def holding(texts: DataFrame, terms: DataFrame, text_col: str = "text", few: int = FEW_TERMS) -> DataFrame:
-    """texts with each term (label) that they hold as a plain substring; empty terms are held by none.
+def holding(texts: DataFrame, terms: DataFrame, text_col: str = "text", few: int = FEW_TERMS, term_bytes: int = TERM_BYTES) -> DataFrame:
+    """The other columns of texts with each term (label) that the text holds as a plain substring; empty terms are held by none.
 
-    A few terms, which is counted, are broadcast. More are met by equality: a text gives its pieces of every length that a
-    term has, so the work grows with the text and the number of lengths and not with the number of terms.
+    Up to `few` terms, which is counted, are broadcast. More make an automaton that finds all of them in one pass over a text; up to
+    `term_bytes` of them are sent to every task. Beyond that they are dealt into parts, and blocks of texts meet each part.
     """
-    words = terms.select("label").where("label <> ''").distinct()
-    lengths = [r[0] for r in words.select(F.length("label")).distinct().collect()]  # at most as many as the longest term has characters
-    if words.limit(few + 1).count() <= few:
-        return texts.join(F.broadcast(words), F.contains(F.col(text_col), F.col("label")))
-    size = F.length(text_col)
-
-    def cut(n: int) -> Column:
-        places = F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1)))
-        return F.when(size >= n, F.transform(places, lambda i: F.substring(F.col(text_col), i, F.lit(n))))
-
-    pieces = [cut(n) for n in lengths]
-    empty = F.array().cast("array<string>")
-    held = texts.withColumn("label", F.explode(F.array_distinct(F.flatten(F.array(*[F.coalesce(p, empty) for p in pieces])))))
-    return held.join(words, "label", "left_semi")
+    words = settle(terms.select("label").where("label <> ''").distinct())
+    size = words.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("label")), F.lit(0)).alias("bytes")).first()
+    if size["n"] <= few:
+        return texts.join(F.broadcast(words), F.contains(F.col(text_col), F.col("label"))).drop(text_col)
+    texts = texts.select(*[c for c in texts.columns if c != text_col], text_col)
+    schema = StructType([*texts.schema.fields[:-1], StructField("label", StringType())])
+
+    def held(automaton: ahocorasick.Automaton, rows: pa.RecordBatch) -> pa.RecordBatch:
+        took, labels = [], []
+        for i, text in enumerate(rows.column(rows.num_columns - 1).to_pylist()):
+            hits = {label for _, label in automaton.iter(text)} if text else ()
+            took += [i] * len(hits)
+            labels += hits
+        others = [c.take(pa.array(took, pa.int64())) for c in rows.columns[:-1]]
+        return pa.RecordBatch.from_arrays([*others, pa.array(labels, pa.string())], schema.names)
+
+    if size["bytes"] <= term_bytes:
+        every = [r["label"] for r in words.toLocalIterator()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = built(every)
+            for batch in batches:
+                yield from (held(automaton, batch.slice(k, 64)) for k in range(0, batch.num_rows, 64))
+
+        return texts.mapInArrow(run, schema)
+
+    parts = -(-size["bytes"] // term_bytes)
+    listed = words.groupBy(F.pmod(F.xxhash64("label"), F.lit(parts)).alias("part")).agg(F.collect_list("label").alias("labels"))
+    rows = settle(texts.withColumn("nth", F.monotonically_increasing_id()))  # written out, so that a row keeps its number
+    blocks = -(-(rows.agg(F.sum(F.octet_length(text_col))).first()[0] or 0) // TEXT_BYTES) + 1
+    block = F.pmod(F.xxhash64("nth"), F.lit(blocks)).alias("block")
+    gathered = rows.groupBy(block).agg(F.collect_list(F.struct(*texts.columns)).alias("rows"))
+    met = gathered.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(listed, "part").select("rows", "labels")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some, labels in zip(batch.column(0), batch.column(1), strict=True):
+                yield held(built(labels.as_py()), pa.RecordBatch.from_struct_array(some.values))
+
+    return met.mapInArrow(meet, schema)
+
+
+def built(terms: list[str]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for term in terms:
+        automaton.add_word(term, term)
+    automaton.make_automaton()
+    return automaton
 
 
 def cooccurrence_votes(chunks: DataFrame, proposed: DataFrame, seeds: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def grounding(elements: DataFrame, seeds: DataFrame) -> DataFrame:
     documents, serve a question, and are connected, their parent holding a seed's label (plain substring); 1 where there is
     no element, and all are connected where there is no seed. ungrounded and unconnected list up to five names. Healthy with
     0.85, 0.8 and 0.9 at least."""
-    anchored = holding(elements.select(F.col("parent").alias("text")).where("parent <> ''").distinct(), seeds).select(F.col("text").alias("parent")).distinct().withColumn("hit", F.lit(True))
+    anchored = holding(elements.select("parent", F.col("parent").alias("text")).where("parent <> ''").distinct(), seeds).select("parent").distinct().withColumn("hit", F.lit(True))
     any_seed = not seeds.isEmpty()
     rows = elements.join(anchored, "parent", "left").withColumn("connected", F.coalesce("hit", F.lit(not any_seed)))
     n = F.count("*")

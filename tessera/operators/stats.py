@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,21 +58,43 @@ def paired_statistics(pairs: DataFrame) -> DataFrame:
 
 
 PRIME = 2_147_483_647
+# The chances that a Poisson(1) draw is at most 0, 1, 2, ...
+POISSON = (0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152)
+
+
+def poisson_weights(pair: np.ndarray, resample: np.ndarray, seed: int) -> np.ndarray:
+    """(pairs, resamples): Poisson(1) draws from a hash by squares modulo a prime."""
+    x = (pair[:, None] * 48_271 + resample * 69_621 + seed) % PRIME
+    y = (x * x + 12_345) % PRIME
+    return np.searchsorted(POISSON, (y * y + resample) % PRIME / float(PRIME), "right")
 
 
 def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42) -> DataFrame:
     """pairs (metric, pair, a, b), pair being a number: by metric the 2.5 and 97.5 percentiles of the mean difference over
-    Poisson resamples, all drawn in one pass and summed before any shuffle.
-
-    Each pair's weight in a resample is a Poisson(1) draw from a hash by squares modulo a prime, so a rerun gives the same interval.
+    Poisson resamples, all drawn in one pass. A task keeps two running sums a resample and a metric and hands on these, so
+    nothing grows with pairs times resamples. Each pair's weight in a resample is drawn from a hash, so a rerun gives the same
+    interval. Pairs with a null side take no part.
     """
-    x = F.pmod(F.col("pair") * 48_271 + F.col("resample") * 69_621 + seed, F.lit(PRIME))
-    y = F.pmod(x * x + 12_345, F.lit(PRIME))
-    u = F.pmod(y * y + F.col("resample"), F.lit(PRIME)) / float(PRIME)
-    cuts = (0.3678794412, 0.7357588823, 0.9196986029, 0.9810118431, 0.9963401532, 0.9994058152)
-    weight = sum(((u >= c).cast("int") for c in cuts[1:]), (u >= cuts[0]).cast("int"))
-    drawn = pairs.withColumn("resample", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(resamples).cast("long")))).withColumn("w", weight)
-    means = drawn.groupBy("metric", "resample").agg((F.sum(F.col("w") * (F.col("a") - F.col("b"))) / F.nullif(F.sum("w"), F.lit(0))).alias("mean"))
+    every = np.arange(1, resamples + 1, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            metric, pair = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_numpy()
+            d = batch.column(2).to_numpy()
+            for name in sorted(set(metric.tolist())):
+                own = np.flatnonzero(metric == name)
+                total = sums.setdefault(name, np.zeros((2, resamples)))
+                for k in range(0, len(own), 64):
+                    some = own[k : k + 64]
+                    w = poisson_weights(pair[some] % PRIME, every, seed)
+                    total += d[some] @ w, w.sum(0)
+        for name, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * resamples), pa.array(every), pa.array(total[0]), pa.array(total[1])], ["metric", "resample", "d", "w"])
+
+    rows = pairs.where("metric is not null and pair is not null and a is not null and b is not null")
+    drawn = rows.select("metric", F.col("pair").cast("long"), (F.col("a") - F.col("b")).cast("double").alias("d")).mapInArrow(run, "metric string, resample long, d double, w double")
+    means = drawn.groupBy("metric", "resample").agg((F.sum("d") / F.nullif(F.sum("w"), F.lit(0.0))).alias("mean"))
     return means.groupBy("metric").agg(F.percentile("mean", 0.025).alias("low"), F.percentile("mean", 0.975).alias("high"))
 
 

@@ -1,79 +1,257 @@
-"""Similarity of embedding columns (id, embedding): thresholds and nearest rows, block against block.
+"""Similarity of embedding columns (id, embedding): thresholds and nearest rows, by pivots and blocks.
 
-Both sides are dealt into blocks by a hash of the id, every block of one meets every block of the other, and a task takes
-one matrix product at a time and hands on only what passes, so no pair is a row before it is wanted.
+Pivots are rows far from each other. A right row lies in the cell of its nearest pivot, at an angle to it; cells are cut into
+blocks of neighbouring angles. Angles between vectors obey the triangle inequality, so a left row's angles to the pivots say
+which blocks can hold a vector near enough, and it meets no others. What meets is compared in matrix products inside tasks,
+and only what passes becomes rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import dot
+from tessera.lineage import settle
 
 BLOCK = 2_048
+ROWS_A_PIVOT, MOST_PIVOTS, SAMPLE = 512, 4_096, 4_096
+BINS = 256  # of angles to a pivot
+SLACK = 1e-6  # radians that rounding may cost
+TIE = 1e-9  # similarities so near are equal
 
 
-def blocked(rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-    """(number, name), name being an array of rows, and how many blocks there are."""
+class Cells(NamedTuple):
+    """Blocks of the right side: the cell each lies in (-1 for vectors without length), its angles and its rows."""
+
+    pivots: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    size: np.ndarray
+    first: np.ndarray  # (cells + 1, BINS): the first block of a bin, the last row being for vectors without length
+    splits: np.ndarray
+
+
+def unit_rows(rows: DataFrame, width: int) -> DataFrame:
+    """(id, unit): unit vectors as bytes, shorter ones being filled up with zeros; zero where there is no length."""
     sound = rows.where("id is not null and embedding is not null")
-    n = max(1, -(-sound.count() // BLOCK))
-    item = F.struct("id", F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
-    return sound.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("number")).agg(F.collect_list(item).alias(name)), n
+    item = sound.select("id", F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column(1)
+            out = np.zeros((len(v), width))
+            out[np.arange(width) < np.diff(v.offsets.to_numpy())[:, None]] = v.flatten().to_numpy()
+            norm = np.linalg.norm(out, axis=1, keepdims=True)
+            np.divide(out, norm, out=out, where=norm > 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary())], ["id", "unit"])
+
+    return item.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, unit binary")
+
+
+def stacked(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, width) if len(column) else np.zeros((0, width))
+
+
+def far_apart(rows: np.ndarray, k: int) -> np.ndarray:
+    """k of the rows, each the one farthest from those taken before."""
+    rows = rows[np.linalg.norm(rows, axis=1) > 0.5]
+    if not len(rows):
+        return rows
+    taken = [0]
+    near = rows @ rows[0]
+    while len(taken) < min(k, len(rows)):
+        taken.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[taken[-1]])
+    return rows[taken]
+
+
+def angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(units @ pivots.T, -1, 1))
+
+
+def in_cells(units: DataFrame, pivots: np.ndarray, width: int) -> DataFrame:
+    """(id, unit, cell, bin): where each row lies."""
+    kind = units.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u = stacked(batch.column(1), width)
+            cell, bin_ = np.full(len(u), -1, np.int32), np.zeros(len(u), np.int32)
+            some = np.flatnonzero(np.linalg.norm(u, axis=1) > 0.5)
+            if len(some) and len(pivots):
+                near = angles(u[some], pivots)
+                cell[some] = near.argmin(1)
+                bin_[some] = np.minimum(near.min(1) * BINS / np.pi, BINS - 1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(bin_)], ["id", "unit", "cell", "bin"])
+
+    return units.mapInArrow(run, f"id {kind}, unit binary, cell int, bin int")
 
 
-def units(held: pa.StructScalar) -> tuple[pa.Array, np.ndarray]:
-    """Ids and unit vectors (zero where there is no length) of a block, shorter vectors being filled up."""
-    table = pa.Table.from_struct_array(held.values)
-    vectors = table["v"].to_pylist()
-    out = np.zeros((len(vectors), max(map(len, vectors), default=0)))
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return table["id"].combine_chunks(), np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+def cut_in_blocks(placed: DataFrame, pivots: np.ndarray) -> Cells:
+    """Blocks of at most BLOCK rows of neighbouring angles; a bin of more rows is several blocks. The counts of bins, a table of
+    the size of the pivots, are what reaches the driver."""
+    n = np.zeros((len(pivots) + 1, BINS), np.int64)
+    for r in placed.groupBy("cell", "bin").count().collect():
+        n[r["cell"], r["bin"]] = r["count"]
+    first, splits, blocks = np.zeros(n.shape, np.int64), np.ones(n.shape, np.int64), []
+    for cell in range(len(n)):
+        held = 0
+        for b in np.flatnonzero(n[cell]).tolist():
+            parts = max(1, -(-int(n[cell, b]) // BLOCK))
+            if parts > 1 or not held or held + n[cell, b] > BLOCK:
+                first[cell, b], splits[cell, b] = len(blocks), parts
+                blocks += [[cell if cell < len(pivots) else -1, b, b + 1, -(-int(n[cell, b]) // parts)] for _ in range(parts)]
+                held = 0 if parts > 1 else int(n[cell, b])
+            else:
+                first[cell, b] = len(blocks) - 1
+                blocks[-1][2], blocks[-1][3] = b + 1, blocks[-1][3] + int(n[cell, b])
+                held += int(n[cell, b])
+    table = np.array(blocks, np.int64).reshape(-1, 4)
+    return Cells(pivots, table[:, 0], table[:, 1] * np.pi / BINS, table[:, 2] * np.pi / BINS, table[:, 3], first, splits)
 
 
-def met(left: DataFrame, right: DataFrame, choose: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """(left_id, right_id, similarity) where `choose` marks a block's similarities (left by right); ids that are equal don't
-    meet. Vectors of unequal length are compared as if the shorter one went on with zeros."""
-    kinds = [df.schema["id"].dataType.simpleString() for df in (left, right)]
-    (a, _), (b, n) = blocked(left, "a"), blocked(right, "b")
+def right_blocks(placed: DataFrame, cells: Cells) -> DataFrame:
+    """(block, b): the rows of each block."""
+    kind = placed.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            cell, bin_ = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            block = cells.first[cell, bin_] + (at + np.arange(len(cell))) % cells.splits[cell, bin_]
+            at += len(cell)
+            yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1)], ["block", "id", "unit"])
+
+    return placed.mapInArrow(run, f"block long, id {kind}, unit binary").groupBy("block").agg(F.collect_list(F.struct("id", "unit")).alias("b"))
+
+
+def bounds(u: np.ndarray, cells: Cells) -> np.ndarray:
+    """(rows, blocks): an angle that no vector of the block is nearer than. Vectors without length are at a right angle to all."""
+    out = np.full((len(u), len(cells.cell)), np.pi / 2)
+    some = np.flatnonzero(np.linalg.norm(u, axis=1) > 0.5)
+    held = np.flatnonzero(cells.cell >= 0)
+    if len(some) and len(held):
+        to = angles(u[some], cells.pivots)
+        a = to[:, cells.cell[held]]
+        least = np.maximum(np.maximum(a - cells.high[held], cells.low[held] - a), (a - to.min(1)[:, None]) / 2)
+        out[np.ix_(some, held)] = np.maximum(least, 0)
+    return out
+
+
+def meetings(left: DataFrame, cells: Cells, width: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+    """(block, part, id, unit, bar) for rows (id, unit, cell, bin, bar): the blocks that `choose` takes for each row by its bounds
+    and its bar. Parts are rows of one cell, so that rows that meet the same blocks go together."""
+    counts = np.zeros(len(cells.pivots) + 1, np.int64)
+    for r in left.groupBy("cell").count().collect():  # at most a row a pivot
+        counts[r["cell"]] = r["count"]
+    splits = np.maximum(-(-counts // BLOCK), 1)
+    begin = np.cumsum(splits) - splits
+    kind = left.schema["id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = 0
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                some = batch.slice(k, 256)
+                u, cell = stacked(some.column(1), width), some.column(2).to_numpy()
+                row, block = np.nonzero(choose(bounds(u, cells), some.column(4).to_numpy()))
+                part = begin[cell] + (at + np.arange(len(cell))) % splits[cell]
+                at += len(cell)
+                took = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(block), pa.array(part[row]), some.column(0).take(took), some.column(1).take(took), some.column(4).take(took)], ["block", "part", "id", "unit", "bar"]
+                )
+
+    return left.mapInArrow(run, f"block long, part long, id {kind}, unit binary, bar double")
+
+
+def compared(meet: DataFrame, blocks: DataFrame, width: int, slack: float, top: int | None) -> DataFrame:
+    """(left_id, right_id, similarity) of what meets, at or above the left row's bar; with `top` only a block's best for each row.
+    Equal ids don't meet."""
+    kinds = [t.simpleString() for t in (meet.schema["id"].dataType, blocks.schema["b"].dataType.elementType["id"].dataType)]
+    held = meet.groupBy("block", "part").agg(F.collect_list(F.struct("id", "unit", "bar")).alias("a"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                (i, u), (j, v) = units(x), units(y)
-                width = max(u.shape[1], v.shape[1])
-                u, v = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (u, v))
-                near = u @ v.T
-                same = np.array(i.to_pylist(), object)[:, None] == np.array(j.to_pylist(), object)[None]
-                rows, columns = np.nonzero(choose(np.where(same, -np.inf, near)) & ~same)
-                yield pa.RecordBatch.from_arrays([i.take(pa.array(rows)), j.take(pa.array(columns)), pa.array(near[rows, columns])], ["left_id", "right_id", "similarity"])
+                x, y = pa.Table.from_struct_array(x.values), pa.Table.from_struct_array(y.values)
+                i, j = x["id"].combine_chunks(), y["id"].combine_chunks()
+                near = stacked(x["unit"], width) @ stacked(y["unit"], width).T
+                near[np.isnan(near)] = -np.inf
+                good = near >= x["bar"].to_numpy()[:, None] - slack
+                if top is not None:
+                    own = Counter(j.to_pylist())
+                    most = top + max((own[p] for p in i.to_pylist()), default=0)  # rows of the row's own id don't count
+                    if near.shape[1] > most:
+                        good &= near >= (np.partition(near, -most, axis=1)[:, -most] - slack)[:, None]
+                rows, columns = np.nonzero(good)
+                out = pa.RecordBatch.from_arrays([i.take(pa.array(rows)), j.take(pa.array(columns)), pa.array(near[rows, columns])], ["left_id", "right_id", "similarity"])
+                apart = [p != q for p, q in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
+                yield out.filter(pa.array(apart, pa.bool_()))
+
+    return held.join(blocks, "block").select("a", "b").mapInArrow(run, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double")
 
-    every = a.withColumn("number", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("number", F.col("number").cast("long"))
-    return every.join(b, "number").select("a", "b").mapInArrow(run, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double")
+
+def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, Cells, int]:
+    """Both sides in cells, the right side's blocks, and the width of all vectors."""
+    size = F.max(F.size("embedding")).alias("n")
+    width = max(1, *[df.where("embedding is not null").agg(size).first()["n"] or 0 for df in (left, right)])
+    b = unit_rows(right, width)
+    k = min(MOST_PIVOTS, -(-right.count() // ROWS_A_PIVOT))
+    sample = b.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("unit").toArrow()["unit"].combine_chunks()
+    pivots = far_apart(stacked(sample, width), k)
+    placed = settle(in_cells(b, pivots, width))
+    return settle(in_cells(unit_rows(left, width), pivots, width)), placed, cut_in_blocks(placed, pivots), width
+
+
+def near_enough(least: np.ndarray, bar: np.ndarray) -> np.ndarray:
+    return least <= np.arccos(np.clip(bar - 2 * TIE, -1, 1))[:, None] + SLACK
 
 
 def above(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a cosine of at least the threshold."""
-    return met(left, right, lambda s: s >= threshold)
+    """All pairs of a cosine of at least the threshold. Vectors of unequal length are compared as if the shorter one went on
+    with zeros; null ids and vectors take no part."""
+    a, b, cells, width = prepared(left, right)
+    meet = meetings(a.withColumn("bar", F.lit(float(threshold))), cells, width, near_enough)
+    return compared(meet, right_blocks(b, cells), width, 0.0, None)
+
 
+def nearest(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None, where: Column | str | None = None) -> DataFrame:
+    """The k most similar right rows of each left row with their rank, of those that a condition on the right side selects and
+    that reach the threshold; ties by right id.
 
-def nearest(left: DataFrame, right: DataFrame, k: int) -> DataFrame:
-    """The k most similar right rows of each left row with their rank; ties by right id."""
+    A row first meets the blocks of the smallest bounds that hold k rows; its k-th best there is the bar for all others.
+    """
+    a, b, cells, width = prepared(left, right if where is None else right.where(where))
+    blocks = right_blocks(b, cells)
+    least = -1.0 if threshold is None else float(threshold)
 
-    def best(s: np.ndarray) -> np.ndarray:
-        if s.shape[1] <= k:
-            return np.isfinite(s)
-        least = np.partition(s, -k, axis=1)[:, -k]
-        return s >= (least - 1e-9)[:, None]
+    def first(bound: np.ndarray, bar: np.ndarray) -> np.ndarray:
+        order = np.argsort(bound, axis=1, kind="stable")
+        size = cells.size[order]
+        took = np.zeros(bound.shape, bool)
+        np.put_along_axis(took, order, np.cumsum(size, axis=1) - size < k + 1, axis=1)
+        return took
 
+    a = a.withColumn("bar", F.lit(least))
+    if len(cells.cell) > 1:
+        tried = compared(meetings(a, cells, width, first), blocks, width, TIE, k)
+        best = Window.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id")
+        bar = tried.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(F.col("left_id").alias("id"), F.col("similarity").alias("kth"))
+        a = settle(a.join(bar, "id", "left").withColumn("bar", F.greatest("bar", F.coalesce("kth", F.lit(-1.0)))).drop("kth"))
     order = Window.partitionBy("left_id").orderBy(F.round("similarity", 9).desc(), "right_id")
-    return met(left, right, best).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    met = compared(meetings(a, cells, width, near_enough), blocks, width, TIE, k)
+    if threshold is not None:
+        met = met.where(F.col("similarity") >= least)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def coherence(items: DataFrame) -> DataFrame:

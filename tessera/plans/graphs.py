@@ -112,6 +112,30 @@ def connecting_paths(spark, sf_dir):
     return graph.simple_paths(view(spark, sf_dir, "kg_edges"), "s:1", "s:2", 3).select(F.array_join("path", ">").alias("path"))
 
 
+ENTITIES = ["s:1", "s:2", "s:3", "n:1", "n:4", "r:0"]
+PAIRED = f"""WITH {STEPS}, k AS (SELECT unnest({ENTITIES}) AS id), x AS (SELECT id AS s, a, z FROM b JOIN k ON a = id WHERE a <> z), y AS (SELECT id AS t, a, z FROM b JOIN k ON z = id WHERE a <> z),
+    w AS (SELECT x.s AS source, y.t AS target, [s, t] AS path FROM x JOIN y ON x.a = y.a AND x.z = y.z WHERE s < t
+    UNION ALL SELECT s, t, [s, x.z, t] FROM x JOIN y ON x.z = y.a WHERE s < t AND x.z NOT IN (s, t)
+    UNION ALL SELECT s, t, [s, x.z, y.a, t] FROM x JOIN b ON x.z = b.a JOIN y ON b.z = y.a WHERE s < t AND b.a <> b.z AND x.z NOT IN (s, t) AND y.a NOT IN (s, t))"""
+
+
+def entities(spark):
+    return spark.createDataFrame([(x,) for x in ENTITIES], "id string")
+
+
+@query(PAIRED + " SELECT source, target, array_to_string(path, '>') AS path FROM w")
+def connecting_pairs(spark, sf_dir):
+    """All short paths between all pairs of six entities."""
+    return graph.connecting_paths(view(spark, sf_dir, "kg_edges"), entities(spark), 3).select("source", "target", F.array_join("path", ">").alias("path"))
+
+
+@query(PAIRED + ", i AS (SELECT path, unnest(range(1, len(path))) AS i FROM w), d AS (SELECT DISTINCT path[i] AS a, path[i + 1] AS z FROM i) SELECT DISTINCT src, rel, dst FROM e JOIN d ON (src = a AND dst = z) OR (src = z AND dst = a)")
+def connecting_relations(spark, sf_dir):
+    """The relations of these paths."""
+    edges = view(spark, sf_dir, "kg_edges")
+    return graph.path_relations(graph.connecting_paths(edges, entities(spark), 3), edges)
+
+
 @query("WITH RECURSIVE e AS (SELECT * FROM {kg_edges} WHERE rel IN ('IN_NATION', 'IN_REGION')), b AS (SELECT src AS a, dst AS z FROM e UNION SELECT dst, src FROM e)" + PATHS.replace("s:1", "n:1").replace("s:2", "n:6") % 4)
 def typed_paths(spark, sf_dir):
     """Paths whose every edge is of a wanted kind."""

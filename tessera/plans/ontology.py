@@ -97,6 +97,15 @@ def nearest_parents(spark, sf_dir):
     return vectors.nearest(rows, rows, 3).select("left_id", "right_id", rounded("similarity"), "rank")
 
 
+@query(SIMILAR + """, f AS (SELECT id AS right_id FROM {vectors} WHERE label IN (1, 2, 3)),
+    r AS (SELECT s.*, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS rank FROM s JOIN f USING (right_id) WHERE similarity >= 0.2)
+    SELECT left_id, right_id, round(similarity, 4) AS similarity, rank FROM r WHERE rank <= 3""")
+def filtered_neighbours(spark, sf_dir):
+    """the three nearest terms of some kinds above a threshold."""
+    rows = view(spark, sf_dir, "vectors")
+    return vectors.nearest(rows, rows, 3, threshold=0.2, where="label in (1, 2, 3)").select("left_id", "right_id", rounded("similarity"), "rank")
+
+
 @query(SIMILAR + """, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY similarity DESC, right_id) AS rank FROM s)
     SELECT left_id, max(CASE WHEN rank = 1 THEN right_id END) AS parent, round(max(CASE WHEN rank = 1 THEN similarity END), 4) AS similarity,
            round(max(CASE WHEN rank = 1 THEN similarity END) - max(CASE WHEN rank = 2 THEN similarity END), 4) AS confidence FROM r GROUP BY left_id""")
@@ -189,11 +198,13 @@ def customer_classes(spark, sf_dir):
     return c.select(F.col("c_name").alias("uri"), F.col("c_name").alias("label"), F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("parent"), F.lit(False).alias("disjoint"))
 
 
-@query("""WITH k AS (SELECT concat(c_mktsegment, '/', c_nationkey) AS parent, count(*) AS n FROM customer GROUP BY 1)
+@query("""WITH k AS (SELECT concat(c_mktsegment, '/', c_nationkey, '/', CAST(floor(c_acctbal / 20) AS BIGINT)) AS parent, count(*) AS n FROM customer GROUP BY 1)
     SELECT 'single_child' AS rule, 'WARNING' AS severity, parent AS affected FROM k WHERE n = 1""")
 def rule_single_child(spark, sf_dir):
-    """L01."""
-    return rules.single_child(customer_classes(spark, sf_dir))
+    """Customers below their segment, nation and balance, so that many classes hold one."""
+    finer = F.concat_ws("/", "c_mktsegment", F.col("c_nationkey").cast("string"), F.floor(F.col("c_acctbal") / 20).cast("string"))
+    c = view(spark, sf_dir, "customer")
+    return rules.single_child(c.select(F.col("c_name").alias("uri"), F.col("c_name").alias("label"), finer.alias("parent"), F.lit(False).alias("disjoint")))
 
 
 @query(CHILDREN + "SELECT 'too_many_children' AS rule, 'WARNING' AS severity, parent AS affected FROM k WHERE n > 12")
@@ -219,18 +230,18 @@ def rule_naming(spark, sf_dir):
     return rules.naming(names.select(F.col("p_name").alias("uri"), F.col("p_name").alias("label"), F.lit(True).alias("is_new")))
 
 
-CYCLIC = """WITH RECURSIVE e AS (SELECT DISTINCT concat('x', o_custkey % 40) AS c, concat('x', (o_custkey + 1) % 40) AS p FROM orders WHERE o_custkey % 40 < 12 OR o_custkey % 40 = 20 UNION SELECT 'x12', 'x3' UNION SELECT 'x21', 'x20' UNION SELECT 'x33', 'x33'),
+CYCLIC = """WITH RECURSIVE e AS (SELECT DISTINCT concat('x', o_custkey % 1000) AS c, concat('x', ((o_custkey % 1000) * (o_custkey % 1000) + 1) % 1000) AS p FROM orders UNION SELECT 'y12', 'y3' UNION SELECT 'y3', 'y12' UNION SELECT 'y33', 'y33'),
     u(node, ancestor) AS (SELECT c, p FROM e UNION SELECT u.node, e.p FROM u JOIN e ON u.ancestor = e.c)"""
 
 
 @query(CYCLIC + """, z AS (SELECT node FROM u WHERE node = ancestor), m AS (SELECT a.node, min(b.node) AS first FROM u AS a JOIN u AS b ON a.node = b.ancestor AND a.ancestor = b.node WHERE a.node IN (SELECT node FROM z) GROUP BY a.node)
     SELECT DISTINCT 'cycle' AS rule, 'ERROR' AS severity, least(node, first) AS affected FROM m""")
 def rule_cycles(spark, sf_dir):
-    """The first class of every cycle, however long."""
-    k = F.col("o_custkey") % 40
+    """The first class of every cycle, however long, with customers of all orders as classes."""
+    k = F.col("o_custkey") % 1000
     name = lambda c: F.concat(F.lit("x"), c.cast("string"))
-    edges = view(spark, sf_dir, "orders").where((k < 12) | (k == 20)).select(name(k).alias("uri"), name((F.col("o_custkey") + 1) % 40).alias("parent"))
-    edges = edges.union(spark.createDataFrame([("x12", "x3"), ("x21", "x20"), ("x33", "x33")], "uri string, parent string")).distinct()
+    edges = view(spark, sf_dir, "orders").select(name(k).alias("uri"), name((k * k + 1) % 1000).alias("parent"))
+    edges = edges.union(spark.createDataFrame([("y12", "y3"), ("y3", "y12"), ("y33", "y33")], "uri string, parent string")).distinct()
     return rules.cycles(edges)
 
 
