@@ -1,8 +1,8 @@
-"""Analyses of debates: messages (debate, seq, role, message_type, approves, reasoning)."""
+"""Analyses of debates: messages (debate, seq, role, message_type, approves, issues, reasoning)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,13 +26,26 @@ def latest_proposals(messages: DataFrame) -> DataFrame:
     return messages.where("message_type = 'proposal'").groupBy("debate").agg(F.max_by("reasoning", "seq").alias("proposal"), F.max("seq").alias("seq"))
 
 
+LAST_REVIEWS = 3
+
+
+def clean_review() -> Column:
+    """Whether a review approves and raises no issue; an unknown approval is none, an unknown number of issues none."""
+    return F.coalesce("approves", F.lit(False)) & (F.coalesce("issues", F.lit(0)) == 0)
+
+
+def trivial_rounds(messages: DataFrame) -> DataFrame:
+    """(debate, seq, rounds) for each review: for how many reviews on end the last three (or all, if fewer) were clean."""
+    reviews = messages.where("message_type = 'review'").withColumn("clean", clean_review())
+    near = F.bool_and("clean").over(in_order().rowsBetween(1 - LAST_REVIEWS, 0))
+    marked = reviews.withColumn("trivial", near).withColumn("island", F.sum((~F.col("trivial")).cast("int")).over(in_order()))
+    on_end = F.count_if("trivial").over(Window.partitionBy("debate", "island").orderBy("seq"))
+    return marked.select("debate", "seq", F.when(F.col("trivial"), on_end).otherwise(0).alias("rounds"))
+
+
 def echo_chambers(messages: DataFrame) -> DataFrame:
-    """The longest run of approving reviews in each debate; any other review breaks it."""
-    reviews = messages.where("message_type = 'review'").withColumn("ok", F.coalesce("approves", F.lit(False)))
-    island = reviews.withColumn("island", F.sum((~F.col("ok")).cast("int")).over(in_order()))
-    runs = island.where("ok").groupBy("debate", "island").agg(F.count("*").alias("n"))
-    longest = runs.groupBy("debate").agg(F.max("n").alias("longest"))
-    return reviews.select("debate").distinct().join(longest, "debate", "left").select("debate", F.coalesce("longest", F.lit(0)).alias("longest"))
+    """The most rounds on end in which a debate's last three reviews approved and raised nothing."""
+    return trivial_rounds(messages).groupBy("debate").agg(F.max("rounds").alias("longest"))
 
 
 def growing_revisions(messages: DataFrame) -> DataFrame:

@@ -102,11 +102,11 @@ def latest_proposals(spark, sf_dir):
     return debate.latest_proposals(view(spark, sf_dir, "messages"))
 
 
-@query("""WITH r AS (SELECT debate, seq, coalesce(approves, false) AS ok FROM {messages} WHERE message_type = 'review'),
+@query("""WITH r AS (SELECT debate, seq, bool_and(coalesce(approves, false) AND issues = 0) OVER (PARTITION BY debate ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ok FROM {messages} WHERE message_type = 'review'),
     i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY debate ORDER BY seq) AS g FROM r), n AS (SELECT debate, g, count_if(ok) AS n FROM i GROUP BY debate, g)
     SELECT debate, max(n) AS longest FROM n GROUP BY debate""")
 def echo_chambers(spark, sf_dir):
-    """Longest run of approvals."""
+    """Most rounds on end of three reviews that approve and raise nothing."""
     return debate.echo_chambers(view(spark, sf_dir, "messages"))
 
 

@@ -53,7 +53,7 @@ VIEWS = {
     "messages": """
         SELECT conv_id AS debate, turn AS seq, role, CASE role WHEN 'user' THEN 'proposal' ELSE 'review' END AS message_type,
                CASE WHEN role = 'user' OR length(text) % 5 = 0 THEN NULL ELSE length(text) % 2 = 0 END AS approves,
-               text AS reasoning FROM {conversations}""",
+               CASE WHEN role = 'user' OR length(text) % 7 > 0 THEN 0 ELSE 1 END AS issues, text AS reasoning FROM {conversations}""",
     "results": """
         SELECT concat(l_returnflag, l_linestatus) AS system, l_orderkey % 500 AS test_case, concat('L', l_orderkey % 4) AS level,
                avg(l_quantity) / 50 AS semantic, avg(l_discount) * 10 AS hallucination, avg(l_tax) * 10 AS coverage

@@ -8,6 +8,7 @@ from tessera.operators import exports, feedback, layers
 from tessera.plans.binding import view
 from tessera.plans.patterns import EXPORT, ONTO, onto
 from tessera.plans.registered import query
+from tessera.sources import ontologies
 
 LOCAL = "split_part(split_part({}, '#', -1), '/', -1)"
 
@@ -123,3 +124,18 @@ def seeded_export(spark, sf_dir):
 def layer_export(spark, sf_dir):
     """One layer; a missing one is an error."""
     return exports.layer(view(spark, sf_dir, "triples"), "urn:graph:ext-v2")
+
+
+@query("""WITH c AS (SELECT concat('customer', c_custkey, '.ttl') AS file, concat('urn:c#c', c_custkey) AS s, * FROM customer)
+    SELECT file, s, 'http://www.w3.org/1999/02/22-rdf-syntax-ns#type' AS p, concat('urn:k#', c_mktsegment) AS o, 'iri' AS o_kind, NULL AS o_datatype, NULL AS o_lang FROM c
+    UNION ALL SELECT file, s, 'http://www.w3.org/2000/01/rdf-schema#label', c_name, 'literal', NULL, 'en' FROM c
+    UNION ALL SELECT file, s, 'urn:k#nation', CAST(c_nationkey AS VARCHAR), 'literal', 'http://www.w3.org/2001/XMLSchema#integer', NULL FROM c
+    UNION ALL SELECT file, s, 'urn:k#near', concat('urn:c#c', c_custkey + 1), 'iri', NULL, NULL FROM c UNION ALL SELECT file, s, 'urn:k#near', concat('urn:c#c', c_custkey + 2), 'iri', NULL, NULL FROM c""")
+def parsed_turtle(spark, sf_dir):
+    """Triples of Turtle documents, one made of each customer."""
+    key = F.col("c_custkey").cast("string")
+    head = F.lit("@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> . PREFIX k: <urn:k#>\n@base <urn:c> . # customers\n")
+    body = [F.lit("<#c"), key, F.lit("> a k:"), F.col("c_mktsegment"), F.lit(' ;\n  rdfs:label "'), F.col("c_name"), F.lit('"@en ; k:nation '), F.col("c_nationkey").cast("string")]
+    near = [F.lit(" ;\n  k:near <urn:c#c"), (F.col("c_custkey") + 1).cast("string"), F.lit(">, <urn:c#c"), (F.col("c_custkey") + 2).cast("string"), F.lit("> .\n")]
+    files = view(spark, sf_dir, "customer").select(F.concat(F.lit("customer"), key, F.lit(".ttl")).alias("file"), F.concat(head, *body, *near).alias("content"))
+    return ontologies.parse_files(files)

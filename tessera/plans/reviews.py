@@ -29,7 +29,7 @@ def grounding_report(spark, sf_dir):
     return grounded(spark, sf_dir).select("proposal", "elements", rounded("grounding"), rounded("serving"), rounded("connectivity"), "ungrounded", "orphans", "healthy")
 
 
-DRIFT = ELEMENTS + """, m AS (SELECT * FROM {messages}), r AS (SELECT debate, seq, coalesce(approves, false) AS ok FROM m WHERE message_type = 'review'),
+DRIFT = ELEMENTS + """, m AS (SELECT * FROM {messages}), r AS (SELECT debate, seq, bool_and(coalesce(approves, false) AND issues = 0) OVER (PARTITION BY debate ORDER BY seq ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS ok FROM m WHERE message_type = 'review'),
     i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY debate ORDER BY seq) AS island FROM r), e AS (SELECT debate, max(n) AS longest FROM (SELECT debate, island, count_if(ok) AS n FROM i GROUP BY debate, island) AS q GROUP BY debate),
     z AS (SELECT debate, seq, length(reasoning) AS n FROM m WHERE message_type = 'proposal'), l AS (SELECT *, lag(n, 1) OVER (PARTITION BY debate ORDER BY seq) AS a, lag(n, 2) OVER (PARTITION BY debate ORDER BY seq) AS b FROM z),
     k AS (SELECT debate, coalesce(bool_or(n >= a AND a >= b), false) AS ratchet FROM l GROUP BY debate),
