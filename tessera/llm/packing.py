@@ -97,7 +97,7 @@ def swept(offered: DataFrame, parts: int) -> DataFrame:
             net, low = int(nets[-1]), int(lows[-1])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(level)], names)
 
-    return ranged.mapInArrow(levels, "kind int, key long, slot int, size long, gap long, level long")
+    return ranged.mapInArrow(levels, "kind int, key long, slot int, size long, gap long, level long").coalesce(parts)
 
 
 def best_fit(items: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -134,7 +134,7 @@ def best_fit(items: DataFrame, length: int = LENGTH) -> DataFrame:
         done.append(met.where("kind = 1 and level > 0").select(F.col("key").alias("item"), "size", "held.key", F.lit(turn), "held.slot"))
         if tokens:
             done.append(met.where(new).select(F.col("key").alias("item"), "size", "key", F.lit(turn), F.lit(0)))
-        gaps = met.where("kind = 0").groupBy(F.col("key").alias("bin")).agg((F.first("gap") - F.sum(F.coalesce("taken", F.lit(0)))).alias("gap")).where("gap > 0")
+        gaps = met.where("kind = 0").groupBy(F.col("key").alias("bin")).agg((F.first("gap") - F.sum(F.coalesce("taken", F.lit(0)))).alias("gap")).where("gap > 0").coalesce(parts)
         gaps = gaps.union(met.where(new & (F.col("size") < length)).select("key", F.lit(length) - F.col("size")))
         todo = met.where((F.col("kind") == 1) & (F.col("level") < 0) & ~new).select(F.col("key").alias("item"), "size")
     whole = done[0]
