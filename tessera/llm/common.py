@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 BATCH_BYTES = 8 << 20  # of a batch that goes to a Python worker, so that many rows of long texts don't fill it or its executor
 SPREAD = 1 << 40
+FEW = 10_000  # short rows that may be broadcast
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -70,7 +71,8 @@ def thinned(rows: DataFrame, most: int, within: list[str] | None = None) -> Data
     each = keyed.select(*own, "key").distinct().groupBy(*own).agg(F.count("*").alias("distinct"))
     bar = F.ceil((2.0 * most + 64) * SPREAD / F.greatest("distinct", F.lit(1))).alias("bar")
     if own:
-        keyed = keyed.join(cut(each.select(*own, bar)), own)
+        bars = cut(each.select(*own, bar))
+        keyed = keyed.join(F.broadcast(bars) if bars.count() <= FEW else bars, own)
     else:
         keyed = keyed.withColumn("bar", F.lit(each.select(bar).first()[0]))
     return keyed.where(F.pmod("key", F.lit(SPREAD)) < F.col("bar")).drop("bar").dropDuplicates([*own, "key"])
