@@ -23,11 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a private one is set only where that is unset (tests on one machine)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset a private one on a single machine, and an error on a cluster."""
     small_batches(spark)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
     return context._jsc.sc().getCheckpointDir().get()
 
 
