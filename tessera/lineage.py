@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame
 
 def settle(df: DataFrame) -> DataFrame:
     """The rows as a reliable checkpoint in the folder of ``spark.checkpoint.dir``, so that plans don't grow with rounds and
-    lost executors cost a read; a private folder is set only where that is unset."""
+    lost executors cost a read; where that is unset a private one on a single machine, and an error on a cluster."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp())
     return df.checkpoint()
