@@ -1,6 +1,6 @@
 """The registered queries and their SQL."""
 
-from tessera.plans import analytics, exports, graphs, ontology, patterns, quality, records, reviews, search  # noqa: F401
+from tessera.plans import analytics, exports, graphs, nested, ontology, patterns, quality, records, reviews, search  # noqa: F401
 from tessera.plans.registered import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

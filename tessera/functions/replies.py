@@ -12,6 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessera.functions.fuzzy import common
+from tessera.functions.stemming import stems, word_list
 from tessera.functions.text import truth, without_thinking
 
 
@@ -97,14 +98,16 @@ def f1(hits: int, a: int, b: int) -> float:
     return 2 * hits / (a + b) if hits else 0.0
 
 
-def text_scores(candidate: str, reference: str) -> tuple[float, float, float, float]:
-    """ROUGE-1, -2 and -L (F1) and BLEU up to four words, of lower-cased words without stemming; BLEU is 0 where no run of some
-    length is shared."""
-    a, b = (re.findall(r"[^\W_]+", t.lower()) for t in (candidate, reference))
+def text_scores(candidate: str, reference: str, roots: tuple[list[str], list[str]] | None = None) -> tuple[float, float, float, float]:
+    """ROUGE-1, -2 and -L (F1) of both texts' stems, if given, else of their lower-cased words, and BLEU up to four words of the
+    words; BLEU is 0 where no run of some length is shared."""
+    words = [re.findall(r"[^\W_]+", t.lower()) for t in (candidate, reference)]
+    a, b = roots or words
     grams = lambda w, n: list(zip(*(w[i:] for i in range(n)), strict=False))
     numbers = {w: chr(i + 1) for i, w in enumerate(dict.fromkeys(a + b))}
     lcs = common("".join(numbers[w] for w in a), "".join(numbers[w] for w in b))
     rouge = [f1(overlap(grams(a, n), grams(b, n)), max(0, len(a) - n + 1), max(0, len(b) - n + 1)) for n in (1, 2)]
+    a, b = words
     hits = [(overlap(grams(a, n), grams(b, n)), len(a) - n + 1) for n in (1, 2, 3, 4)]
     bleu = 0.0
     if all(h > 0 for h, _ in hits):
@@ -112,11 +115,17 @@ def text_scores(candidate: str, reference: str) -> tuple[float, float, float, fl
     return rouge[0], rouge[1], f1(lcs, len(a), len(b)), bleu
 
 
-def generation_scores(candidate: Column, reference: Column) -> Column:
-    """A struct (rouge_1, rouge_2, rouge_l, bleu)."""
+def generation_scores(candidate: Column, reference: Column, stemmed: bool = False) -> Column:
+    """A struct (rouge_1, rouge_2, rouge_l, bleu), ROUGE over stems if asked for."""
     names = ["rouge_1", "rouge_2", "rouge_l", "bleu"]
+    schema = ", ".join(f"{c} double" for c in names)
 
     def run(a: pd.Series, b: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([text_scores(x or "", y or "") for x, y in zip(a, b, strict=True)], columns=names)
 
-    return F.pandas_udf(run, ", ".join(f"{c} double" for c in names))(candidate, reference)
+    def run_stemmed(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([text_scores(x or "", y or "", (list(s), list(t))) for x, y, s, t in zip(a, b, c, d, strict=True)], columns=names)
+
+    if not stemmed:
+        return F.pandas_udf(run, schema)(candidate, reference)
+    return F.pandas_udf(run_stemmed, schema)(candidate, reference, stems(word_list(candidate)), stems(word_list(reference)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.pages import paged
+
 
 def uncovered(entities: DataFrame, classes: DataFrame) -> DataFrame:
     """Entities whose type is no class label, ignoring case."""
@@ -64,3 +66,10 @@ def aggregated_entities(mentions: DataFrame) -> DataFrame:
     digest = F.substring(F.sha2(F.concat_ws("::", "label", "entity_type"), 256), 1, 12)
     rows = by.join(few, "entity_type")
     return rows.select("entity_type", F.concat(F.lit("ent_"), digest).alias("id"), "label", (F.col("frequency") - 1).alias("aliases"), "frequency", "confidence", "documents", "snippets")
+
+
+def aliases(mentions: DataFrame, size: int = 1_000) -> DataFrame:
+    """All labels of each type but its first, by seq, as (entity_type, page, aliases): at most `size` mentions a page, the first of
+    which is the one that stands for the type."""
+    rows = paged(mentions, "entity_type", "seq", "label", size)
+    return rows.select("entity_type", "page", F.when(F.col("page") == 0, F.slice("items", 2, size)).otherwise(F.col("items")).alias("aliases"))
