@@ -101,3 +101,8 @@ def test_reports(spark):
     df = spark.createDataFrame([(1, json.dumps(full), None), (2, "broken", '{"new_classes_count": 2}'), (3, "[]", "{}")], "id int, convergence string, iteration string")
     got = {r[0]: tuple(r)[1:] for r in tool_replies.report_metrics(df).collect()}
     assert got == {1: (4, 0.5, 0.0, 1.0, None, None, None), 2: (None, None, None, None, 2, 0.0, 0.0), 3: (None, None, None, None, 0, 0.0, 0.0)}
+
+
+def test_ontology_contexts(spark):
+    df = spark.createDataFrame([(1, "Class: Waste"), (2, "No ontology class"), (3, None)], "query int, reply string")
+    assert [tuple(r) for r in tool_replies.ontology_contexts(df).collect()] == [(1, "Class: Waste", 0.3)]
