@@ -106,6 +106,23 @@ def theme(text: Column, groups: dict[str, list[str]], other: str = "Other") -> C
     return out
 
 
+# Themes of competency questions with their keywords, in the order they are tried.
+THEMES = {
+    "Planning & Scheduling": ["plan", "schedule", "sequence", "timeline"],
+    "Resource Management": ["resource", "personnel", "budget", "cost"],
+    "Safety & Risk": ["safety", "risk", "hazard", "protection"],
+    "Equipment & Facilities": ["equipment", "facility", "site", "building"],
+    "Regulatory & Compliance": ["regulatory", "compliance", "license", "permit"],
+    "Waste Management": ["waste", "disposal", "contamination"],
+    "Monitoring & Assessment": ["monitor", "assess", "measure", "evaluate"],
+}
+
+
+def question_theme(question: Column) -> Column:
+    """The theme of a competency question, or Other."""
+    return theme(question, THEMES)
+
+
 def rouge_l(candidate: Column, reference: Column) -> Column:
     """F1 of the longest common subsequence of words, as a fold over the candidate's words."""
     a, b = tokens(candidate), tokens(reference)

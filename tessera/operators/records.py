@@ -51,6 +51,29 @@ def answer_template(queries: DataFrame) -> DataFrame:
     return queries.select("query", out.alias("template"))
 
 
+# What an answer should look like by question type, %s standing for the entity types, and what stands for none.
+HINTS = {
+    "factoid": "Provide a concise factual answer about %s.",
+    "list": "List all instances of %s that match the question.",
+    "boolean": "Answer with Yes or No, then provide justification.",
+    "comparative": "Compare the mentioned %s, highlighting differences.",
+    "causal": "Explain the causal chain, citing specific entities and relations.",
+    "aggregation": "Provide the count or aggregation over %s.",
+}
+NO_TYPES, MOST_TYPES = "relevant entities", 3
+
+
+def answer_hints(queries: DataFrame) -> DataFrame:
+    """queries (query, question_type, entity_types array) with a hint that names the first three entity types; empty without a
+    question type or for one that isn't known."""
+    few = F.slice(F.coalesce("entity_types", F.array().cast("array<string>")), 1, MOST_TYPES)
+    types = F.when(F.size(few) > 0, F.array_join(few, ", ")).otherwise(NO_TYPES)
+    out = F.lit("")
+    for kind, text in HINTS.items():
+        out = F.when(F.col("question_type") == kind, F.replace(F.lit(text), F.lit("%s"), types)).otherwise(out)
+    return queries.select("query", out.alias("hint"))
+
+
 DIMENSIONS = ("semantic", "hallucination", "cq", "hierarchy", "domain", "expert")
 
 

@@ -100,3 +100,52 @@ def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 42) -> Data
 
 def difficulty_curve(results: DataFrame, metric: str, levels: list[str]) -> DataFrame:
     return results.groupBy("system").pivot("level", levels).agg(F.avg(metric))
+
+
+# The eleven metrics of a benchmark table, and where those of nested results lie, with what they are divided by.
+DIMENSIONS = ("semantic_correctness", "hallucination_rate", "cq_coverage", "hierarchy_quality", "domain_compliance", "expert_acceptance", "composite_score")
+NESTED = {
+    "semantic_match_concept": ("match_percentage", 100.0), "semantic_match_triple": ("match_percentage", 100.0),
+    "owlunit_pass_rate": ("owlunit_suite.pass_rate", 1.0), "ontourl_overall": ("ontourl_profile.overall_avg", 1.0),
+}
+SHOWN = DIMENSIONS[:6]  # what charts show
+HEADS = ("Sem.", "Hal.", "CQ", "Hier.", "Dom.", "Exp.", "Comp.")  # of the seven in a printed table
+
+
+def flat_metrics(results: DataFrame) -> DataFrame:
+    """results (system, level, metrics as VARIANT) with a column a metric; what is missing, null or no number counts 0."""
+    at = lambda path, scale: F.coalesce(F.try_variant_get("metrics", path, "double") / scale, F.lit(0.0))
+    nested = {m: at(f"$.{path}" if "." in path else f"$.{m}.{path}", scale) for m, (path, scale) in NESTED.items()}
+    return results.select("system", "level", *[at(f"$.{m}", 1.0).alias(m) for m in DIMENSIONS], *[c.alias(m) for m, c in nested.items()])
+
+
+def benchmark_table(results: DataFrame) -> DataFrame:
+    """Means of the eleven metrics by system, level being null, and by system and level, in one pass."""
+    return master_table(flat_metrics(results), (*DIMENSIONS, *NESTED))
+
+
+def chart_values(table: DataFrame, metrics: tuple[str, ...] = SHOWN, inverted: tuple[str, ...] = ("hallucination_rate",)) -> DataFrame:
+    """(system, level, metric, value): a benchmark table's cells as charts show them, inverted where less is better and kept within 0
+    and 1; a missing one is 0 before it is inverted. Rows of a level make a heatmap, rows without one bars and radars."""
+    rows = table.select("system", "level", *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(["system", "level"], list(metrics), "metric", "value")
+    good = F.coalesce("value", F.lit(0.0))
+    good = F.when(F.col("metric").isin(*inverted), 1 - good).otherwise(good)
+    return rows.select("system", "level", "metric", F.least(F.greatest(good, F.lit(0.0)), F.lit(1.0)).alias("value"))
+
+
+def latex_rows(table: DataFrame, metrics: tuple[str, ...] = DIMENSIONS, inverted: tuple[str, ...] = ("hallucination_rate",)) -> DataFrame:
+    """(system, line): a LaTeX table row for each system of a table of means, two decimals, the best value of a column in bold; of equal
+    ones the first system's. `latex_frame` gives what stands around them."""
+    keyed = table.select("system", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in metrics])
+    order = lambda m: F.struct((F.col(m) if m in inverted else -F.col(m)).alias("v"), F.col("system"))
+    first = keyed.agg(*[F.min_by("system", order(m)).alias(f"best_{m}") for m in metrics])
+    text = lambda m: F.format_string("%.2f", F.col(m))
+    cell = lambda m: F.when(F.col("system") == F.col(f"best_{m}"), F.concat(F.lit("\\textbf{"), text(m), F.lit("}"))).otherwise(text(m))
+    return keyed.join(F.broadcast(first)).select("system", F.concat(F.concat_ws(" & ", "system", *map(cell, metrics)), F.lit(" \\\\")).alias("line"))  # one row
+
+
+def latex_frame(caption: str, heads: tuple[str, ...] = HEADS) -> tuple[str, str]:
+    """What stands before and after a LaTeX table's rows, the last column set apart."""
+    columns = "l|" + "c" * (len(heads) - 1) + "|c"
+    above = ["\\begin{table}[t]", "\\centering", f"\\caption{{{caption}}}", f"\\begin{{tabular}}{{{columns}}}", "\\toprule", " & ".join(("System", *heads)) + " \\\\", "\\midrule"]
+    return "\n".join(above), "\n".join(("\\bottomrule", "\\end{tabular}", "\\end{table}"))
