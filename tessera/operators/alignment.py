@@ -7,48 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import jaccard, tokens
 from tessera.lineage import settle
 from tessera.operators import graph, matching, metrics, patterns, quality, vectors
 
-WORD_ROWS = 5_000  # texts of a word that meet the other side's at a time
 CONCEPTS, STATEMENTS, TYPES = 0.55, 0.50, 0.80  # fixed values: least likeness of concepts, of statements and of entity types
 
 
-def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(left, right, overlap): texts (text), in lower case, that share at least so much of all their words (Jaccard).
-
-    Of n words an alike text shares at least `least` * n, so two of them share one of the n - least * n + 1 words that are rarest in
-    both sides; only these words are joined. A word that is frequent all the same is dealt into parts. Null texts and texts
-    without words are like none.
-    """
-    if not 0 < least <= 1:
-        raise ValueError("texts that share nothing can't be joined by words")
-    sides = [df.select(F.lower("text").alias("text")).distinct().select("text", F.array_distinct(tokens(F.col("text"))).alias("words")) for df in (left, right)]
-    rows = [settle(df.select("text", F.size("words").alias("n"), F.explode("words").alias("word"))) for df in sides]
-    counts = rows[0].select("word").unionAll(rows[1].select("word")).groupBy("word").agg(F.count("*").alias("texts"))
-    rare = Window.partitionBy("text").orderBy("texts", "word")
-    most = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
-    a, b = (df.join(counts, "word").withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= most).withColumn("parts", F.ceil(F.col("texts") / WORD_ROWS)) for df in rows)
-    a = a.select("word", F.pmod(F.xxhash64("text"), "parts").alias("part"), F.col("text").alias("left"), F.col("n").alias("x"))
-    b = b.select("word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"), F.col("n").alias("y"))
-    met = a.join(b, ["word", "part"]).where(F.least("x", "y") >= least * F.greatest("x", "y") - 1e-9).select("left", "right").distinct()
-    return met.withColumn("overlap", jaccard(tokens(F.col("left")), tokens(F.col("right")))).where(F.col("overlap") >= least)
-
-
 def by_words(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """(label, match, score, tier) of labels that share enough words, ignoring case."""
     text = lambda df: df.select(F.col("label").alias("text"))
     spelled = right.groupBy(F.lower("label").alias("right")).agg(F.min("label").alias("match"))
-    pairs = alike(text(left), text(right), least).join(spelled, "right")
+    pairs = metrics.alike(text(left), text(right), least).join(spelled, "right")
     return left.select("label", F.lower("label").alias("left")).join(pairs, "left").select("label", "match", F.col("overlap").alias("score"), F.lit("words").alias("tier"))
 
 
 def by_vectors(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """(label, match, score, tier) of each label's nearest one, if it is near enough."""
-    name = lambda df: df.where("embedding is not null").select(F.col("label").alias("id"), "embedding")
-    near = vectors.nearest(name(left), name(right), 1, threshold=least)
-    return near.select(F.col("left_id").alias("label"), F.col("right_id").alias("match"), F.col("similarity").alias("score"), F.lit("vector").alias("tier"))
+    """(label, match, score, tier) of each label's nearest one, which may have the same label, if it is near enough."""
+    name = lambda df, side: df.where("embedding is not null").select(F.concat(F.lit(side), "label").alias("id"), "embedding")
+    near = vectors.nearest(name(left, "l"), name(right, "r"), 1, threshold=least)  # equal ids don't meet
+    bare = lambda c: F.substring(c, F.lit(2), F.length(c) - 1)
+    return near.select(bare(F.col("left_id")).alias("label"), bare(F.col("right_id")).alias("match"), F.col("similarity").alias("score"), F.lit("vector").alias("tier"))
 
 
 def best(found: DataFrame) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import tokens
+from tessera.functions.text import jaccard, tokens
+from tessera.lineage import settle
+
+WORD_ROWS = 5_000  # texts of a word that meet the other side's at a time
 
 
 def scores(hits: DataFrame) -> DataFrame:
@@ -36,15 +39,38 @@ def triple_f1(rows: DataFrame) -> DataFrame:
     return scores(hits.withColumnsRenamed({"p": "predicted", "e": "expected"}))
 
 
-def best_overlaps(labels: DataFrame, references: DataFrame) -> DataFrame:
-    """labels (id, label) with the best word overlap (Jaccard) with any reference (reference), 0 without a shared word. Words
-    are joined, so only labels that share one meet; equal labels and references are one."""
-    words = lambda df, c: df.select(F.lower(c).alias(c)).distinct().withColumn("n", F.size(F.array_distinct(tokens(F.col(c)))))
-    one = lambda df, c, n: df.select(c, F.col("n").alias(n), F.explode(F.array_distinct(tokens(F.col(c)))).alias("word"))
-    a, b = words(labels, "label"), words(references, "reference")
-    shared = one(a, "label", "x").join(one(b, "reference", "y"), "word").groupBy("label", "reference", "x", "y").agg(F.count("*").alias("n"))
-    best = shared.groupBy(F.col("label").alias("low")).agg(F.max(F.col("n") / (F.col("x") + F.col("y") - F.col("n"))).alias("overlap"))
-    return labels.join(best, F.lower("label") == F.col("low"), "left").select("id", "label", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+def alike(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """(left, right, overlap): texts (text), in lower case, that share at least so much of all their words (Jaccard).
+
+    Of n words an alike text shares at least `least` * n, so two of them share one of the n - least * n + 1 words that are rarest in
+    both sides; only these words are joined. A word that is frequent all the same is dealt into parts. Null texts and texts
+    without words are like none.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("texts that share nothing can't be joined by words")
+    sides = [df.select(F.lower("text").alias("text")).distinct().select("text", F.array_distinct(tokens(F.col("text"))).alias("words")) for df in (left, right)]
+    rows = [settle(df.select("text", F.size("words").alias("n"), F.explode("words").alias("word"))) for df in sides]
+    counts = rows[0].select("word").unionAll(rows[1].select("word")).groupBy("word").agg(F.count("*").alias("texts"))
+    rare = Window.partitionBy("text").orderBy("texts", "word")
+    most = F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1
+    a, b = (df.join(counts, "word").withColumn("nth", F.row_number().over(rare)).where(F.col("nth") <= most).withColumn("parts", F.ceil(F.col("texts") / WORD_ROWS)) for df in rows)
+    a = a.select("word", F.pmod(F.xxhash64("text"), "parts").alias("part"), F.col("text").alias("left"), F.col("n").alias("x"))
+    b = b.select("word", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("text").alias("right"), F.col("n").alias("y"))
+    met = a.join(b, ["word", "part"]).where(F.least("x", "y") >= least * F.greatest("x", "y") - 1e-9).select("left", "right").distinct()
+    return met.withColumn("overlap", jaccard(tokens(F.col("left")), tokens(F.col("right")))).where(F.col("overlap") >= least)
+
+
+def best_overlaps(labels: DataFrame, references: DataFrame, stages: tuple[float, ...] = (0.4, 1e-9)) -> DataFrame:
+    """labels (id, label) with the best word overlap (Jaccard) with any reference (reference), 0 without a shared word; equal labels
+    and references are one. Labels that are alike enough are found by their rarest words; only the others go on to the next stage, the
+    last of which asks for any shared word."""
+    left, right = labels.select(F.col("label").alias("text")).distinct(), references.select(F.col("reference").alias("text"))
+    found = None
+    for least in stages:
+        best = settle(alike(left, right, least).groupBy("left").agg(F.max("overlap").alias("overlap")))
+        found = best if found is None else found.union(best)
+        left = left.join(best, F.lower("text") == F.col("left"), "left_anti")
+    return labels.join(found, F.lower("label") == F.col("left"), "left").select("id", "label", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def simulated_review(labels: DataFrame, references: DataFrame) -> DataFrame:

@@ -50,8 +50,8 @@ def matched_in_turn(generated: DataFrame, references: list[tuple[str, DataFrame]
     total = left.count()
     out, done = None, 0
     for name, ref in references:
-        best = metrics.best_overlaps(left.select(F.col("label").alias("id"), "label"), ref.select(F.col("label").alias("reference")))
-        hit = best.where(F.col("overlap") >= threshold).select("label").distinct()
+        alike = metrics.alike(left.select(F.col("label").alias("text")), ref.select(F.col("label").alias("text")), threshold)
+        hit = left.join(alike, F.lower("label") == F.col("left"), "left_semi")
         n = hit.count()
         done += n
         row = generated.sparkSession.createDataFrame([(name, n, 100.0 * done / total if total else 0.0)], "reference string, matched long, percent double")
