@@ -73,3 +73,29 @@ def aliases(mentions: DataFrame, size: int = 1_000) -> DataFrame:
     which is the one that stands for the type."""
     rows = paged(mentions, "entity_type", "seq", "label", size)
     return rows.select("entity_type", "page", F.when(F.col("page") == 0, F.slice("items", 2, size)).otherwise(F.col("items")).alias("aliases"))
+
+
+def structural_scores(entities: DataFrame, degrees: DataFrame, first: int = 5) -> DataFrame:
+    """entities (entity_type, seq, id) by type: the mean number of neighbours (id, degree), which is counted up to a cap, of the first
+    entities, which stand for the type. An entity without neighbours counts 0."""
+    few = keep_first(entities.where("entity_type is not null"), "entity_type", "seq", first)
+    return few.join(degrees, "id", "left").groupBy("entity_type").agg(F.count("*").alias("entities"), F.avg(F.coalesce("degree", F.lit(0))).alias("score"))
+
+
+def gap_contexts(found: DataFrame) -> DataFrame:
+    """(entity_type, context) for gaps (entity_type, frequency, closest_class, distance, examples array, evidence): what is known of a gap as
+    lines of text; the first three examples are shown, and gaps without a near class or evidence say so."""
+    line = lambda name, c: F.concat(F.lit(f"  {name}: "), c)
+    few = F.array_join(F.slice(F.coalesce("examples", F.array().cast("array<string>")), 1, 3), ", ")
+    none = F.lit("(No graph evidence found for this gap candidate.)")
+    text = F.concat_ws(
+        "\n",
+        F.concat(F.lit("Gap Candidate: "), "entity_type"),
+        line("Frequency", F.coalesce("frequency", F.lit(0)).cast("string")),
+        line("Closest seed class", F.coalesce(F.nullif("closest_class", F.lit("")), F.lit("none"))),
+        line("Semantic distance", F.format_string("%.2f", F.coalesce(F.col("distance").cast("double"), F.lit(1.0)))),
+        line("Examples", few),
+        F.lit(""),
+        F.coalesce(F.nullif("evidence", F.lit("")), none),
+    )
+    return found.select("entity_type", text.alias("context"))

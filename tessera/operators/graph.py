@@ -304,3 +304,28 @@ def modularity(tree: DataFrame) -> DataFrame:
     rows = ends.join(longest(first), "node", "left").withColumn("depth", F.coalesce("depth", F.lit(0)))
     means = rows.agg(F.avg("depth").alias("mean_depth"), F.avg("n").alias("connectivity"))
     return means.withColumn("modularity", 1 / (1 + F.abs(F.col("mean_depth") - F.col("connectivity"))))
+
+
+def hierarchy_metrics(classes: DataFrame, tree: DataFrame, top: str) -> DataFrame:
+    """One row for classes (uri) and a class tree (child, parent): least, largest, mean, median and spread of the fewest steps from the
+    top class, of those that can be reached from it; mean and most children of classes that have any; the share without
+    children; and how many but the top have no parent. Statistics of nothing are 0, and so is the spread of one."""
+    all_of = classes.select(F.col("uri").alias("node")).where("node is not null").distinct()
+    edges = tree.select("child", "parent").where("child is not null and parent is not null").distinct()
+    depth = descendants(edges, top)
+    children = edges.groupBy(F.col("parent").alias("node")).agg(F.count("*").alias("children"))
+    below = edges.select(F.col("child").alias("node")).distinct().withColumn("below", F.lit(True))
+    rows = all_of.join(depth, "node", "left").join(children, "node", "left").join(below, "node", "left")
+    none = lambda c: F.coalesce(c.cast("double"), F.lit(0.0))
+    return rows.agg(
+        F.count("*").alias("classes"),
+        none(F.min("depth")).alias("depth_min"),
+        none(F.max("depth")).alias("depth_max"),
+        none(F.avg("depth")).alias("depth_mean"),
+        none(F.percentile("depth", 0.5)).alias("depth_median"),
+        none(F.stddev_samp("depth")).alias("depth_stdev"),
+        none(F.avg("children")).alias("branching_mean"),
+        none(F.max("children")).alias("branching_max"),
+        none(F.avg(F.col("children").isNull().cast("int"))).alias("leaf_ratio"),
+        F.count_if(F.col("below").isNull() & (F.col("node") != top)).alias("orphans"),
+    )

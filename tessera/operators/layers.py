@@ -87,3 +87,19 @@ def ntriples(triples: DataFrame) -> DataFrame:
     iri = lambda c: F.concat(F.lit("<"), F.col(c), F.lit(">"))
     literal = F.concat(F.lit('"'), F.replace(F.replace("o", F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     return triples.select(F.concat_ws(" ", iri("s"), iri("p"), F.when(F.col("o").rlike("^[a-z]+:"), iri("o")).otherwise(literal), F.lit(".")).alias("value"))
+
+
+def dependent_properties(triples: DataFrame) -> DataFrame:
+    """(uri, property): properties that have a class as domain or range, each once."""
+    from tessera.operators.patterns import DATA, OBJECTS, typed
+
+    ends = triples.where("p in ('rdfs:domain', 'rdfs:range')").select(F.col("o").alias("uri"), F.col("s").alias("property")).distinct()
+    return ends.join(typed(triples, (*OBJECTS, *DATA), "property"), "property", "left_semi").select("uri", "property")
+
+
+def shuffled_periphery(classes: DataFrame, dependents: DataFrame, share: float, seed: int) -> DataFrame:
+    """As `periphery`, classes of as many dependents being in an order that a seed shuffles, the same in every run."""
+    keys = classes.select("uri").where("uri is not null").distinct().withColumn("mixed", F.md5(F.concat(F.lit(f"{seed}:"), "uri")))
+    counted = keys.join(dependents.groupBy("uri").agg(F.count("*").alias("dependents")), "uri", "left").withColumn("dependents", F.coalesce("dependents", F.lit(0)))
+    most = max(1, int(keys.count() * share))
+    return numbered(counted, ["dependents", "mixed", "uri"], "nth").where(F.col("nth") <= most).select("uri", "dependents", "nth")

@@ -162,8 +162,36 @@ def shape_violations(triples: DataFrame, instances: DataFrame) -> DataFrame:
     found = wanted.join(counts, ["id", "attribute"], "left").where("n is null or n > 1")
     card = found.select("id", "attribute", F.when(F.col("n").isNull(), "minCount").otherwise("maxCount").alias("violation"))
     typed = instances.join(rules.select("class", "attribute", "kind"), ["class", "attribute"]).where("value is not null")
-    good = F.when(F.col("kind") == "integer", F.col("value").rlike(r"^[+-]?\d+$")).when(F.col("kind") == "float", F.col("value").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")).when(F.col("kind") == "date", F.col("value").rlike(r"^\d{4}-\d\d-\d\d$")).otherwise(True)
-    return card.union(typed.where(~good).select("id", "attribute", F.lit("datatype")).distinct())
+    return card.union(typed.where(~fits("kind", "value")).select("id", "attribute", F.lit("datatype")).distinct())
+
+
+def inherited_violations(triples: DataFrame, instances: DataFrame) -> DataFrame:
+    """As `shape_violations`, a class's instances being held to what all its ancestors ask for as well, and values of object properties
+    being instances of the property's range, or of a class below it, else a violation "class". Equal statements are one."""
+    up = triples.where("p = 'rdfs:subClassOf'").select(F.col("s").alias("child"), F.col("o").alias("parent"))
+    own = instances.select("id", "class").where("class is not null").distinct()
+    above = closure(up).select(F.col("node").alias("class"), "ancestor")
+    types = own.unionByName(own.join(above, "class").select("id", F.col("ancestor").alias("class"))).distinct()
+    values = instances.where("value is not null").select("id", "attribute", "value").distinct()
+    due = types.join(patterns.class_attributes(triples), "class").groupBy("id", "attribute").agg(F.bool_or("required").alias("required"), F.min("kind").alias("kind"))
+    counts = values.groupBy("id", "attribute").agg(F.count("*").alias("n"))
+    card = due.where("required").join(counts, ["id", "attribute"], "left").where("n is null or n > 1")
+    card = card.select("id", "attribute", F.when(F.col("n").isNull(), "minCount").otherwise("maxCount").alias("violation"))
+    typed = due.join(values, ["id", "attribute"]).where(~fits("kind", "value")).select("id", "attribute", F.lit("datatype").alias("violation")).distinct()
+    ends = patterns.typed(triples, patterns.OBJECTS, "attribute")
+    for end, name in (("rdfs:domain", "class"), ("rdfs:range", "range")):
+        ends = ends.join(patterns.pairs(triples, end, "attribute", name), "attribute")
+    asked = types.join(ends, "class").select("id", "attribute", "range").distinct().join(values, ["id", "attribute"])
+    right = types.select(F.col("id").alias("value"), F.col("class").alias("range"))
+    wrong = asked.join(right, ["value", "range"], "left_anti").select("id", "attribute", F.lit("class").alias("violation")).distinct()
+    return card.unionByName(typed).unionByName(wrong)
+
+
+def fits(kind: str, value: str) -> Column:
+    """Whether a value is written as its kind asks for."""
+    v = F.col(value)
+    number = v.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    return F.when(F.col(kind) == "integer", v.rlike(r"^[+-]?\d+$")).when(F.col(kind) == "float", number).when(F.col(kind) == "date", v.rlike(r"^\d{4}-\d\d-\d\d$")).otherwise(True)
 
 
 def two_sided(t: float, df: float) -> float:

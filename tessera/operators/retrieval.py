@@ -74,3 +74,13 @@ def evidence(rows: DataFrame, prefix: int = 150, most: int = 25) -> DataFrame:
 def positional_scores(rows: DataFrame, order: str, start: float, step: float) -> DataFrame:
     """Scores that fall by a step with each row, never below 0."""
     return numbered(rows, [order], "_nth").withColumn("score", F.greatest(start - step * (F.col("_nth") - 1), F.lit(0.0))).drop("_nth")
+
+
+def path_breakdown(relations: DataFrame, expected: list[str]) -> DataFrame:
+    """As `path_scores`, with the parts that a score is made of: (path_id, length, confidence, relevance, brevity, score)."""
+    hit = F.lit(False)
+    for name in expected:
+        hit = hit | F.contains(F.lower("rel"), F.lit(name.lower()))
+    relevance = F.avg(F.coalesce(hit, F.lit(False)).cast("int")) if expected else F.lit(0.5)
+    rows = relations.groupBy("path_id").agg(F.count("*").alias("length"), (0.4 * F.avg("confidence")).alias("confidence"), (0.45 * relevance).alias("relevance"), (0.15 / F.count("*")).alias("brevity"))
+    return rows.withColumn("score", F.least(F.greatest(F.col("confidence") + F.col("relevance") + F.col("brevity"), F.lit(0.0)), F.lit(1.0)))

@@ -149,3 +149,12 @@ def latex_frame(caption: str, heads: tuple[str, ...] = HEADS) -> tuple[str, str]
     columns = "l|" + "c" * (len(heads) - 1) + "|c"
     above = ["\\begin{table}[t]", "\\centering", f"\\caption{{{caption}}}", f"\\begin{{tabular}}{{{columns}}}", "\\toprule", " & ".join(("System", *heads)) + " \\\\", "\\midrule"]
     return "\n".join(above), "\n".join(("\\bottomrule", "\\end{tabular}", "\\end{table}"))
+
+
+def paired_strictly(results: DataFrame, a: str, b: str, metrics: tuple[str, ...] = METRICS) -> DataFrame:
+    """As `paired`, but an error where the two systems don't have the same number of results, or not on the same test cases."""
+    rows = results.where(F.col("system").isin(a, b)).groupBy("test_case", "level").agg(F.count_if(F.col("system") == a).alias("a"), F.count_if(F.col("system") == b).alias("b"))
+    off = rows.where("a <> b or a > 1").count()
+    if off:
+        raise ValueError(f"{off} test cases don't have one result of {a} and one of {b}")
+    return paired(results, a, b, metrics)
