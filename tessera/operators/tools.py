@@ -69,40 +69,46 @@ def replies(requests: DataFrame, entities: DataFrame, relations: DataFrame) -> D
     return rows.select("query", F.when(F.col("entities").isNull(), F.to_json(missed)).otherwise(F.to_json(found)).alias("reply"))
 
 
-def first_paths(edges: DataFrame, starts: DataFrame, limits: DataFrame, most: int, forward: bool) -> DataFrame:
-    """(query, id, hop, path): for rows (query, id) the nodes within a query's own limit (query, limit), with the shortest path to the node,
-    or from it to the start; of equally short paths the one that sorts first. A row a query and node, whatever the number of paths."""
+def meeting_paths(edges: DataFrame, ends: DataFrame) -> DataFrame:
+    """(query, path) for rows (query, source, target, limit): a shortest path within the limit, of several the one that sorts first.
+
+    Paths grow by a step from one end and then from the other, a row a query and node whatever the number of paths, and a query is
+    over once its ends meet, so neither end sees more than half of the way around it.
+    """
     near = graph.adjacency(edges)
-    seen = frontier = settle(starts.select("query", "id", F.lit(0).alias("hop"), F.array("id").alias("path")))
-    for hop in range(1, most + 1):
-        on = near.parted(frontier.join(limits.where(F.col("limit") >= hop), "query", "left_semi"), "id").withColumnRenamed("id", "a").join(near.steps, ["a", "part"])
-        path = F.concat("path", F.array("b")) if forward else F.concat(F.array("b"), "path")
-        reached = on.groupBy("query", F.col("b").alias("id")).agg(F.min(path).alias("path"))
-        frontier = settle(reached.join(seen.select("query", "id"), ["query", "id"], "left_anti").select("query", "id", F.lit(hop).alias("hop"), "path"))
-        seen = seen.union(frontier)
-        if frontier.isEmpty():
+    seen = {side: settle(ends.select("query", F.col(side).alias("id"), F.array(side).alias("path"))) for side in ("source", "target")}
+    front = dict(seen)
+    found = settle(ends.where("source = target").select("query", F.array("source").alias("path")))
+    waiting = settle(ends.where("source <> target").select("query", "limit"))
+    for step in range(1, CONNECT_HOPS + 1):
+        side, other = ("source", "target") if step % 2 else ("target", "source")
+        waiting = settle(waiting.where(F.col("limit") >= step))
+        if waiting.isEmpty():
             break
+        on = near.parted(front[side].join(waiting, "query", "left_semi"), "id").withColumnRenamed("id", "a").join(near.steps, ["a", "part"])
+        path = F.concat("path", F.array("b")) if side == "source" else F.concat(F.array("b"), "path")
+        reached = on.groupBy("query", F.col("b").alias("id")).agg(F.min(path).alias("path"))
+        front[side] = settle(reached.join(seen[side].select("query", "id"), ["query", "id"], "left_anti"))
+        seen[side] = seen[side].union(front[side])
+        head, tail = (front[x].select("query", "id", F.col("path").alias(x)) for x in ("source", "target"))
+        whole = F.concat("source", F.slice("target", 2, F.greatest(F.size("target") - 1, F.lit(1))))
+        met = settle(head.join(tail, ["query", "id"]).groupBy("query").agg(F.min(whole).alias("path")))
+        found, waiting = found.union(met.join(waiting, "query", "left_semi")), waiting.join(met, "query", "left_anti")
     near.release()
-    return seen
+    return settle(found)
 
 
 def connections(requests: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(query, source, target, length, path, chain) for requests (query, source, target, hops), query being unique: a shortest path of up to
     so many steps (1 to 6, null being 1), ignoring direction; of several the one that sorts first.
 
-    Paths grow from both ends to the half and meet in a middle node, so neither end sees more than three steps around it. chain tells
-    the steps by their relations, each in its own direction, the first of several; a node's connection to itself is direct. Requests
-    without a path, or whose ends nothing matches, have null length, path and chain.
+    chain tells the steps by their relations, each in its own direction, the first of several; a node's connection to itself is
+    direct. Requests without a path, or whose ends nothing matches, have null length, path and chain.
     """
-    ends = {side: resolved(requests.select("query", F.col(side).alias("entity")), nodes, 1) for side in ("source", "target")}
-    limit = requests.groupBy("query").agg(F.max(clamped(F.col("hops"), CONNECT_HOPS)).alias("limit"))
-    half = (CONNECT_HOPS + 1) // 2
-    a = first_paths(edges, ends["source"], settle(limit.select("query", F.expr("(limit + 1) div 2").alias("limit"))), half, True)
-    b = first_paths(edges, ends["target"], settle(limit.select("query", F.expr("limit div 2").alias("limit"))), half, False)
-    met = a.select("query", "id", F.col("hop").alias("i"), F.col("path").alias("head")).join(b.select("query", "id", F.col("hop").alias("j"), F.col("path").alias("tail")), ["query", "id"])
-    even = met.where((F.col("i") == F.col("j")) | (F.col("i") == F.col("j") + 1))  # a shortest path's middle node
-    whole = F.concat("head", F.slice("tail", 2, F.greatest(F.size("tail") - 1, F.lit(1))))
-    found = settle(even.groupBy("query").agg(F.min(F.struct((F.col("i") + F.col("j")).alias("length"), whole.alias("path"))).alias("p")).select("query", "p.*"))
+    ends = requests.groupBy("query").agg(F.max(clamped(F.col("hops"), CONNECT_HOPS)).alias("limit"))
+    for side in ("source", "target"):
+        ends = ends.join(resolved(requests.select("query", F.col(side).alias("entity")), nodes, 1).withColumnRenamed("id", side), "query")
+    found = meeting_paths(edges, settle(ends)).select("query", (F.size("path") - 1).alias("length"), "path")
     steps = found.select("query", F.posexplode(F.arrays_zip(F.slice("path", 1, F.greatest("length", F.lit(1))).alias("a"), F.slice("path", 2, F.greatest("length", F.lit(1))).alias("b"))).alias("at", "s")).select("query", "at", "s.a", "s.b").where("b is not null")
     ways = settle(steps.select("a", "b").distinct())
     line = F.concat("src", F.lit(" -["), "rel", F.lit("]-> "), "dst").alias("line")
