@@ -2,18 +2,18 @@
 
 Pivots are rows far from each other. A right row lies in the cell of its nearest pivot, at an angle to it; cells are cut into
 blocks of neighbouring angles. Angles between vectors obey the triangle inequality, so a left row's angles to the pivots say
-which blocks can hold a vector near enough, and it meets no others. What meets is compared in matrix products inside tasks,
-and only what passes becomes rows.
+which blocks can hold a vector near enough, and it meets no others. Blocks are sent in shelves and left rows in slots; what meets is
+compared in matrix products inside tasks, and only what passes becomes rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from tessera.functions.text import dot
 from tessera.lineage import settle
 
 BLOCK = 2_048
+SHELF, SHELF_BYTES, SHARES = 65_536, 32 << 20, 8  # rows and bytes of a side that a task holds at most, and shares of a side that has rows enough
 ROWS_A_PIVOT, MOST_PIVOTS, SAMPLE = 512, 4_096, 4_096
 BINS = 256  # of angles to a pivot
 SLACK = 1e-6  # radians that rounding may cost
@@ -118,8 +119,18 @@ def cut_in_blocks(placed: DataFrame, pivots: np.ndarray) -> Cells:
     return Cells(pivots, table[:, 0], table[:, 1] * np.pi / BINS, table[:, 2] * np.pi / BINS, table[:, 3], first, splits)
 
 
-def right_blocks(placed: DataFrame, cells: Cells) -> DataFrame:
-    """(block, b): the rows of each block."""
+def share(rows: int, width: int) -> int:
+    """How many rows of a side one task holds: a share of all, at most what SHELF and SHELF_BYTES allow, at least a block."""
+    return max(BLOCK, min(SHELF, SHELF_BYTES // (8 * width + 64), -(-rows // SHARES)))
+
+
+def shelved(cells: Cells, width: int) -> np.ndarray:
+    """The shelf of each block: neighbouring blocks of about one share of rows, so that a row is sent once to all of them."""
+    return (np.cumsum(cells.size) - cells.size) // share(int(cells.size.sum()), width)
+
+
+def right_rows(placed: DataFrame, cells: Cells) -> DataFrame:
+    """(block, id, unit): the rows of the right side with their blocks."""
     kind = placed.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +141,7 @@ def right_blocks(placed: DataFrame, cells: Cells) -> DataFrame:
             at += len(cell)
             yield pa.RecordBatch.from_arrays([pa.array(block), batch.column(0), batch.column(1)], ["block", "id", "unit"])
 
-    return placed.mapInArrow(run, f"block long, id {kind}, unit binary").groupBy("block").agg(F.collect_list(F.struct("id", "unit")).alias("b"))
+    return placed.mapInArrow(run, f"block long, id {kind}, unit binary")
 
 
 def bounds(u: np.ndarray, cells: Cells) -> np.ndarray:
@@ -146,14 +157,36 @@ def bounds(u: np.ndarray, cells: Cells) -> np.ndarray:
     return out
 
 
-def meetings(left: DataFrame, cells: Cells, width: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(block, part, id, unit, bar) for rows (id, unit, cell, bin, bar): the blocks that `choose` takes for each row by its bounds
-    and its bar. Parts are rows of one cell, so that rows that meet the same blocks go together."""
+class Slots(NamedTuple):
+    """Where left rows go: rows of a cell, and of cells next to it, share a slot; a cell of more rows than a share has several."""
+
+    first: np.ndarray
+    splits: np.ndarray
+    many: int
+
+
+def in_slots(left: DataFrame, cells: Cells, width: int) -> Slots:
     counts = np.zeros(len(cells.pivots) + 1, np.int64)
     for r in left.groupBy("cell").count().collect():  # at most a row a pivot
         counts[r["cell"]] = r["count"]
-    splits = np.maximum(-(-counts // BLOCK), 1)
-    begin = np.cumsum(splits) - splits
+    most = share(int(counts.sum()), width)
+    splits = np.maximum(-(-counts // most), 1)
+    first, slot, held = np.zeros(len(counts), np.int64), 0, 0
+    for cell, (n, k) in enumerate(zip(counts.tolist(), splits.tolist(), strict=True)):
+        if held and held + n > most:
+            slot, held = slot + 1, 0
+        first[cell] = slot
+        slot, held = (slot + k, 0) if k > 1 else (slot, held + n)
+    return Slots(first, splits, slot + 1)
+
+
+def meetings(
+    left: DataFrame, cells: Cells, width: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], shelf: np.ndarray | None = None, slots: Slots | None = None
+) -> DataFrame:
+    """(block, slot, id, unit, bar) for rows (id, unit, cell, bin, bar): the blocks that `choose` takes for each row by its bounds
+    and its bar; with `shelf`, the shelf of each block, a row for each shelf that holds such blocks in their place."""
+    slots = slots or in_slots(left, cells, width)
+    held, starts = (np.arange(len(cells.cell)),) * 2 if shelf is None else np.unique(shelf, return_index=True)
     kind = left.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,42 +195,123 @@ def meetings(left: DataFrame, cells: Cells, width: int, choose: Callable[[np.nda
             for k in range(0, batch.num_rows, 256):
                 some = batch.slice(k, 256)
                 u, cell = stacked(some.column(1), width), some.column(2).to_numpy()
-                row, block = np.nonzero(choose(bounds(u, cells), some.column(4).to_numpy()))
-                part = begin[cell] + (at + np.arange(len(cell))) % splits[cell]
+                chosen = choose(bounds(u, cells), some.column(4).to_numpy())
+                row, place = np.nonzero(np.logical_or.reduceat(chosen, starts, axis=1) if len(starts) else chosen)
+                slot = slots.first[cell] + (at + np.arange(len(cell))) % slots.splits[cell]
                 at += len(cell)
                 took = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block), pa.array(part[row]), some.column(0).take(took), some.column(1).take(took), some.column(4).take(took)], ["block", "part", "id", "unit", "bar"]
+                    [pa.array(held[place]), pa.array(slot[row]), some.column(0).take(took), some.column(1).take(took), some.column(4).take(took)], ["block", "slot", "id", "unit", "bar"]
                 )
 
-    return left.mapInArrow(run, f"block long, part long, id {kind}, unit binary, bar double")
-
-
-def compared(meet: DataFrame, blocks: DataFrame, width: int, slack: float, top: int | None) -> DataFrame:
-    """(left_id, right_id, similarity) of what meets, at or above the left row's bar; with `top` only a block's best for each row.
-    Equal ids don't meet."""
-    kinds = [t.simpleString() for t in (meet.schema["id"].dataType, blocks.schema["b"].dataType.elementType["id"].dataType)]
-    held = meet.groupBy("block", "part").agg(F.collect_list(F.struct("id", "unit", "bar")).alias("a"))
+    return left.mapInArrow(run, f"block long, slot long, id {kind}, unit binary, bar double")
+
+
+class Best:
+    """The `top` best candidates (row, column) of each of a few left rows, by similarity to nine digits and then by right id, or
+    by right id alone."""
+
+    def __init__(self, floor: np.ndarray, top: int, order: np.ndarray, by_id: bool) -> None:
+        self.floor, self.top, self.order, self.by_id, self.new, self.parts = floor, top, order, by_id, 0, []
+        self.most = np.full(len(floor), len(order))  # ids from here on are too large
+        self.add(*(np.zeros(0, t) for t in (np.int64, np.int64, np.float64)))
+
+    def add(self, row: np.ndarray, column: np.ndarray, near: np.ndarray) -> None:
+        if self.by_id:
+            row, column, near = (x[self.order[column] <= self.most[row]] for x in (row, column, near))
+        self.parts.append((row, column, near))
+        self.new += len(row)
+        if self.new > self.top * len(self.floor):
+            self.settle()
+
+    def settle(self) -> tuple[np.ndarray, ...]:
+        """(row, column, similarity, similarity to nine digits) of the best so far; a row's last one is the bar for what comes."""
+        row, column, near = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        nine = np.round(near, 9)
+        by = np.lexsort((self.order[column], row) if self.by_id else (self.order[column], -nine, row))
+        sorted_ = row[by]
+        nth = np.arange(len(by)) - np.searchsorted(sorted_, sorted_, "left")
+        by = by[nth < self.top]
+        row, column, near, nine, last = row[by], column[by], near[by], nine[by], nth[nth < self.top] == self.top - 1
+        if self.by_id:
+            self.most[row[last]] = self.order[column[last]]
+        else:
+            self.floor[row[last]] = np.maximum(self.floor[row[last]], nine[last] - TIE)
+        self.parts, self.new = [(row, column, near)], 0
+        return row, column, near, nine
+
+
+def compared(left: DataFrame, right: DataFrame, cells: Cells, width: int, choose: Callable[[np.ndarray, np.ndarray], np.ndarray], slack: float, top: int | None, by_id: bool = False) -> DataFrame:
+    """(left_id, right_id, similarity) of what meets, at or above the left row's bar; with `top` only the best of a shelf for each row,
+    and the similarity to nine digits, by which they are the best, unless the smallest ids are wanted; with a `top` of 0 only (left_id),
+    once a shelf. Equal ids don't meet.
+
+    Both sides are cut into shares: a task holds a slot of the left and a shelf of the right side, so a row is sent as often as the other
+    side has shares, whatever the number of blocks that it meets there.
+    """
+    shelf, slots = shelved(cells, width), in_slots(left, cells, width)
+    first, last = left.schema["id"].dataType, right.schema["id"].dataType
+    meet = meetings(left, cells, width, choose, shelf, slots)
+    a = meet.select(F.col("block").alias("shelf"), "slot", F.col("id").alias("left_id"), F.lit(None).cast(last).alias("right_id"), "unit", "bar", F.lit(-1).cast("long").alias("block"))
+    on = F.element_at(F.lit(shelf.tolist()).cast("array<long>"), (F.col("block") + 1).cast("int")).alias("shelf")
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots.many - 1).cast("long"))).alias("slot")
+    b = right_rows(right, cells).select(on, each, F.lit(None).cast(first).alias("left_id"), F.col("id").alias("right_id"), "unit", F.lit(None).cast("double").alias("bar"), "block")
+    places = cells._replace(first=None, splits=None)  # what bounds need
+    names = ["left_id", "right_id", "similarity", "nine"][: 3 if top is None else 4 if top else 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x, y in zip(batch.column(0), batch.column(1), strict=True):
-                x, y = pa.Table.from_struct_array(x.values), pa.Table.from_struct_array(y.values)
-                i, j = x["id"].combine_chunks(), y["id"].combine_chunks()
-                near = stacked(x["unit"], width) @ stacked(y["unit"], width).T
+        held = pa.Table.from_batches(list(batches))
+        sides = [held.filter(mask) for mask in (pc.less(held["block"], 0), pc.greater_equal(held["block"], 0))]
+        if not all(map(len, sides)):
+            return
+        x, y = sides
+        ids = pc.unique(y["right_id"])
+        ids = ids.take(pc.sort_indices(ids))
+        y = y.take(pa.array(np.lexsort((pc.index_in(y["right_id"], ids).to_numpy(), y["block"].to_numpy()))))
+        i, j = x["left_id"].combine_chunks(), y["right_id"].combine_chunks()
+        order = pc.index_in(j, ids).to_numpy()
+        own = pc.index_in(i, ids).fill_null(-1).to_numpy(zero_copy_only=False) if i.type == j.type else np.full(len(i), -1)
+        u, v, bar = stacked(x["unit"], width), stacked(y["unit"], width), x["bar"].to_numpy()
+        block, begin = np.unique(y["block"].to_numpy(), return_index=True)
+        end = np.append(begin[1:], len(j))
+
+        def out(rows: np.ndarray, columns: np.ndarray, *values: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([i.take(pa.array(rows)), j.take(pa.array(columns)), *map(pa.array, values)][: len(names)], names)
+
+        for at in range(0, len(i), BLOCK):
+            some = slice(at, at + BLOCK)
+            chosen, floor = choose(bounds(u[some], places), bar[some]), bar[some] - slack
+            best = Best(floor, top, order, by_id) if top else None
+            met = np.zeros(len(floor), bool)
+            for k, z, e in zip(block.tolist(), begin.tolist(), end.tolist(), strict=True):
+                rows = np.flatnonzero(chosen[:, k] & ~met)
+                if not len(rows):
+                    continue
+                near = u[some][rows] @ v[z:e].T
                 near[np.isnan(near)] = -np.inf
-                good = near >= x["bar"].to_numpy()[:, None] - slack
-                if top is not None:
-                    own = Counter(j.to_pylist())
-                    most = top + max((own[p] for p in i.to_pylist()), default=0)  # rows of the row's own id don't count
-                    if near.shape[1] > most:
-                        good &= near >= (np.partition(near, -most, axis=1)[:, -most] - slack)[:, None]
-                rows, columns = np.nonzero(good)
-                out = pa.RecordBatch.from_arrays([i.take(pa.array(rows)), j.take(pa.array(columns)), pa.array(near[rows, columns])], ["left_id", "right_id", "similarity"])
-                apart = [p != q for p, q in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True)]
-                yield out.filter(pa.array(apart, pa.bool_()))
-
-    return held.join(blocks, "block").select("a", "b").mapInArrow(run, f"left_id {kinds[0]}, right_id {kinds[1]}, similarity double")
+                low, high = (np.searchsorted(order[z:e], own[some][rows], way) for way in ("left", "right"))
+                for r in np.flatnonzero(high > low):
+                    near[r, low[r] : high[r]] = -np.inf
+                good = near >= floor[rows, None]
+                if top and not by_id and near.shape[1] > top and np.count_nonzero(good) > 4 * top * len(rows):
+                    good &= near >= (np.partition(near, -top, axis=1)[:, -top] - TIE)[:, None]
+                if top == 0:
+                    met[rows[good.any(1)]] = True
+                    continue
+                r, c = np.nonzero(good)
+                if best is not None:
+                    best.add(rows[r], c + z, near[r, c])
+                elif len(r):
+                    yield out(rows[r] + at, c + z, near[r, c])
+            if best is not None:
+                row, *rest = best.settle()
+                yield out(row + at, *rest)
+            if top == 0:
+                rows = np.flatnonzero(met)
+                yield out(rows + at, np.zeros(len(rows), np.int64))
+
+    schema = ", ".join([f"left_id {first.simpleString()}", f"right_id {last.simpleString()}", "similarity double", "nine double"][: len(names)])
+    return a.unionByName(b).groupBy("shelf", "slot").applyInArrow(run, schema)
 
 
 def prepared(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, Cells, int]:
@@ -220,8 +334,21 @@ def above(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     """All pairs of a cosine of at least the threshold. Vectors of unequal length are compared as if the shorter one went on
     with zeros; null ids and vectors take no part."""
     a, b, cells, width = prepared(left, right)
-    meet = meetings(a.withColumn("bar", F.lit(float(threshold))), cells, width, near_enough)
-    return compared(meet, right_blocks(b, cells), width, 0.0, None)
+    return compared(a.withColumn("bar", F.lit(float(threshold))), b, cells, width, near_enough, 0.0, None)
+
+
+def linked(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(left_id) of the left rows that a right row of another id reaches the threshold with."""
+    a, b, cells, width = prepared(left, right)
+    return compared(a.withColumn("bar", F.lit(float(threshold))), b, cells, width, near_enough, 0.0, 0).distinct()
+
+
+def first_beyond(left: DataFrame, right: DataFrame, threshold: float, most: int) -> DataFrame:
+    """The first right rows by id, at most so many of each left row, whose cosine is over the threshold, numbered (nth)."""
+    a, b, cells, width = prepared(left, right)
+    over = float(np.nextafter(threshold, 2.0))
+    few = compared(a.withColumn("bar", F.lit(over)), b, cells, width, near_enough, 0.0, most, by_id=True).drop("nine")
+    return few.withColumn("nth", F.row_number().over(Window.partitionBy("left_id").orderBy("right_id"))).where(F.col("nth") <= most)
 
 
 def nearest(left: DataFrame, right: DataFrame, k: int, threshold: float | None = None, where: Column | str | None = None) -> DataFrame:
@@ -231,7 +358,6 @@ def nearest(left: DataFrame, right: DataFrame, k: int, threshold: float | None =
     A row first meets the blocks of the smallest bounds that hold k rows; its k-th best there is the bar for all others.
     """
     a, b, cells, width = prepared(left, right if where is None else right.where(where))
-    blocks = right_blocks(b, cells)
     least = -1.0 if threshold is None else float(threshold)
 
     def first(bound: np.ndarray, bar: np.ndarray) -> np.ndarray:
@@ -242,16 +368,15 @@ def nearest(left: DataFrame, right: DataFrame, k: int, threshold: float | None =
         return took
 
     a = a.withColumn("bar", F.lit(least))
+    order = Window.partitionBy("left_id").orderBy(F.col("nine").desc(), "right_id")
     if len(cells.cell) > 1:
-        tried = compared(meetings(a, cells, width, first), blocks, width, TIE, k)
-        best = Window.partitionBy("left_id").orderBy(F.col("similarity").desc(), "right_id")
-        bar = tried.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select(F.col("left_id").alias("id"), F.col("similarity").alias("kth"))
+        tried = compared(a, b, cells, width, first, TIE, k)
+        bar = tried.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select(F.col("left_id").alias("id"), F.col("similarity").alias("kth"))
         a = settle(a.join(bar, "id", "left").withColumn("bar", F.greatest("bar", F.coalesce("kth", F.lit(-1.0)))).drop("kth"))
-    order = Window.partitionBy("left_id").orderBy(F.round("similarity", 9).desc(), "right_id")
-    met = compared(meetings(a, cells, width, near_enough), blocks, width, TIE, k)
+    met = compared(a, b, cells, width, near_enough, TIE, k)
     if threshold is not None:
         met = met.where(F.col("similarity") >= least)
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("nine")
 
 
 def coherence(items: DataFrame) -> DataFrame:

@@ -154,3 +154,34 @@ def test_the_bootstrap_is_as_wide_as_resampling(spark):
     width = np.quantile(means, 0.975) - np.quantile(means, 0.025)
     assert got["m"]["high"] - got["m"]["low"] == pytest.approx(width, rel=0.06)
     assert got["m"]["low"] < d.mean() < got["m"]["high"] and got["one"]["low"] == got["one"]["high"] == 0.25
+
+
+def unclustered(n, width=16):
+    rng = np.random.default_rng(11)
+    return [*rng.normal(size=(n - n // 4, width)), *np.repeat(rng.normal(size=(n // 40, width)), 10, axis=0)]
+
+
+def test_rows_are_sent_once_a_shelf(spark, monkeypatch):
+    """Vectors that don't cluster meet nearly all blocks, but a row is sent only as often as the other side has shares."""
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    df = frame(spark, list(enumerate(unclustered(4_000))))
+    a, b, cells, width = vectors.prepared(df, df)
+    a = a.withColumn("bar", F.lit(0.1))
+    assert vectors.meetings(a, cells, width, vectors.near_enough).count() > 40 * 4_000
+    slots = vectors.in_slots(a, cells, width)
+    sent = vectors.meetings(a, cells, width, vectors.near_enough, vectors.shelved(cells, width), slots).count()
+    assert sent <= (vectors.SHARES + 1) * 4_000 and slots.many <= 2 * vectors.SHARES
+
+
+def test_first_and_any_beyond_a_threshold(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 40)
+    rows = list(enumerate(unclustered(600, 6)))
+    near = cosines(np.array([v for _, v in rows]), np.array([v for _, v in rows]))
+    np.fill_diagonal(near, -np.inf)
+    df = frame(spark, rows)
+    want = {(i, n + 1): int(j) for i, x in enumerate(near) for n, j in enumerate(np.flatnonzero(x > 0.6)[:3])}
+    assert {(r["left_id"], r["nth"]): r["right_id"] for r in vectors.first_beyond(df, df, 0.6, 3).collect()} == want
+    assert sorted(r["left_id"] for r in vectors.linked(df, df, 0.95).collect()) == np.flatnonzero((near >= 0.95).any(1)).tolist()
+    best = {(r["left_id"], r["rank"]): r["right_id"] for r in vectors.nearest(df, df, 4).collect()}
+    assert best == {(i, n + 1): int(j) for i, x in enumerate(near) for n, j in enumerate(np.lexsort((np.arange(600), -np.round(x, 9)))[:4])}
