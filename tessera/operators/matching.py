@@ -52,9 +52,7 @@ def structural_confidence(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def siblings(proposed: DataFrame, seeds: DataFrame, threshold: float = 0.6, most: int = 5) -> DataFrame:
     """For each seed, the first proposals whose cosine to it is above the threshold, in order of id."""
-    near = vectors.above(seeds, proposed, threshold).where(F.col("similarity") > threshold)
-    order = Window.partitionBy("left_id").orderBy("right_id")
-    return near.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).select(F.col("left_id").alias("seed"), F.col("right_id").alias("sibling"), "nth")
+    return vectors.first_beyond(seeds, proposed, threshold, most).select(F.col("left_id").alias("seed"), F.col("right_id").alias("sibling"), "nth")
 
 
 def best_matches(entities: DataFrame, classes: DataFrame, threshold: float = 0.65) -> DataFrame:
