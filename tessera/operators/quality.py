@@ -25,7 +25,7 @@ def recovered(removed: DataFrame, generated: DataFrame, threshold: float = 0.85)
     exact = removed.withColumn("k", F.lower("label")).join(low(generated).withColumnRenamed("label", "k"), "k", "left_semi")
     rest = removed.join(exact.select("label"), "label", "left_anti")
     name = lambda df: df.select(F.col("label").alias("id"), "embedding")
-    near = vectors.above(name(rest), name(generated), threshold).select(F.col("left_id").alias("label")).distinct()
+    near = vectors.linked(name(rest), name(generated), threshold).select(F.col("left_id").alias("label"))
     hits = exact.select("label").union(near).distinct().withColumn("hit", F.lit(True))
     return removed.select("label").distinct().join(hits, "label", "left").agg(F.count("*").alias("removed"), rate(F.col("hit").isNotNull(), 1.0).alias("recovered"))
 
