@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.fuzzy import fuzzy_ratio, partial_ratio
+from tessera.lineage import settle
 from tessera.operators.matching import holding
 
 # Words that mark legal documents, and phrases that mark precedents.
@@ -167,21 +168,36 @@ def expanded(queries: DataFrame, subclasses: DataFrame, synonyms: DataFrame, rel
     return own.groupBy("query", F.lower("term").alias("key")).agg(F.min(F.struct("place", "term")).alias("first")).select("query", "first.place", "first.term")
 
 
+def alike_queries(terms: DataFrame) -> DataFrame:
+    """(query, terms, one) for rows (query, term): the query's terms in lower case and order, and the smallest query that has the same."""
+    t = terms.select("query", F.lower("term").alias("term")).where("query is not null and term <> ''")
+    asked = settle(t.groupBy("query").agg(F.array_sort(F.collect_set("term")).alias("terms")))
+    return settle(asked.join(asked.groupBy("terms").agg(F.min("query").alias("one")), "terms").select("query", "terms", "one"))
+
+
 def linked_entities(terms: DataFrame, entities: DataFrame, least: float = 50.0, most: int = 15) -> DataFrame:
     """terms (query, term) linked to entities (id, label, description): candidates have a term as id or hold one in label, ignoring
     case; scored by the best of the label's ratio and partial ratio, 1.2 times the id's ratio and 0.8 times the description's partial
-    ratio, in 0..120; kept from `least` on or with an equal id; the best `most` of each query (the cap is the feature)."""
-    t = terms.select("query", F.lower("term").alias("term")).where("term <> ''").distinct()
+    ratio, in 0..120; kept from `least` on or with an equal id; the best `most` of each query (the cap is the feature).
+
+    Queries of the same terms are answered once, and a term is scored once against each label, description and id."""
     low = entities.select("id", F.lower("id").alias("lid"), F.lower(F.coalesce("label", F.lit(""))).alias("label"), F.lower("description").alias("description"))
+    asked = alike_queries(terms)
+    t = asked.where("query = one").select("query", F.explode("terms").alias("term"))
     words = t.select(F.col("term").alias("label")).distinct()
     by_label = holding(low.select("id", F.col("label").alias("text")), words).select("id", F.col("label").alias("term"))
     by_id = low.join(words, low["lid"] == words["label"]).select("id", words["label"].alias("term"))
     candidates = by_label.union(by_id).distinct().join(t, "term").select("query", "id").distinct()
-    rows = candidates.join(low, "id").join(t, "query")
-    best = F.greatest(100 * fuzzy_ratio("term", "label"), 100 * partial_ratio("term", "label"), 120 * fuzzy_ratio("term", "lid"), F.coalesce(80 * partial_ratio("term", "description"), F.lit(0.0)))
-    by = rows.groupBy("query", "id").agg(F.max(best).alias("score"), F.max(F.col("lid") == F.col("term")).alias("same")).where((F.col("score") >= least) | F.col("same"))
+    met = settle(candidates.join(t, "query").select("id", "term").distinct().join(low, "id"))
+    label = met.select("term", "label").distinct().withColumn("of_label", F.greatest(100 * fuzzy_ratio("term", "label"), 100 * partial_ratio("term", "label")))
+    told = met.where("description is not null").select("term", "description").distinct().withColumn("of_description", 80 * partial_ratio("term", "description"))
+    scored = met.join(label, ["term", "label"]).join(told, ["term", "description"], "left")
+    best = F.greatest("of_label", 120 * fuzzy_ratio("term", "lid"), F.coalesce("of_description", F.lit(0.0)))
+    scored = scored.groupBy("id", "term").agg(F.max(best).alias("best"), F.max(F.col("lid") == F.col("term")).alias("same"))
+    by = candidates.join(t, "query").join(scored, ["id", "term"]).groupBy("query", "id").agg(F.max("best").alias("score"), F.max("same").alias("same")).where((F.col("score") >= least) | F.col("same"))
     order = Window.partitionBy("query").orderBy(F.round("score", 6).desc(), "id")
-    return by.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("query", "id", "score", "rank")
+    ranked = by.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).withColumnRenamed("query", "one")
+    return asked.select("query", "one").join(ranked, "one").select("query", "id", "score", "rank")
 
 
 def capped_proposals(gaps: DataFrame, most: int = 30) -> DataFrame:

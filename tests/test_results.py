@@ -87,6 +87,17 @@ def test_linking(spark):
     assert got == [("e2", 120.0, 1), ("e1", 100.0, 2), ("e3", 100.0, 3)]
 
 
+def test_linking_answers_equal_queries_once(spark):
+    terms = spark.createDataFrame([(q, w) for q in range(20) for w in (["plan", "E2"] if q % 2 else ["E2", "PLAN", "plan", "orbit"])], "query int, term string")
+    asked = search.alike_queries(terms)
+    assert sorted((r["query"], r["one"]) for r in asked.collect()) == [(q, q % 2) for q in range(20)]
+    entities = spark.createDataFrame([("e1", "Master plan", None), ("e1", "Orbit", "x"), ("e2", None, "qq"), ("e3", "planet orbit systems", "x"), ("e4", "none", None)], "id string, label string, description string")
+    got = {}
+    for r in search.linked_entities(terms, entities).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append((r["id"], round(r["score"], 3)))
+    assert got == {q: [("e2", 120.0), ("e1", 100.0), ("e3", 100.0)] for q in range(20)}
+
+
 @pytest.mark.parametrize("text, want", [("no", None), ('a {"x": {"y": "}"}, } b', {"x": {"y": "}"}}), ("{bad} {\"k\": [1,2,]}", {"k": [1, 2]}), ('{"open": 1', None), ('{"q": "\\"}"}', {"q": '"}'})])
 def test_json_blocks(text, want):
     got = replies.block(text)
