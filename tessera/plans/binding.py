@@ -92,10 +92,26 @@ def spelled(text: str) -> str:
     return re.sub(r"\{(\w+)\}", lambda m: f"({spelled(VIEWS[m[1]])}) AS v_{m[1]}" if m[1] in VIEWS else m[1], text)
 
 
+PARTITION_BYTES, SPLIT_BYTES = 4 << 20, 32 << 20  # of a table's file: to a partition of a shuffle, and read by one task
+
+
+def sized(spark: SparkSession, path: str) -> None:
+    """Give shuffles a partition for every PARTITION_BYTES of a table, so that what a task aggregates doesn't grow with the table; a session
+    that has more keeps them. Tasks read at most SPLIT_BYTES."""
+    file = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = file.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(file).getLength()
+    if size // PARTITION_BYTES > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(size // PARTITION_BYTES))
+    if size > SPLIT_BYTES and spark.conf.get("spark.sql.files.maxPartitionBytes") in ("134217728", "134217728b", "128MB"):  # the default
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table or view of the tables in a folder."""
     if name in TABLES:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        path = f"{sf_dir}/{name}.parquet"
+        sized(spark, path)
+        return spark.read.parquet(path)
     text = VIEWS[name]
     needs = {n: view(spark, sf_dir, n) for n in set(re.findall(r"\{(\w+)\}", text))}
     return spark.sql(text, **needs)

@@ -127,3 +127,16 @@ def test_hubs_in_parts_change_nothing(spark, monkeypatch, hub, few):
                 dist[b] = dist[a] + 1
                 queue.append(b)
     assert {r["id"]: r["hop"] for r in graph.hops(df, seeds, 3).collect()} == {k: d for k, d in dist.items() if d <= 3}
+
+
+def test_shuffles_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from tessera.plans import binding
+
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.range(200_000).write.parquet(str(tmp_path / "lineitem.parquet"))
+        monkeypatch.setattr(binding, "PARTITION_BYTES", 20_000)
+        assert binding.view(spark, str(tmp_path), "lineitem").count() == 200_000
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
