@@ -84,3 +84,12 @@ def test_a_published_ontology(spark):
     rows = ontologies.read_ontologies(spark, SEED)
     kinds = {r["o"]: r["count"] for r in rows.where(f"p = '{RDF}type'").groupBy("o").count().collect()}
     assert (kinds[f"{OWL}Class"], kinds[f"{OWL}ObjectProperty"], kinds[f"{OWL}DatatypeProperty"], kinds[f"{OWL}Ontology"]) == (18, 26, 4, 1)
+
+
+def test_many_files_of_a_split_are_dealt_to_tasks(spark):
+    rows = [(f"f{i}.ttl", f'<urn:a{i}> <urn:p> "{i}", "x" .') for i in range(200)]
+    files = spark.createDataFrame(rows, "file string, content string").coalesce(1)
+    got = ontologies.parse_files(files)
+    assert got.count() == 400 and got.select("file").distinct().count() == 200
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan.split("MapInArrow")[1]
