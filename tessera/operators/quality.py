@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.lineage import settle
 from tessera.operators import metrics, patterns, vectors
 from tessera.operators.graph import closure
 
@@ -168,23 +169,37 @@ def shape_violations(triples: DataFrame, instances: DataFrame) -> DataFrame:
 def inherited_violations(triples: DataFrame, instances: DataFrame) -> DataFrame:
     """As `shape_violations`, a class's instances being held to what all its ancestors ask for as well, and values of object properties
     being instances of the property's range, or of a class below it, else a violation "class". Equal statements are one."""
+    triples = settle(triples.where(F.col("p").isin("rdfs:subClassOf", "rdf:type", "rdfs:domain", "rdfs:range", "owl:cardinality")))
     up = triples.where("p = 'rdfs:subClassOf'").select(F.col("s").alias("child"), F.col("o").alias("parent"))
     own = instances.select("id", "class").where("class is not null").distinct()
-    above = closure(up).select(F.col("node").alias("class"), "ancestor")
-    types = own.unionByName(own.join(above, "class").select("id", F.col("ancestor").alias("class"))).distinct()
+    above = closure(up).select(F.col("node").alias("class"), "ancestor").distinct()
     values = instances.where("value is not null").select("id", "attribute", "value").distinct()
-    due = types.join(patterns.class_attributes(triples), "class").groupBy("id", "attribute").agg(F.bool_or("required").alias("required"), F.min("kind").alias("kind"))
+
+    def inherited(rules: DataFrame) -> DataFrame:
+        """What classes ask for, and what all below them ask for with it: rules meet classes, not instances."""
+        below = above.withColumnsRenamed({"class": "low", "ancestor": "class"}).where("low <> class")
+        return settle(rules.unionByName(below.join(rules, "class").drop("class").withColumnRenamed("low", "class")).distinct())
+
+    due = inherited(patterns.class_attributes(triples).select("class", "attribute", "required", "kind"))
     counts = values.groupBy("id", "attribute").agg(F.count("*").alias("n"))
-    card = due.where("required").join(counts, ["id", "attribute"], "left").where("n is null or n > 1")
+    wanted = own.join(due.where("required").select("class", "attribute").distinct(), "class").select("id", "attribute").distinct()
+    card = wanted.join(counts, ["id", "attribute"], "left").where("n is null or n > 1")
     card = card.select("id", "attribute", F.when(F.col("n").isNull(), "minCount").otherwise("maxCount").alias("violation"))
-    typed = due.join(values, ["id", "attribute"]).where(~fits("kind", "value")).select("id", "attribute", F.lit("datatype").alias("violation")).distinct()
+    held = values.join(own, "id")
+    typed = held.join(due, ["class", "attribute"]).groupBy("id", "attribute", "value").agg(F.min("kind").alias("kind"))
+    typed = typed.where(~fits("kind", "value")).select("id", "attribute", F.lit("datatype").alias("violation")).distinct()
     ends = patterns.typed(triples, patterns.OBJECTS, "attribute")
     for end, name in (("rdfs:domain", "class"), ("rdfs:range", "range")):
         ends = ends.join(patterns.pairs(triples, end, "attribute", name), "attribute")
-    asked = types.join(ends, "class").select("id", "attribute", "range").distinct().join(values, ["id", "attribute"])
-    right = types.select(F.col("id").alias("value"), F.col("class").alias("range"))
-    wrong = asked.join(right, ["value", "range"], "left_anti").select("id", "attribute", F.lit("class").alias("violation")).distinct()
-    return card.unionByName(typed).unionByName(wrong)
+    ends = inherited(ends.select("class", "attribute", "range"))
+    # A value must be of every range that a class of the instance asks for: those that it is of are counted, and others never become rows.
+    ranges = ends.select("range").distinct()
+    reach = ranges.select(F.col("range").alias("class"), "range").unionByName(above.withColumnRenamed("ancestor", "range").join(ranges, "range").select("class", "range")).distinct()
+    right = own.join(reach, "class").select(F.col("id").alias("value"), "range").distinct()
+    asked = held.join(ends.groupBy("class", "attribute").agg(F.count("*").alias("all")), ["class", "attribute"])
+    met = asked.join(right, "value").join(ends, ["class", "attribute", "range"]).groupBy("id", "attribute", "value", "class").agg(F.count("*").alias("met"))
+    wrong = asked.join(met, ["id", "attribute", "value", "class"], "left").where(F.coalesce("met", F.lit(0)) < F.col("all"))
+    return card.unionByName(typed).unionByName(wrong.select("id", "attribute", F.lit("class").alias("violation")).distinct())
 
 
 def fits(kind: str, value: str) -> Column:

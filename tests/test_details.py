@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.operators import gaps, graph, layers, quality, retrieval, stats
+from tests.spent import shuffled
 
 
 def triples(spark, rows):
@@ -67,3 +68,22 @@ def test_strict_pairs(spark):
         stats.paired_strictly(results, "a", "c", ("semantic",))
     with pytest.raises(ValueError):
         stats.paired_strictly(results.union(results.where("system = 'a'")), "a", "b", ("semantic",))
+
+
+def test_inherited_shapes_meet_classes_and_not_instances(spark):
+    """500 instances of one class whose ancestor has 20 properties of 30 ranges each: ranges that a value isn't of don't become rows."""
+    rules = [("low", "rdfs:subClassOf", "mid"), ("mid", "rdfs:subClassOf", "top"), ("inner", "rdfs:subClassOf", "r0")]
+    rules += [x for i in range(20) for x in [(f"p{i}", "rdf:type", "owl:ObjectProperty"), (f"p{i}", "rdfs:domain", "top"), *[(f"p{i}", "rdfs:range", f"r{k}") for k in range(30 if i else 1)]]]
+    rows = [(f"x{n}", "low", f"p{i}", f"v{i % 2}") for n in range(500) for i in range(20)] + [("v0", "inner", None, None), ("v1", "r1", None, None)]
+    instances = spark.createDataFrame(rows, "id string, class string, attribute string, value string")
+    onto = triples(spark, rules)
+    got = quality.inherited_violations(onto, instances)
+    assert {(r["attribute"], r["violation"]) for r in got.collect()} == {(f"p{i}", "class") for i in range(1, 20)} and got.count() == 500 * 19
+    assert shuffled(spark, lambda: quality.inherited_violations(onto, instances)) < 1_500_000
+
+
+def test_two_classes_of_an_instance_ask_for_all_their_ranges(spark):
+    onto = triples(spark, [("near", "rdf:type", "owl:ObjectProperty"), ("near", "rdfs:domain", "A"), ("near", "rdfs:domain", "B"), ("near", "rdfs:range", "C"), ("near", "rdfs:range", "D")])
+    rows = [("x", "A", "near", "y"), ("x", "B", "near", "y"), ("z", "B", "near", "w"), ("y", "C", None, None), ("w", "C", None, None), ("w", "D", None, None)]
+    got = quality.inherited_violations(onto, spark.createDataFrame(rows, "id string, class string, attribute string, value string"))
+    assert [tuple(r) for r in got.collect()] == [("x", "near", "class")]
