@@ -1,17 +1,21 @@
-"""What running a DataFrame shuffles."""
+"""What running a DataFrame takes."""
 
 from __future__ import annotations
 
 
-def shuffled(spark, make) -> int:
-    """Bytes written to shuffles while the rows that make() gives are computed."""
-    context = spark.sparkContext._jsc.sc()
-
-    def total() -> int:
-        context.listenerBus().waitUntilEmpty()
-        executors = context.statusStore().executorList(False)
-        return sum(executors.apply(i).totalShuffleWrite() for i in range(executors.size()))
-
-    before = total()
-    make().write.format("noop").mode("overwrite").save()
-    return total() - before
+def most_rows(df) -> int:
+    """Rows of the largest operator of the plan, once it has run."""
+    df.collect()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        if kind == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+    return most
