@@ -14,7 +14,7 @@ def field(value: Column, path: str, kind: str = "string", default: object = None
 
 
 def is_object(value: Column) -> Column:
-    return F.coalesce(F.startswith(F.schema_of_variant(value), F.lit("OBJECT")), F.lit(False))
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
 
 
 def objects(value: Column, path: str) -> Column:
@@ -25,9 +25,9 @@ def objects(value: Column, path: str) -> Column:
 
 def parsed(replies: DataFrame) -> DataFrame:
     """replies with their reply as a variant `v`: null where it is no JSON object or reports an error."""
-    v = F.try_parse_json("reply")
+    v = F.col("v")
     failed = F.try_variant_get(v, "$.error", "variant").isNotNull()
-    return replies.withColumn("v", F.when(is_object(v) & ~failed, v))
+    return replies.withColumn("v", F.try_parse_json("reply")).withColumn("v", F.when(is_object(v) & ~failed, v))
 
 
 def complete(relation: Column) -> Column:
