@@ -160,12 +160,22 @@ def hybrid(vector: DataFrame, graph: DataFrame, weights: DataFrame, scores: Data
     return reranked(fused, scores, k)
 
 
+FEW_TERMS_KNOWN = 100_000  # rows of terms that are broadcast to the queries
+
+
 def expanded(queries: DataFrame, subclasses: DataFrame, synonyms: DataFrame, relations: DataFrame) -> DataFrame:
-    """queries (query, type) with terms: the types, then what each table (type, term) knows of them, each new term once."""
-    own = queries.select("query", F.col("type").alias("term"), F.lit(0).alias("place"))
+    """queries (query, type) with terms: the types, then what each table (type, term) knows of them, each new term once.
+
+    Queries of the same types are answered once."""
+    asked = queries.groupBy("query").agg(F.struct(F.array_sort(F.collect_set("type")).alias("types"), F.bool_or(F.col("type").isNull()).alias("none")).alias("asked"))
+    asked = settle(asked)
+    sets = settle(asked.select("asked").distinct())
+    types = sets.select("asked", F.explode("asked.types").alias("type")).unionByName(sets.where("asked.none").select("asked", F.lit(None).cast("string").alias("type")))
+    own = types.select("asked", F.col("type").alias("term"), F.lit(0).alias("place"))
     for n, table in enumerate((subclasses, synonyms, relations), 1):
-        own = own.unionByName(queries.join(table.select("type", "term"), "type").select("query", "term", F.lit(n).alias("place")))
-    return own.groupBy("query", F.lower("term").alias("key")).agg(F.min(F.struct("place", "term")).alias("first")).select("query", "first.place", "first.term")
+        own = own.unionByName(types.join(table.select("type", "term"), "type").select("asked", "term", F.lit(n).alias("place")))
+    terms = settle(own.groupBy("asked", F.lower("term").alias("key")).agg(F.min(F.struct("place", "term")).alias("first")).select("asked", "first.place", "first.term"))
+    return asked.join(F.broadcast(terms) if terms.count() <= FEW_TERMS_KNOWN else terms, "asked").select("query", "place", "term")
 
 
 def alike_queries(terms: DataFrame) -> DataFrame:
