@@ -93,17 +93,20 @@ def spelled(text: str) -> str:
 
 
 PARTITION_BYTES, SPLIT_BYTES = 4 << 20, 32 << 20  # of a table's file: to a partition of a shuffle, and read by one task
+JOINED_BYTES = 16 << 20  # of small shuffle partitions that go to one task together
 
 
 def sized(spark: SparkSession, path: str) -> None:
     """Give shuffles a partition for every PARTITION_BYTES of a table, so that what a task aggregates doesn't grow with the table; a session
-    that has more keeps them. Tasks read at most SPLIT_BYTES."""
+    that has more keeps them. Tasks read at most SPLIT_BYTES, and of a shuffle JOINED_BYTES where partitions are put together."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)
     size = file.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(file).getLength()
     if size // PARTITION_BYTES > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set("spark.sql.shuffle.partitions", str(size // PARTITION_BYTES))
     if size > SPLIT_BYTES and spark.conf.get("spark.sql.files.maxPartitionBytes") in ("134217728", "134217728b", "128MB"):  # the default
         spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+    if spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes") in ("67108864", "67108864b", "64MB"):  # the default
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(JOINED_BYTES))
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
