@@ -297,6 +297,43 @@ def test_word_model_equals_brute_force(spark, varied, monkeypatch):
     assert scoring.score(empty(spark), learn).count() == 0
 
 
+def test_the_network_learns_from_every_text(spark, monkeypatch):
+    """More texts than the 1,500 that it once learned from: every number gets a row of its own."""
+    monkeypatch.setattr(attention, "STEPS", 5)
+    path = scoring.tokenizer_path(scoring.VOCABULARY_FILE)
+    docs = spark.createDataFrame([(i, f"{i // 4} {i // 4}") for i in range(3600)], "id long, text string")
+    model = scoring.fit(docs, scoring.word_counts(docs.select("text")), path)
+    ids = [encode.byte_encoder(path).tokenizer.encode_ordinary(f" {i}") for i in range(900)]
+    assert all(model.row_of[k] < attention.OWN for x in ids for k in x)
+
+
+def test_slopes_are_those_of_the_loss():
+    rng = np.random.default_rng(2)
+    ids, counts = rng.integers(0, 40, 300), np.array([100, 150, 50])
+    class_of = rng.integers(0, attention.CLASSES, attention.VOCABULARY)
+    row_of = attention.rows_of(np.bincount(ids, minlength=attention.VOCABULARY), class_of)
+    net = attention.Network(*[x.astype(float) for x in attention.untrained(rng.poisson(1, (attention.OWN + attention.CLASSES, attention.CLASSES)).astype(float))])
+    inputs, targets, _ = attention.windows(ids, np.cumsum(counts) - counts, counts)
+    padded = np.concatenate([ids, [attention.END, attention.END]])
+    seen, goal, real = row_of[padded[inputs]], class_of[padded[targets]], targets != -2
+
+    def loss():
+        _, gathered, *_ = attention.attend(net, seen, inputs != -2)
+        logits = attention.class_logits(net, seen[:, attention.PAST :], gathered)[2]
+        logs = np.take_along_axis(logits, goal[:, :, None], 2)[:, :, 0] - np.log(np.exp(logits).sum(2))
+        return -logs[real].mean()
+
+    found = attention.slopes(net, seen, inputs != -2, goal, real)
+    for x, g in zip(net, found, strict=True):
+        at, step = np.unravel_index(np.abs(g).argmax(), g.shape), 1e-5
+        value, sides = x[at], []
+        for s in (step, -step):
+            x[at] = value + s
+            sides.append(loss())
+        x[at] = value
+        assert (sides[0] - sides[1]) / (2 * step) == pytest.approx(g[at], rel=1e-2)
+
+
 def test_model_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
     class_of = rng.integers(0, attention.CLASSES, attention.VOCABULARY)
