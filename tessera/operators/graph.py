@@ -57,14 +57,18 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     return hops_from(edges, seeds.select(F.lit(0).alias("seed"), "id"), most).select("id", "hop")
 
 
-def hops_from(edges: DataFrame, starts: DataFrame, most: int, limits: DataFrame | None = None) -> DataFrame:
+def hops_from(edges: DataFrame, starts: DataFrame, most: int, limits: DataFrame | None = None, enough: int | None = None) -> DataFrame:
     """(seed, id, hop) for rows (seed, id) of starts: the fewest steps, up to `most`, from any start of a seed; with rows (seed, limit) up
-    to a seed's own limit if that is less, and none from seeds without one."""
+    to a seed's own limit if that is less, and none from seeds without one. With `enough` a seed goes no further once a hop has
+    brought it to that many nodes beside its starts; all of that hop are returned."""
     near = adjacency(edges)
     seen = frontier = settle(starts.select("seed", "id").distinct().withColumn("hop", F.lit(0)))
     for hop in range(1, most + 1):
         if limits is not None:
             frontier = frontier.join(limits.where(F.col("limit") >= hop), "seed", "left_semi")
+        if enough is not None and hop > 1:
+            full = seen.where("hop > 0").groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
+            frontier = frontier.join(full, "seed", "left_anti")
         reached = near.parted(frontier, "id").withColumnRenamed("id", "a").join(near.steps, ["a", "part"]).select("seed", F.col("b").alias("id")).distinct()
         frontier = settle(reached.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").withColumn("hop", F.lit(hop)))
         seen = seen.union(frontier)

@@ -140,3 +140,12 @@ def test_shuffles_grow_with_the_table(spark, tmp_path, monkeypatch):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_seeds_with_enough_nodes_go_no_further(spark):
+    """A star of forty nodes, each with a leaf, and a chain, which goes on."""
+    rows = [("s", f"m{i}") for i in range(40)] + [(f"m{i}", f"leaf{i}") for i in range(40)] + [("t", "t1"), ("t1", "t2"), ("t2", "t3")]
+    edges = spark.createDataFrame([(a, b, "r", 1.0) for a, b in rows], "src string, dst string, rel string, confidence double")
+    starts = spark.createDataFrame([(1, "s"), (2, "t")], "seed int, id string")
+    got = {(r["seed"], r["id"]): r["hop"] for r in graph.hops_from(edges, starts, 3, enough=30).collect()}
+    assert got == {(1, "s"): 0} | {(1, f"m{i}"): 1 for i in range(40)} | {(2, "t"): 0, (2, "t1"): 1, (2, "t2"): 2, (2, "t3"): 3}
