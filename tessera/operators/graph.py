@@ -214,7 +214,7 @@ def simple_paths(edges: DataFrame, source: str, target: str, most: int, relation
         edges = edges.where(F.col("rel").isin(relations))
     steps = settle(both_ways(edges))
     goal = edges.sparkSession.range(1).select(F.lit(target).alias("id"))
-    near = settle(hops(edges, goal, most).select(F.col("id").alias("b"), F.col("hop").alias("left")))
+    near = settle(hops(edges, goal, most - 1).select(F.col("id").alias("b"), F.col("hop").alias("left")))  # a step is made before any is left
     paths = edges.sparkSession.range(1).select(F.array(F.lit(source)).alias("path"))
     done = None
     for n in range(1, most + 1):
@@ -252,7 +252,7 @@ def connecting_paths(edges: DataFrame, entities: DataFrame, most: int = 3) -> Da
     left; two halves that end in one node and share no other make a path.
     """
     starts = settle(entities.select("id").where("id is not null").distinct())
-    near = settle(hops_from(edges, starts.select(F.col("id").alias("seed"), "id"), most))
+    near = settle(hops_from(edges, starts.select(F.col("id").alias("seed"), "id"), most - 1))  # a step is made before any is left
     halves = half_paths(edges, near, starts, most, (most + 1) // 2)
     done = None
     for length in range(1, most + 1):

@@ -149,3 +149,14 @@ def test_seeds_with_enough_nodes_go_no_further(spark):
     starts = spark.createDataFrame([(1, "s"), (2, "t")], "seed int, id string")
     got = {(r["seed"], r["id"]): r["hop"] for r in graph.hops_from(edges, starts, 3, enough=30).collect()}
     assert got == {(1, "s"): 0} | {(1, f"m{i}"): 1 for i in range(40)} | {(2, "t"): 0, (2, "t1"): 1, (2, "t2"): 2, (2, "t3"): 3}
+
+
+def test_paths_look_only_as_far_as_the_steps_after_the_first(spark, monkeypatch):
+    """Hops of three steps would reach the whole graph where paths of three steps need those of two."""
+    asked, plain = [], graph.hops_from
+    monkeypatch.setattr(graph, "hops_from", lambda edges, starts, most, *more: asked.append(most) or plain(edges, starts, most, *more))
+    edges = spark.createDataFrame([("a", "b", "r", 1.0), ("b", "c", "r", 1.0), ("c", "d", "r", 1.0)], "src string, dst string, rel string, confidence double")
+    ends = spark.createDataFrame([("a",), ("d",)], "id string")
+    assert [tuple(r) for r in graph.connecting_paths(edges, ends, 3).collect()] == [("a", "d", ["a", "b", "c", "d"])]
+    assert [r["path"] for r in graph.simple_paths(edges, "a", "d", 3).collect()] == [["a", "b", "c", "d"]]
+    assert asked == [2, 2]
