@@ -23,7 +23,7 @@ FEW_HUBS = 10_000  # that are broadcast; beyond, joins shuffle them
 
 
 class Adjacency(NamedTuple):
-    """Neighbours (a, part, b, share) in both directions, share being 1 / neighbours of a, and the nodes (a, parts) that have more
+    """Neighbours (a, part, b) in both directions, where asked for with a share of 1 / neighbours of a, and the nodes (a, parts) that have more
     than HUB and so several parts. Neighbours stay partitioned by node and part while they are kept."""
 
     steps: DataFrame
@@ -42,14 +42,20 @@ class Adjacency(NamedTuple):
         self.steps.unpersist()
 
 
-def adjacency(edges: DataFrame) -> Adjacency:
-    """Neighbours of all nodes, kept in memory or on disk until they are released."""
+def adjacency(edges: DataFrame, shares: bool = False) -> Adjacency:
+    """Neighbours of all nodes, kept in memory or on disk until they are released; their shares only where they are asked for, as these
+    take a shuffle more."""
     both = settle(both_ways(edges))
     degree = both.groupBy("a").agg(F.count("*").alias("n"))
     hubs = settle(degree.where(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).alias("parts")))
-    dealt = both.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB)).alias("part"), "b", (1.0 / F.col("n")).alias("share"))
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Adjacency(dealt.repartition(parts, "a", "part").persist(), hubs, hubs.count())
+    many = hubs.count()
+    if shares:
+        dealt = both.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB)).alias("part"), "b", (1.0 / F.col("n")).alias("share"))
+    else:
+        known = both.join(F.broadcast(hubs) if many <= FEW_HUBS else hubs, "a", "left")
+        dealt = known.select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("long").alias("part"), "b")
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Adjacency(dealt.repartition(partitions, "a", "part").persist(), hubs, many)
 
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
@@ -109,7 +115,7 @@ def hop_decay(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, top: in
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
     """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds. Each round sums what
     neighbours send within tasks first; neighbours keep their partitioning, so only ranks are shuffled."""
-    near = adjacency(edges)
+    near = adjacency(edges, shares=True)
     start = seeds.select("id").distinct()
     start = settle(start.withColumn("base", F.lit(1.0 / max(1, start.count()))))
     back = start.select("id", (F.col("base") * (1 - damping)).alias("rank"))

@@ -93,7 +93,7 @@ def spelled(text: str) -> str:
 
 
 PARTITION_BYTES, SPLIT_BYTES = 4 << 20, 32 << 20  # of a table's file: to a partition of a shuffle, and read by one task
-JOINED_BYTES = 16 << 20  # of small shuffle partitions that go to one task together
+JOINED_BYTES = 4 << 20  # of small shuffle partitions that go to one task together
 
 
 def sized(spark: SparkSession, path: str) -> None:

@@ -13,3 +13,8 @@ def test_tasks_of_a_shuffle_dont_grow_to_the_default_size(spark):
     binding.view(spark, "/root/testdata/sf0.001", "region")
     assert spark.conf.get(ADVISED) == "8m"
     spark.conf.unset(ADVISED)
+
+
+def test_a_task_of_a_shuffle_takes_few_megabytes():
+    """Rows of the graph take some 9 bytes shuffled and 200 in a hash table."""
+    assert binding.JOINED_BYTES // 9 * 200 < 128 << 20
