@@ -16,12 +16,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from tessera.functions.text import dot
 from tessera.lineage import settle
 
 BLOCK = 2_048
-SHELF, SHELF_BYTES, SHARES = 65_536, 32 << 20, 8  # rows and bytes of a side that a task holds at most, and shares of a side that has rows enough
+SHELF, SHELF_BYTES, SHARES = 1 << 18, 128 << 20, 8  # rows and bytes of a side that a task holds at most, and shares of a side that has rows enough
 ROWS_A_PIVOT, MOST_PIVOTS, SAMPLE = 512, 4_096, 4_096
 BINS = 256  # of angles to a pivot
 SLACK = 1e-6  # radians that rounding may cost
@@ -41,24 +42,28 @@ class Cells(NamedTuple):
 
 
 def unit_rows(rows: DataFrame, width: int) -> DataFrame:
-    """(id, unit): unit vectors as bytes, shorter ones being filled up with zeros; zero where there is no length."""
+    """(id, unit): vectors as bytes, of floats as floats and of other numbers as doubles, shorter ones being filled up with zeros. They
+    become unit vectors where they are read (`stacked`), so floats aren't sent as doubles."""
     sound = rows.where("id is not null and embedding is not null")
-    item = sound.select("id", F.transform("embedding", lambda x: F.coalesce(x.cast("double"), F.lit(0.0))).alias("v"))
+    kind = "float" if rows.schema["embedding"].dataType.elementType == FloatType() else "double"
+    item = sound.select("id", F.transform("embedding", lambda x: F.coalesce(x.cast(kind), F.lit(0).cast(kind))).alias("v"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column(1)
-            out = np.zeros((len(v), width))
+            out = np.zeros((len(v), width), np.float32 if kind == "float" else np.float64)
             out[np.arange(width) < np.diff(v.offsets.to_numpy())[:, None]] = v.flatten().to_numpy()
-            norm = np.linalg.norm(out, axis=1, keepdims=True)
-            np.divide(out, norm, out=out, where=norm > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in out], pa.binary())], ["id", "unit"])
 
     return item.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, unit binary")
 
 
 def stacked(column: pa.Array, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist())).reshape(-1, width) if len(column) else np.zeros((0, width))
+    """Unit vectors in doubles, zero where there is no length, of vectors as bytes."""
+    data = b"".join(column.to_pylist())
+    out = np.frombuffer(data, np.float32 if len(data) == 4 * width * len(column) else np.float64).reshape(-1, width).astype(np.float64)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return np.divide(out, norm, out=out, where=norm > 0)
 
 
 def far_apart(rows: np.ndarray, k: int) -> np.ndarray:
@@ -247,15 +252,19 @@ def compared(left: DataFrame, right: DataFrame, cells: Cells, width: int, choose
     once a shelf. Equal ids don't meet.
 
     Both sides are cut into shares: a task holds a slot of the left and a shelf of the right side, so a row is sent as often as the other
-    side has shares, whatever the number of blocks that it meets there.
+    side has shares, whatever the number of blocks that it meets there; a shelf goes only to slots of which a row meets one of its blocks.
     """
     shelf, slots = shelved(cells, width), in_slots(left, cells, width)
     first, last = left.schema["id"].dataType, right.schema["id"].dataType
     meet = meetings(left, cells, width, choose, shelf, slots)
     a = meet.select(F.col("block").alias("shelf"), "slot", F.col("id").alias("left_id"), F.lit(None).cast(last).alias("right_id"), "unit", "bar", F.lit(-1).cast("long").alias("block"))
     on = F.element_at(F.lit(shelf.tolist()).cast("array<long>"), (F.col("block") + 1).cast("int")).alias("shelf")
-    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots.many - 1).cast("long"))).alias("slot")
-    b = right_rows(right, cells).select(on, each, F.lit(None).cast(first).alias("left_id"), F.col("id").alias("right_id"), "unit", F.lit(None).cast("double").alias("bar"), "block")
+    wanted: list[list[int]] = [[] for _ in range(int(shelf.max(initial=-1)) + 1)]
+    for r in meet.select("block", "slot").distinct().collect():  # at most a row for each shelf and slot
+        wanted[r["block"]].append(r["slot"])
+    to = F.element_at(F.lit([",".join(map(str, sorted(x))) for x in wanted]).cast("array<string>"), (F.col("shelf") + 1).cast("int"))
+    sent = right_rows(right, cells).withColumn("shelf", on).withColumn("to", to).where("to <> ''")
+    b = sent.select("shelf", F.explode(F.split("to", ",").cast("array<long>")).alias("slot"), F.lit(None).cast(first).alias("left_id"), F.col("id").alias("right_id"), "unit", F.lit(None).cast("double").alias("bar"), "block")
     places = cells._replace(first=None, splits=None)  # what bounds need
     names = ["left_id", "right_id", "similarity", "nine"][: 3 if top is None else 4 if top else 1]
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.fuzzy import ratio
 from tessera.operators import matching, stats, vectors
+from tests.spent import most_rows
 
 SCHEMA = "id long, embedding array<double>"
 
@@ -185,3 +186,22 @@ def test_first_and_any_beyond_a_threshold(spark, monkeypatch):
     assert sorted(r["left_id"] for r in vectors.linked(df, df, 0.95).collect()) == np.flatnonzero((near >= 0.95).any(1)).tolist()
     best = {(r["left_id"], r["rank"]): r["right_id"] for r in vectors.nearest(df, df, 4).collect()}
     assert best == {(i, n + 1): int(j) for i, x in enumerate(near) for n, j in enumerate(np.lexsort((np.arange(600), -np.round(x, 9)))[:4])}
+
+
+def test_floats_are_sent_as_floats_and_shelves_where_they_are_met(spark, monkeypatch):
+    """Vectors of floats take four bytes a component, a million rows make no more shares than a hundred thousand, and a shelf goes
+    only to slots that meet it: with 30 clusters a nearest row costs each right row far fewer copies than there are slots."""
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "ROWS_A_PIVOT", 64)
+    assert 1_000_000 <= vectors.SHARES * vectors.share(1_000_000, 64)
+    rng = np.random.default_rng(3)
+    m = (rng.normal(size=(30, 12))[rng.integers(30, size=1_920)] + 0.05 * rng.normal(size=(1_920, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(m)], "id long, embedding array<float>")
+    assert {len(r["unit"]) for r in vectors.unit_rows(df, 12).collect()} == {48}
+    a, b, cells, width = vectors.prepared(df, df)
+    got = vectors.compared(a.withColumn("bar", F.lit(0.9)), b, cells, width, vectors.near_enough, 0.0, 1)
+    assert most_rows(got) < 4 * len(m) < vectors.in_slots(a, cells, width).many * len(m)
+    near = cosines(m.astype(float), m.astype(float))
+    np.fill_diagonal(near, -np.inf)
+    best = {r["left_id"]: (r["right_id"], round(r["similarity"], 9)) for r in vectors.nearest(df, df, 1).collect()}
+    assert best == {i: (int(np.lexsort((np.arange(len(m)), -np.round(x, 9)))[0]), round(float(x.max()), 9)) for i, x in enumerate(near)}
