@@ -18,3 +18,11 @@ def test_tasks_of_a_shuffle_dont_grow_to_the_default_size(spark):
 def test_a_task_of_a_shuffle_takes_few_megabytes():
     """Rows of the graph take some 9 bytes shuffled and 200 in a hash table."""
     assert binding.JOINED_BYTES // 9 * 200 < 128 << 20
+
+
+def test_lines_are_dealt_before_they_are_grouped(spark):
+    """A task that reads lines holds no groups of them: nothing is summed up below the shuffle that deals them."""
+    edges = binding.view(spark, "/root/testdata/sf0.001", "kg_edges").where("rel = 'SUPPLIED_BY'")
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    first, dealt = plan.rindex("avg(l_discount"), plan.index("Exchange hashpartitioning(l_partkey")
+    assert first < dealt and plan.count("Exchange hashpartitioning(l_partkey") == 1
