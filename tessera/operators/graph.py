@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,11 +22,12 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 HUB = 4_096  # neighbours of a node that one task sees at a time
 FEW_HUBS = 10_000  # that are broadcast; beyond, joins shuffle them
+BLOCK_EDGES = 4_000_000  # about so many edges in a block, which one task sees at a time
 
 
 class Adjacency(NamedTuple):
-    """Neighbours (a, part, b) in both directions, where asked for with a share of 1 / neighbours of a, and the nodes (a, parts) that have more
-    than HUB and so several parts. Neighbours stay partitioned by node and part while they are kept."""
+    """Neighbours (a, part, b) in both directions, and the nodes (a, parts) that have more than HUB and so several parts. Neighbours stay
+    partitioned by node and part while they are kept."""
 
     steps: DataFrame
     hubs: DataFrame
@@ -42,18 +45,14 @@ class Adjacency(NamedTuple):
         self.steps.unpersist()
 
 
-def adjacency(edges: DataFrame, shares: bool = False) -> Adjacency:
-    """Neighbours of all nodes, kept in memory or on disk until they are released; their shares only where they are asked for, as these
-    take a shuffle more."""
+def adjacency(edges: DataFrame) -> Adjacency:
+    """Neighbours of all nodes, kept in memory or on disk until they are released."""
     both = settle(both_ways(edges))
     degree = both.groupBy("a").agg(F.count("*").alias("n"))
     hubs = settle(degree.where(F.col("n") > HUB).select("a", F.ceil(F.col("n") / HUB).alias("parts")))
     many = hubs.count()
-    if shares:
-        dealt = both.join(degree, "a").select("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / HUB)).alias("part"), "b", (1.0 / F.col("n")).alias("share"))
-    else:
-        known = both.join(F.broadcast(hubs) if many <= FEW_HUBS else hubs, "a", "left")
-        dealt = known.select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("long").alias("part"), "b")
+    known = both.join(F.broadcast(hubs) if many <= FEW_HUBS else hubs, "a", "left")
+    dealt = known.select("a", F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")), F.lit(0)).cast("long").alias("part"), "b")
     partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return Adjacency(dealt.repartition(partitions, "a", "part").persist(), hubs, many)
 
@@ -112,22 +111,66 @@ def hop_decay(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, top: in
     return hops(edges, seeds, most).select("id", "hop", F.pow(F.lit(damping), "hop").alias("score")).orderBy(F.col("score").desc(), "id").limit(top)
 
 
+class Blocks(NamedTuple):
+    """Undirected edges (block, low, high) of numbered nodes (id, n, num), n being neighbours: an edge lies with its end of fewer
+    neighbours, so no node brings more than about the root of twice the edges into a block. `places` (num, to, share) are the blocks
+    where a node has edges, with 1 / n. Edges stay partitioned by block and places by number while they are kept."""
+
+    nodes: DataFrame
+    held: DataFrame
+    places: DataFrame
+
+    def release(self) -> None:
+        self.held.unpersist()
+        self.places.unpersist()
+
+
+def in_blocks(edges: DataFrame) -> Blocks:
+    spark = edges.sparkSession
+    pairs = settle(edges.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).distinct())
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    nodes = settle(nodes.withColumn("num", F.monotonically_increasing_id()))
+    many = max(2 * spark.sparkContext.defaultParallelism, -(-pairs.count() // BLOCK_EDGES))
+    end = lambda name: nodes.select(F.col("id").alias(name), F.struct("n", "num").alias(f"of_{name}"))
+    ends = pairs.join(end("x"), "x").join(end("y"), "y").select(F.least("of_x", "of_y")["num"].alias("low"), F.greatest("of_x", "of_y")["num"].alias("high"))
+    ends = settle(ends.select(F.pmod(F.xxhash64("low"), F.lit(many)).alias("block"), "low", "high"))
+    held = ends.repartition(many, "block").sortWithinPartitions("block", "low").persist()
+    places = held.select("block", F.explode(F.array("low", "high")).alias("num")).distinct().join(nodes.select("num", (1.0 / F.col("n")).alias("share")), "num")
+    places = settle(places.select("num", F.col("block").alias("to"), "share"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return Blocks(nodes, held, places.repartition(partitions, "num").sortWithinPartitions("num").persist())
+
+
+def passed_on(edges: pa.Table, sent: pa.Table) -> pa.Table:
+    """(num, rank): what the nodes of a block get over its edges, of the values (num, value) that all its nodes send over each edge."""
+    num, value = (sent[c].to_numpy() for c in ("num", "value"))
+    order = np.argsort(num)
+    num, value = num[order], value[order]
+    low, high = (np.searchsorted(num, edges[c].to_numpy()) for c in ("low", "high"))
+    got = np.bincount(low, value[high], len(num)) + np.bincount(high, value[low], len(num))
+    some = got > 0
+    return pa.table({"num": num[some], "rank": got[some]})
+
+
 def pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 20) -> DataFrame:
-    """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds. Each round sums what
-    neighbours send within tasks first; neighbours keep their partitioning, so only ranks are shuffled."""
-    near = adjacency(edges, shares=True)
+    """Personalised PageRank over undirected edges; what would leave nodes without edges goes back to the seeds. Each round a node's rank
+    goes once to each block where it has edges, and a block's sums come back once a node: no row is sent an edge."""
+    blocks = in_blocks(edges)
     start = seeds.select("id").distinct()
     start = settle(start.withColumn("base", F.lit(1.0 / max(1, start.count()))))
-    back = start.select("id", (F.col("base") * (1 - damping)).alias("rank"))
-    ranks = start.select("id", F.col("base").alias("rank"))
+    known = settle(start.join(blocks.nodes, "id").select("num", "base"))
+    back = known.select("num", (F.col("base") * (1 - damping)).alias("rank"))
+    ranks = known.select("num", F.col("base").alias("rank"))
     for n in range(1, rounds + 1):
-        sent = near.parted(ranks, "id").withColumnRenamed("id", "a").join(near.steps, ["a", "part"])
-        flow = sent.select(F.col("b").alias("id"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        ranks = flow.unionAll(back).groupBy("id").agg(F.sum("rank").alias("rank"))
+        value = F.coalesce("rank", F.lit(0.0)) * F.col("share") * damping
+        sent = blocks.places.join(ranks, "num", "left").select("to", "num", value.alias("value"))
+        flow = blocks.held.groupBy("block").cogroup(sent.groupBy("to")).applyInArrow(passed_on, "num long, rank double")
+        ranks = flow.unionAll(back).groupBy("num").agg(F.sum("rank").alias("rank"))
         if n % 5 == 0 or n == rounds:
             ranks = settle(ranks)
-    near.release()
-    return ranks
+    blocks.release()
+    alone = start.join(blocks.nodes, "id", "left_anti").select("id", F.col("base") * ((1 - damping) if rounds else 1.0))
+    return blocks.nodes.join(ranks, "num").select("id", "rank").unionAll(alone)
 
 
 def closure(tree: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import defaultdict, deque
 
+import numpy as np
 import pytest
 
 from tessera.operators import graph, rules
@@ -160,3 +161,30 @@ def test_paths_look_only_as_far_as_the_steps_after_the_first(spark, monkeypatch)
     assert [tuple(r) for r in graph.connecting_paths(edges, ends, 3).collect()] == [("a", "d", ["a", "b", "c", "d"])]
     assert [r["path"] for r in graph.simple_paths(edges, "a", "d", 3).collect()] == [["a", "b", "c", "d"]]
     assert asked == [2, 2]
+
+
+def test_ranks_are_sent_once_a_block_and_not_once_an_edge(spark, monkeypatch):
+    """A dense graph of few and many nodes, with a loop, a doubled edge and a seed without edges, against matrix products."""
+    monkeypatch.setattr(graph, "BLOCK_EDGES", 500)
+    rng = np.random.default_rng(4)
+    pairs = [(f"p{i}", f"s{j}") for i in range(400) for j in rng.choice(40, 30, replace=False)]
+    df = spark.createDataFrame([*pairs, (pairs[0][1], pairs[0][0]), pairs[1], ("s0", "s0"), (None, "s1")], "src string, dst string")
+    blocks = graph.in_blocks(df)
+    held, places = blocks.held.collect(), blocks.places.count()
+    assert len(held) == len(pairs) and len({r["block"] for r in held}) > 10
+    assert places <= 400 + 40 * len({r["block"] for r in held}) < len(pairs) / 2
+    blocks.release()
+    names = sorted({x for p in pairs for x in p})
+    at = {x: i for i, x in enumerate(names)}
+    step = np.zeros((len(names), len(names)))
+    for a, b in pairs:
+        step[at[a], at[b]] = step[at[b], at[a]] = 1
+    step /= step.sum(0)
+    base = np.zeros(len(names))
+    base[at["p3"]] = base[at["s2"]] = 1 / 3
+    want = base
+    for _ in range(6):
+        want = 0.85 * step @ want + 0.15 * base
+    got = {r["id"]: r["rank"] for r in graph.pagerank(df, spark.createDataFrame([("p3",), ("s2",), ("gone",)], "id string"), rounds=6).collect()}
+    assert got.pop("gone") == pytest.approx(0.05)
+    assert got == pytest.approx(dict(zip(names, want, strict=True)))
