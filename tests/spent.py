@@ -19,3 +19,17 @@ def most_rows(df) -> int:
         else:
             todo += [node.children().apply(i) for i in range(node.children().size())]
     return most
+
+
+def shuffled_rows(spark, run) -> tuple:
+    """What a function returns, and the rows that its stages wrote to shuffles."""
+    sc = spark.sparkContext
+
+    def written() -> dict:
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    out = run()
+    return out, sum(n for k, n in written().items() if k not in before)
